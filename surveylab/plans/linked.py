@@ -14,7 +14,7 @@ from surveylab.operators.clean import null_sentinels
 from surveylab.operators.link import link_records
 from surveylab.plans.tables import SENTINELS, household_key, sql_household_key, table
 
-CHILD_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
+CHILD_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 MOTHER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 HOUSE_COLS = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -43,7 +43,7 @@ def linked_sql(sentinels: bool = True) -> str:
     """SQL text of :func:`linked_frame` (a CTE body)."""
     q = (lambda c: _sent(c)) if sentinels else (lambda c: c)
     return f"""
-SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, {q('l_quantity')}, l.l_extendedprice,
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, {q('l_quantity')}, l.l_extendedprice,
        l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus,
        o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderpriority,
        o.hh_cluster, o.hh_number, c.c_custkey, c.c_nationkey, {q('c_acctbal')}, c.c_mktsegment
