@@ -155,7 +155,7 @@ def build_features(df: DataFrame, feature_names: Sequence[str], numeric: Mapping
         src = numeric.get(f)
         if src is not None and src in df.columns:
             raw = F.col(src)
-            v = F.try_cast(raw.cast("string"), "double")
+            v = raw.cast("string").try_cast("double")
             errs.append(F.when(raw.isNotNull() & v.isNull(), F.lit(f)))
             cols[f] = F.coalesce(v, F.lit(dflt))
         else:
@@ -175,6 +175,9 @@ def build_features(df: DataFrame, feature_names: Sequence[str], numeric: Mapping
         hits = [F.col(f"__{f}") == F.lit(n) for f in ind if n.startswith(f + "_")]
         if hits:
             exprs[n] = F.coalesce(hits[0], F.lit(False)).cast("double")
+    # level text after the prefix ('toilet_type_31' -> '31') for the derived features
+    exprs.update({f: F.when(F.col(f"__{f}").startswith(f + "_"), F.expr(f"substring(`__{f}`, {len(f) + 2})"))
+                  for f in ind})
     out = out.withColumns(exprs) if exprs else out
     if derive is not None:
         out = derive(out)

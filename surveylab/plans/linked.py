@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from surveylab.operators.clean import null_sentinels
 from surveylab.operators.link import link_records
+from surveylab.session import plan_settings
 from surveylab.plans.tables import SENTINELS, household_key, sql_household_key, table
 
 CHILD_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -25,6 +26,7 @@ LINKED_COLS = CHILD_COLS + ["o_custkey", "o_orderstatus", "o_totalprice", "o_ord
 
 def linked_frame(spark: SparkSession, sf_dir: str, sentinels: bool = True) -> DataFrame:
     """child ⋈ mother (JN1) ⋈ household on a composite key (JN2), sentinels -> NULL (CLN1)."""
+    plan_settings(spark)
     child = table(spark, sf_dir, "lineitem").select(*CHILD_COLS)
     mother = household_key(table(spark, sf_dir, "orders").select(*MOTHER_COLS), "o_custkey", "hh")
     house = household_key(table(spark, sf_dir, "customer").select(*HOUSE_COLS), "c_custkey", "c")

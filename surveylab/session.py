@@ -18,6 +18,14 @@ _DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
 
+# Runtime SQL settings for wide derived-feature plans: dozens of aliased
+# feature expressions above a filter make Catalyst's constraint inference
+# grow combinatorially (driver OOM while planning); the filters it would
+# infer are already explicit in these plans.
+PLAN_SETTINGS = {
+    "spark.sql.constraintPropagation.enabled": "false",
+}
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "surveylab", extra: dict | None = None) -> SparkSession:
@@ -33,7 +41,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     if shuffle_partitions is not None:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
+    for k, v in {**PLAN_SETTINGS, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,6 +49,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def plan_settings(spark: SparkSession) -> SparkSession:
+    """Apply :data:`PLAN_SETTINGS` to a session created elsewhere."""
+    for k, v in PLAN_SETTINGS.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
