@@ -190,8 +190,8 @@ class CentredPCA(Estimator, _VecParams, DefaultParamsReadable, DefaultParamsWrit
         cols = _present(self.getInputCols(), dataset)
         k = self.getOrDefault(self.k)
         if not cols:
-            return self._copyValues(CentredPCAModel(inputCols=[], k=k, centre=[], loadings=[],
-                                                    prefix=self.getOrDefault(self.prefix)))
+            return CentredPCAModel(inputCols=[], k=k, centre=[], loadings=[],
+                                   prefix=self.getOrDefault(self.prefix))
         row = dataset.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
         centre = [float(row[c] or 0.0) for c in cols]
         centred = dataset.select(*[(F.col(c).cast("double") - F.lit(m)).alias(c) for c, m in zip(cols, centre)])
@@ -204,8 +204,9 @@ class CentredPCA(Estimator, _VecParams, DefaultParamsReadable, DefaultParamsWrit
             big = max(range(len(col)), key=lambda i: abs(col[i]))
             s = -1.0 if col[big] < 0 else 1.0
             load += [s * x for x in col]
-        return self._copyValues(CentredPCAModel(inputCols=cols, k=k, centre=centre, loadings=load,
-                                                prefix=self.getOrDefault(self.prefix)))
+        # only the present columns are kept (no _copyValues: it would restore absent ones)
+        return CentredPCAModel(inputCols=cols, k=k, centre=centre, loadings=load,
+                               prefix=self.getOrDefault(self.prefix))
 
 
 class CentredPCAModel(Model, _VecParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -251,8 +252,7 @@ class KMeansDistance(Estimator, _VecParams, DefaultParamsReadable, DefaultParams
         cols = _present(self.getInputCols(), dataset)
         k = self.getOrDefault(self.k)
         if not cols:
-            return self._copyValues(KMeansDistanceModel(inputCols=[], k=k, centre=[],
-                                                        prefix=self.getOrDefault(self.prefix)))
+            return KMeansDistanceModel(inputCols=[], k=k, centre=[], prefix=self.getOrDefault(self.prefix))
         vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip") \
             .transform(dataset.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("__v").cache()
         best, best_cost = None, None
@@ -263,8 +263,8 @@ class KMeansDistance(Estimator, _VecParams, DefaultParamsReadable, DefaultParams
                 best, best_cost = m, cost
         vec.unpersist()
         centres = [float(x) for c in best.clusterCenters() for x in c]
-        return self._copyValues(KMeansDistanceModel(inputCols=cols, k=len(best.clusterCenters()), centre=centres,
-                                                    prefix=self.getOrDefault(self.prefix)))
+        return KMeansDistanceModel(inputCols=cols, k=len(best.clusterCenters()), centre=centres,
+                                   prefix=self.getOrDefault(self.prefix))
 
 
 class KMeansDistanceModel(Model, _VecParams, DefaultParamsReadable, DefaultParamsWritable):

@@ -93,3 +93,89 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     k = df.select(F.count_distinct(F.col(label))).scalar()
     w = counts.select(label, (n / (k * F.col("__nc"))).cast("double").alias(out))
     return df.join(w, on=label, how="left")
+
+
+# ---------------------------------------------------------------- IMB3 / IMB4
+def _interpolate(minority: DataFrame, quotas: DataFrame, key: str, features, k: int, seed: int,
+                 pivots: int = 32) -> DataFrame:
+    """Synthetic rows: for each minority row and j in 1..quota, a point on the
+    segment to one of its k minority neighbours (md5-seeded choice and gap)."""
+    from surveylab.operators.neighbors import knn
+    feats = list(features)
+    nn = knn(minority, minority.withColumnRenamed(key, "__nb"), key, "__nb", feats, k=k,
+             exclude_self=True, pivots=pivots, seed=seed)
+    n_nb = nn.groupBy(key).agg(F.count(F.lit(1)).alias("__nn"))
+    q = (quotas.filter(F.col("quota") > 0).join(n_nb, key, "inner")
+         .withColumn("syn_index", F.explode(F.sequence(F.lit(1), F.col("quota"))))
+         .withColumn("rank", (F.floor(uniform(seed, key, F.col("syn_index"), F.lit("nb")) * F.col("__nn")) + 1).cast("int"))
+         .withColumn("__gap", uniform(seed, key, F.col("syn_index"), F.lit("gap"))))
+    q = q.join(nn.select(key, "__nb", "rank"), [key, "rank"], "inner")
+    x = minority.select(key, *[F.col(c).cast("double").alias(c) for c in feats])
+    nb = minority.select(F.col(key).alias("__nb"), *[F.col(c).cast("double").alias(f"__n_{c}") for c in feats])
+    j = q.join(x, key).join(nb, "__nb")
+    return j.select(key, "syn_index", *[(F.col(c) + F.col("__gap") * (F.col(f"__n_{c}") - F.col(c))).alias(c)
+                                        for c in feats])
+
+
+def _with_synthetic(df: DataFrame, syn: DataFrame, label: str, key: str, features, minority) -> DataFrame:
+    feats = list(features)
+    orig = df.select(key, *[F.col(c).cast("double").alias(c) for c in feats], F.col(label),
+                     F.lit(0).alias("syn_index"), F.lit(False).alias("is_synthetic"))
+    s = syn.select(key, *feats, F.lit(minority).cast(df.schema[label].dataType).alias(label), "syn_index",
+                   F.lit(True).alias("is_synthetic"))
+    return orig.unionByName(s)
+
+
+def smote(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int = 42,
+          minority=1, pivots: int = 32) -> DataFrame:
+    """IMB3: oversample the minority class until both classes have equal counts.
+
+    Each minority row gets floor(G / n_min) synthetic rows, and the first
+    G mod n_min rows in md5(seed:key) order one more (G = n_maj - n_min),
+    so the total is exact. Each synthetic row lies on the segment between
+    its parent and one of the parent's k nearest minority neighbours
+    (exact search, no cross join). Output: original rows plus synthetic
+    rows (``is_synthetic``, ``syn_index``; ``key`` = parent key).
+    """
+    y = F.col(label)
+    n_min = df.filter(y == minority).count()
+    n_maj = df.filter(y != minority).count()
+    G = n_maj - n_min
+    if G <= 0 or n_min < 2:
+        return _with_synthetic(df, df.limit(0).select(key, *features, F.lit(0).alias("syn_index")), label, key,
+                               features, minority)
+    minority_df = df.filter(y == minority)
+    base, rem = divmod(G, n_min)
+    ranked = class_rank(minority_df.select(key, label), label, key, seed)
+    quotas = ranked.select(key, (F.lit(base) + (F.col("class_rank") <= rem).cast("int")).alias("quota"))
+    syn = _interpolate(minority_df, quotas, key, features, k, seed, pivots)
+    return _with_synthetic(df, syn, label, key, features, minority)
+
+
+def adasyn(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int = 42,
+           minority=1, pivots: int = 32) -> DataFrame:
+    """IMB4: ADASYN - quota per minority row proportional to the share of
+    majority rows among its k nearest neighbours in all data.
+
+    quota_i = rint(r_i / Σr · G) (G = n_maj - n_min), then interpolation as in
+    SMOTE. With no majority neighbour anywhere nothing is synthesised.
+    """
+    from surveylab.operators.neighbors import knn
+    y = F.col(label)
+    n_min = df.filter(y == minority).count()
+    n_maj = df.filter(y != minority).count()
+    G = n_maj - n_min
+    minority_df = df.filter(y == minority)
+    empty = df.limit(0).select(key, *features, F.lit(0).alias("syn_index"))
+    if G <= 0 or n_min < 2:
+        return _with_synthetic(df, empty, label, key, features, minority)
+    nn = knn(minority_df, df.withColumnRenamed(key, "__t"), key, "__t", list(features), k=k,
+             exclude_self=True, pivots=pivots, seed=seed)
+    lab = df.select(F.col(key).alias("__t"), (F.col(label) != minority).cast("double").alias("__maj"))
+    r = nn.join(lab, "__t").groupBy(key).agg((F.sum("__maj") / k).alias("__r"))
+    total = r.select(F.sum("__r")).first()[0] or 0.0
+    if total <= 0:
+        return _with_synthetic(df, empty, label, key, features, minority)
+    quotas = r.select(key, F.rint(F.col("__r") / F.lit(total) * F.lit(G)).cast("int").alias("quota"))
+    syn = _interpolate(minority_df, quotas, key, features, k, seed, pivots)
+    return _with_synthetic(df, syn, label, key, features, minority)

@@ -173,8 +173,8 @@ def counterfactuals(df: DataFrame, key, mutable_continuous: Sequence[str], mutab
     ranked by (number changed, L1 distance, draw) and the first n kept.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    base = scorer.score(df)
-    hot = base.filter(F.col(scorer.prob_col) > p_min).drop(scorer.prob_col)
+    base = scorer.score(derive(df) if derive is not None else df)
+    hot = base.filter(F.col(scorer.prob_col) > p_min).select(*df.columns)
     rng = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in mutable_continuous],
                  *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in mutable_continuous]).first()
     fan = hot.withColumn("cf_id", F.explode(F.sequence(F.lit(1), F.lit(draws))))
