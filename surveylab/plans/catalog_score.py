@@ -110,7 +110,7 @@ def _requests(spark, sf, fields):
                     *[F.expr(x).alias(f"src_{f}") for f, x in EVENT_CATEGORICAL.items()])
 
 
-def _request_sql(fields):
+def _request_sql(fields, rounded: bool = True):
     sel = []
     for f, dflt in REQUEST_DEFAULTS.items():
         sel.append(f"coalesce(TRY_CAST(CAST({fields[f].replace('get_json_object', 'json_extract_string')} AS VARCHAR) AS DOUBLE), {dflt})"
@@ -128,7 +128,7 @@ def _request_sql(fields):
         f = next(f for f in REQUEST_CATEGORICAL if n.startswith(f + "_"))
         ind.append(f"CAST(coalesce(__{f} = {n!r}, false) AS DOUBLE) AS \"{n}\"")
     lv = [f"CASE WHEN starts_with(__{f}, '{f}_') THEN substr(__{f}, {len(f) + 2}) END AS {f}" for f in REQUEST_CATEGORICAL]
-    feats = ", ".join(f"round({e}, {DP}) AS {n}" if n != "mother_age_group" else f"{e} AS {n}"
+    feats = ", ".join(f"round({e}, {DP}) AS {n}" if rounded and n != "mother_age_group" else f"{e} AS {n}"
                       for n, e in features_sql_exprs().items())
     outs = ", ".join(f"CAST({n} AS DOUBLE) AS \"{n}\"" if n in FEATURE_NAMES else f"\"{n}\"" for n in REQUEST_FEATURES)
     return (f"WITH r0 AS ({base}), r1 AS (SELECT r0.*, {', '.join(ind + lv)} FROM r0),\n"
@@ -427,3 +427,38 @@ def q_waterfall(spark, sf):
     w = waterfall(_attr(spark, sf), CHILD_KEY, base_df=base)
     return w.select(*CHILD_KEY, "feature_code", F.col("step").cast("bigint").alias("step"),
                     F.round("running_total", DP).alias("running_total"))
+
+
+# ------------------------------------------------------------------ streaming
+def _score_requests(df):
+    """Row-local request scoring used by both the batch and the stream (STR1)."""
+    from surveylab.operators.scoring import score_and_tier
+    feats = build_features(df.select("event_id", *[F.expr(x).alias(f"src_{f}") for f, x in EVENT_FIELDS.items()],
+                                     *[F.expr(x).alias(f"src_{f}") for f, x in EVENT_CATEGORICAL.items()]),
+                           REQUEST_FEATURES, numeric={f: f"src_{f}" for f in EVENT_FIELDS},
+                           categorical={f: f"src_{f}" for f in EVENT_CATEGORICAL}, keep=["event_id"], derive=derive)
+    s = score_and_tier(feats, SCORER)
+    return s.select("event_id", F.round("probability", DP).alias("probability"), "risk_pct", "tier", "error")
+
+
+_REQ_SCORE_SQL = (_request_sql(EVENT_FIELDS, rounded=False).replace("\nSELECT event_id,", ",\nreq AS (SELECT event_id,", 1)
+                  + f")\nSELECT event_id, round({SCORER.sql_prob().replace('CAST(', 'CAST(req.')}, {DP}) AS probability,"
+                  f" round({_index_sql(SCORER.sql_prob().replace('CAST(', 'CAST(req.'))}, 2) AS risk_pct, '' AS error FROM req")
+
+
+def _req_tier_sql():
+    inner = _REQ_SCORE_SQL
+    return (f"WITH scored_req AS ({inner})\nSELECT event_id, probability, risk_pct, "
+            f"{_tier_sql('risk_pct', 0)} AS tier, error FROM scored_req")
+
+
+@register("score_stream_events", ids=("STR1", "SCO1", "SCO2", "SCO3", "SCO4"), sql=_req_tier_sql())
+def q_stream(spark, sf):
+    from surveylab.streaming import run_to_table
+    schema = table(spark, sf, "events").schema
+    return run_to_table(spark, sf, schema, _score_requests, "score_events", file_filter="events.parquet")
+
+
+@register("score_requests_batch", ids=("SCO1", "SCO2", "SCO3", "SCO4"), sql=_req_tier_sql())
+def q_req_batch(spark, sf):
+    return _score_requests(table(spark, sf, "events"))
