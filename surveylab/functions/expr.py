@@ -73,6 +73,18 @@ def uniform(seed: int, *key_parts) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(_TWO_POW_32)
 
 
+def round_half_away(c, dp: int) -> Column:
+    """Round half away from zero with plain arithmetic (codegen-friendly).
+
+    ``F.round`` goes through BigDecimal per value; for presentation columns
+    of long attribution tables this arithmetic form is several times cheaper
+    and agrees with it except on values within 1 ulp of a .5 boundary.
+    """
+    c = _c(c)
+    p = float(10 ** dp)
+    return F.signum(c) * F.floor(F.abs(c) * p + 0.5) / p
+
+
 def ratio(num, den) -> Column:
     """num / den with 0/0 and x/0 -> NULL (ANSI-safe)."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))

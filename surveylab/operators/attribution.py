@@ -16,8 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveylab.functions.expr import uniform
-from surveylab.operators.stats import top_k_per
+from surveylab.functions.expr import round_half_away, uniform
 
 NEUTRAL_EPS = 0.01  # fixed value: |contribution| above this is 'increases'/'reduces'
 
@@ -96,9 +95,9 @@ def label_direction(attr: DataFrame, eps: float = NEUTRAL_EPS) -> DataFrame:
     s = F.col("shap_value")
     return attr.withColumns({
         "direction": F.when(s > eps, "increases_risk").when(s < -eps, "reduces_risk").otherwise("neutral"),
-        "impact_pct": F.round(s * 100.0, 2),
-        "value": F.round(F.col("value"), 2),
-        "shap_value": F.round(s, 4)})
+        "impact_pct": round_half_away(s * 100.0, 2),
+        "value": round_half_away(F.col("value"), 2),
+        "shap_value": round_half_away(s, 4)})
 
 
 def explain(attr: DataFrame, key, top: int = 10, side: int = 5) -> DataFrame:
@@ -106,12 +105,24 @@ def explain(attr: DataFrame, key, top: int = 10, side: int = 5) -> DataFrame:
 
     Long output with ``list`` in {top, risk, protective} and ``rank``; a
     per-row nested view is ``groupBy(key, list).agg(collect_list(struct))``.
+    One window (one shuffle, one sort): the rank among raising (lowering)
+    features is the running count of positive (negative) values in the same
+    |shap| order.
     """
     keys = _keys(key)
-    t = top_k_per(attr, keys, "shap_value", top, tie="feature_code").withColumn("list", F.lit("top"))
-    r = top_k_per(attr, keys, "shap_value", side, tie="feature_code", sign=1).withColumn("list", F.lit("risk"))
-    p = top_k_per(attr, keys, "shap_value", side, tie="feature_code", sign=-1).withColumn("list", F.lit("protective"))
-    return t.unionByName(r).unionByName(p)
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature_code")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = F.col("shap_value")
+    r = attr.withColumns({"__rt": F.row_number().over(w),
+                          "__rp": F.sum((s > 0).cast("int")).over(run).cast("int"),
+                          "__rn": F.sum((s < 0).cast("int")).over(run).cast("int")})
+    item = lambda name, rk: F.struct(F.lit(name).alias("list"), rk.alias("rank"))
+    lists = F.filter(F.array(F.when(F.col("__rt") <= top, item("top", F.col("__rt"))),
+                             F.when((s > 0) & (F.col("__rp") <= side), item("risk", F.col("__rp"))),
+                             F.when((s < 0) & (F.col("__rn") <= side), item("protective", F.col("__rn")))),
+                     lambda x: x.isNotNull())
+    return (r.select(*attr.columns, F.explode(lists).alias("__l"))
+            .select(*attr.columns, F.col("__l.list").alias("list"), F.col("__l.rank").alias("rank")))
 
 
 def global_importance(attr: DataFrame, n: int = 15) -> DataFrame:

@@ -74,12 +74,16 @@ def value_shares(df: DataFrame, col: str, dp: int | None = None) -> DataFrame:
             .orderBy(F.desc("count"), F.asc(col)))
 
 
-def rate_by(df: DataFrame, group: str | Sequence[str], label: str, dp: int | None = None) -> DataFrame:
-    """AGG5: mean of a 0/1 label per group, as a percentage, with group size."""
+def rate_by(df: DataFrame, group: str | Sequence[str], label: str, dp: int | None = None,
+            extra: Sequence[Column] = ()) -> DataFrame:
+    """AGG5: mean of a 0/1 label per group, as a percentage, with group size.
+
+    ``extra`` aggregates ride along in the same aggregation (one shuffle).
+    """
     g = [group] if isinstance(group, str) else list(group)
     return (df.groupBy(*g).agg(
         _maybe_round(F.avg(F.col(label).cast("double")) * 100.0, dp).alias("rate_pct"),
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n"), *extra)
         .orderBy(*g))
 
 

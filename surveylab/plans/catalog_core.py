@@ -29,9 +29,8 @@ def flagship(spark, sf):
     df = clean.drop_missing(df, ["l_quantity"])
     plan = imputation_plan(df, continuous=["c_acctbal"])
     df = with_label(apply_plan(df, plan))
-    rates = stats.rate_by(df, "c_mktsegment", "label", dp=DP)
-    bal = df.groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 4).alias("mean_acctbal"))
-    return rates.join(bal, "c_mktsegment").orderBy("c_mktsegment")
+    return stats.rate_by(df, "c_mktsegment", "label", dp=DP,
+                         extra=[F.round(F.avg("c_acctbal"), 4).alias("mean_acctbal")])
 
 
 register("link_rate_by_segment", ids=("SRC1", "JN1", "JN2", "CLN1", "FLT3", "IMP1", "ENC7", "AGG5"), sql=f"""

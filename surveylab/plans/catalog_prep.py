@@ -280,3 +280,61 @@ def q_weights(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", "toxic")
     w = class_weights(lab, "toxic")
     return w.select("toxic", "doc_id", F.round("weight", DP).alias("weight"))
+
+
+# ------------------------------------------------------------------ fitted on train, applied to test
+@register("median_imputer_train_test", ids=("IMP5", "SPL1"), sql=f"""
+{SURVEY_SIZE_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY stunting_label ORDER BY {sql_uniform(42, CHILD_KEY)}, {KEYS}) AS rk,
+             count(*) OVER (PARTITION BY stunting_label) AS n_c FROM ss),
+s AS (SELECT *, CASE WHEN rk <= floor(n_c * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM r),
+m AS (SELECT median(hh_size) AS mh, median(mother_bmi) AS mb FROM s WHERE split = 'train')
+SELECT {KEYS}, round(coalesce(CAST(hh_size AS DOUBLE), (SELECT mh FROM m)), {DP}) AS hh_size,
+       round(coalesce(mother_bmi, (SELECT mb FROM m)), {DP}) AS mother_bmi FROM s WHERE split = 'test'
+""")
+def q_imputer(spark, sf):
+    from surveylab.operators.impute import MedianImputer
+    df = stratified_split(_survey_with_size(spark, sf), "stunting_label", CHILD_KEY, test=0.2, seed=42)
+    train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
+    m = MedianImputer(inputCols=["hh_size", "mother_bmi"]).fit(train)
+    out = m.transform(test)
+    return out.select(*CHILD_KEY, F.round("hh_size", DP).alias("hh_size"), F.round("mother_bmi", DP).alias("mother_bmi"))
+
+
+@register("column_diff_lineitem_orders", ids=("PRJ6", "PRJ3"), sql="""
+WITH a AS (SELECT column_name AS c FROM (DESCRIBE lineitem)), b AS (SELECT column_name AS c FROM (DESCRIBE orders))
+SELECT c AS column, 'left_only' AS side FROM a WHERE c NOT IN (SELECT c FROM b) AND c NOT LIKE '%key'
+UNION ALL SELECT c, 'right_only' FROM b WHERE c NOT IN (SELECT c FROM a) AND c NOT LIKE '%key'
+""")
+def q_coldiff(spark, sf):
+    a, b = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    keep = lambda d: d.select(*[c for c in d.columns if c not in clean.columns_like(d, contains="key")])
+    return clean.column_diff(keep(a), keep(b))
+
+
+@register("mean_std_text_by_flag", ids=("SCL3", "AGG16"), sql="""
+SELECT l_returnflag, printf('%.4f ± %.4f', avg(l_discount), stddev_pop(l_discount)) AS discount_text FROM lineitem
+GROUP BY l_returnflag
+""")
+def q_meanstd(spark, sf):
+    from surveylab.functions.expr import mean_std_text
+    li = table(spark, sf, "lineitem")
+    return li.groupBy("l_returnflag").agg(mean_std_text(F.avg("l_discount"), F.stddev_pop("l_discount")).alias("discount_text"))
+
+
+@register("union_chunks_attach_area", ids=("SET1", "SET3", "SCL4"), sql="""
+SELECT c.c_custkey, c.c_acctbal, coalesce(n.n_name, 'unknown') AS n_name
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+""")
+def q_union(spark, sf):
+    from surveylab.operators.link import attach
+    from surveylab.sources.io import union_all
+    c = table(spark, sf, "customer")
+    chunks = [c.filter(F.col("c_mktsegment") == s).select("c_custkey", "c_acctbal", "c_nationkey")
+              for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]
+    rest = c.filter(~F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+                    | F.col("c_mktsegment").isNull()).select("c_custkey", "c_acctbal", "c_nationkey")
+    u = union_all(chunks + [rest])
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return attach(u, n, "c_nationkey").select("c_custkey", "c_acctbal",
+                                              F.coalesce(F.col("n_name"), F.lit("unknown")).alias("n_name"))
