@@ -28,17 +28,19 @@ from surveylab.session import cut_lineage
 def medians(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 100000) -> dict:
     """Median of each column (NULL/NaN skipped), one aggregate pass.
 
-    Exact medians average the two middle values like pandas; ``exact=False``
-    switches to the bounded ``percentile_approx`` sketch for high-cardinality
-    continuous columns at scale.
+    Exact medians average the two middle values like pandas and are computed
+    by :func:`surveylab.operators.quantiles.exact_quantiles` (never a whole
+    column in one task); ``exact=False`` uses the ``percentile_approx`` sketch
+    in a single pass.
     """
     cols = list(cols)
     if not cols:
         return {}
-    def med(c):
-        x = nan_to_null(F.col(c).cast("double"))
-        return F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, F.lit(0.5), accuracy)
-    row = df.agg(*[med(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    if exact:
+        from surveylab.operators.quantiles import exact_quantiles
+        return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+    row = df.agg(*[F.percentile_approx(nan_to_null(F.col(c).cast("double")), F.lit(0.5), accuracy).alias(f"c{i}")
+                   for i, c in enumerate(cols)]).first()
     return {c: row[f"c{i}"] for i, c in enumerate(cols)}
 
 

@@ -121,14 +121,21 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], exact: bool = True,
                      accuracy: int = 10000, dp: int | None = None) -> DataFrame:
     """AGG8: count, mean, sample std, min, quartiles, max for each column.
 
-    Columns are stacked and grouped once. Quartiles interpolate linearly
-    (as pandas ``describe``) when exact.
+    Columns are stacked and grouped once. Exact quartiles interpolate
+    linearly (as pandas ``describe``) and come from distributed selection.
     """
     stacked = (df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
                .unpivot([], list(cols), "variable", "value"))
     probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = (F.percentile(F.col("value"), probs) if exact
-         else F.percentile_approx(F.col("value"), probs, accuracy))
+    if exact:
+        # quartiles by distributed selection (no column held whole in one task);
+        # the 3 values per column travel as a literal map
+        from surveylab.operators.quantiles import exact_quantiles
+        qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        qmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*[F.lit(v).cast("double") for v in qs[c]]))])
+        q = F.element_at(qmap, F.first("variable"))
+    else:
+        q = F.percentile_approx(F.col("value"), probs, accuracy)
     r = lambda c: _maybe_round(c, dp)
     return (stacked.groupBy("variable").agg(
         F.count("value").alias("count"), r(F.avg("value")).alias("mean"),
