@@ -134,7 +134,7 @@ def q_oor(spark, sf):
 SELECT p_partkey,
        CASE WHEN p_size BETWEEN 41 AND 50 THEN NULL ELSE p_size END AS p_size,
        p_retailprice / 100.0 AS retail_hundreds,
-       0.0 AS absent_feature
+       CAST(0.0 AS DOUBLE) AS absent_feature
 FROM part
 """)
 def q_sentinels(spark, sf):

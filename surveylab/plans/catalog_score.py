@@ -114,7 +114,7 @@ def _request_sql(fields, rounded: bool = True):
     sel = []
     for f, dflt in REQUEST_DEFAULTS.items():
         sel.append(f"coalesce(TRY_CAST(CAST({fields[f].replace('get_json_object', 'json_extract_string')} AS VARCHAR) AS DOUBLE), {dflt})"
-                   f" AS {f}" if f in fields else f"{float(dflt)} AS {f}")
+                   f" AS {f}" if f in fields else f"CAST({float(dflt)} AS DOUBLE) AS {f}")
     cats = {}
     for f, dflt in REQUEST_CATEGORICAL.items():
         cats[f] = f"coalesce({EVENT_CATEGORICAL[f]}, {dflt!r})" if f in EVENT_CATEGORICAL else repr(dflt)

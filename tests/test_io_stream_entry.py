@@ -91,6 +91,10 @@ def _sorted_rows(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+_DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "float": "FLOAT", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _sql_names():
     import __spark_entry__ as E
     return sorted(E.oracle_sql())
@@ -111,4 +115,8 @@ def test_query_matches_duckdb(spark, duck, name):
     res = duck.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
+    rel = duck.sql(E.oracle_sql()[name])
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    stypes = {f.name: _DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == dtypes
     assert _sorted_rows(df.columns, [tuple(r) for r in df.collect()]) == _sorted_rows(dcols, res.fetchall())
