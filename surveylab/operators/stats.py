@@ -227,20 +227,35 @@ def histogram(df: DataFrame, col: str, bins: int = 40, dp: int | None = None) ->
 
 
 def boxplot_stats(df: DataFrame, value: str, group: str, exact: bool = True,
-                  accuracy: int = 10000, dp: int | None = None) -> DataFrame:
-    """AGG13: quartiles, 1.5·IQR whiskers and outlier count per group.
-
-    Pass 1 aggregates quartiles per group; pass 2 joins the fences back
-    (one row per group, so AQE broadcasts it when small) to find whisker
-    ends and outliers.
+                  accuracy: int = 10000, dp: int | None = None, max_groups: int = 256) -> DataFrame:
+    """AGG13: quartiles, 1.5·IQR whiskers and outlier count per group (NULL group excluded).
+
+    Exact quartiles: with at most ``max_groups`` groups (checked with a
+    bounded ``distinct().limit``) each group is a masked column for the
+    distributed exact selection, so no group is held whole in one task; with
+    more groups the per-group ``percentile`` buffer is used. Pass 2 joins the
+    fences back (one row per group) to find whisker ends and outliers.
     """
     v = nan_to_null(F.col(value).cast("double"))
-    src = df.select(F.col(group), v.alias("v")).filter(F.col("v").isNotNull())
+    src = df.select(F.col(group), v.alias("v")).filter(F.col("v").isNotNull() & F.col(group).isNotNull())
     probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile("v", probs) if exact else F.percentile_approx("v", probs, accuracy)
-    st = (src.groupBy(group).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
-          .select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                  F.col("q")[2].alias("q3")))
+    groups = None
+    if exact:
+        groups = [r[0] for r in src.select(group).distinct().limit(max_groups + 1).collect()]
+        if len(groups) > max_groups:
+            groups = None
+    if groups is not None:
+        from surveylab.operators.quantiles import exact_quantiles
+        masked = src.select(*[F.when(F.col(group) == F.lit(g), F.col("v")).alias(f"g{i}") for i, g in enumerate(groups)])
+        qs = exact_quantiles(masked, [f"g{i}" for i in range(len(groups))], [0.25, 0.5, 0.75]) if groups else {}
+        qdf = df.sparkSession.createDataFrame(
+            [(g, *qs[f"g{i}"]) for i, g in enumerate(groups)],
+            f"`{group}` {df.schema[group].dataType.simpleString()}, q1 double, median double, q3 double")
+        st = src.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(qdf, group)
+    else:
+        q = F.percentile("v", probs) if exact else F.percentile_approx("v", probs, accuracy)
+        st = (src.groupBy(group).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
+              .select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
     st = st.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = src.join(st.select(group, "lo_fence", "hi_fence"), on=group, how="inner")
