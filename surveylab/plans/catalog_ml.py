@@ -91,7 +91,47 @@ def q_knn_cls(spark, sf):
 
 
 # ------------------------------------------------------------------ oversampling
-@register("smote_class_balance", ids=("IMB3", "AGG7"))
+def _u(parts: str) -> str:
+    return f"(('0x' || substr(md5({parts}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+_DOC_SQL = """
+SELECT l.doc_id, l.toxic,
+       ln(1 + d.n_chars) AS f_len,
+       ln(1 + len(regexp_split_to_array(d.text, '\\s+'))) AS f_words,
+       length(regexp_replace(d.text, '[^0-9]', '', 'g')) / greatest(length(d.text), 1) AS f_digit_share,
+       length(regexp_replace(d.text, '[^A-Z]', '', 'g')) / greatest(length(d.text), 1) AS f_upper_share,
+       CAST(d.lang = 'en' AS DOUBLE) AS f_lang_en, CAST(d.lang = 'de' AS DOUBLE) AS f_lang_de
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+
+_FEATS = ", ".join(DOC_FEATURES)
+_VEC = "[" + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in DOC_FEATURES) + "]"
+
+SMOTE_SQL = f"""
+WITH d AS ({_DOC_SQL}),
+mi AS (SELECT *, {_VEC}::DOUBLE[] AS v FROM d WHERE toxic = 1),
+cnt AS (SELECT sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS n_min, sum(CASE WHEN toxic <> 1 THEN 1 ELSE 0 END) AS n_maj FROM d),
+rk AS (SELECT mi.*, row_number() OVER (ORDER BY {_u("'42:' || CAST(doc_id AS VARCHAR)")}, doc_id) AS r FROM mi),
+q AS (SELECT rk.*, (cnt.n_maj - cnt.n_min) // cnt.n_min + CAST(r <= (cnt.n_maj - cnt.n_min) % cnt.n_min AS INTEGER) AS quota
+      FROM rk, cnt WHERE cnt.n_maj > cnt.n_min),
+pairs AS (SELECT a.doc_id, b.doc_id AS nb, list_distance(a.v, b.v) AS dist FROM mi a, mi b WHERE a.doc_id <> b.doc_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dist, nb) AS rank FROM pairs) WHERE rank <= 5),
+nnn AS (SELECT doc_id, count(*) AS n_nb FROM nn GROUP BY doc_id),
+ex AS (SELECT q.doc_id, q.v, unnest(range(1, CAST(q.quota AS BIGINT) + 1)) AS syn_index, nnn.n_nb FROM q JOIN nnn USING (doc_id) WHERE q.quota > 0),
+ch AS (SELECT ex.*, CAST(floor({_u("'42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(syn_index AS VARCHAR) || ':nb'")} * n_nb) + 1 AS BIGINT) AS rank,
+              {_u("'42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(syn_index AS VARCHAR) || ':gap'")} AS gap FROM ex),
+syn AS (SELECT ch.doc_id, ch.syn_index, ch.v AS x, nb_t.v AS y, ch.gap
+        FROM ch JOIN nn ON ch.doc_id = nn.doc_id AND ch.rank = nn.rank JOIN mi nb_t ON nn.nb = nb_t.doc_id),
+allrows AS (
+  SELECT toxic, false AS is_synthetic, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in DOC_FEATURES)} FROM d
+  UNION ALL
+  SELECT 1, true, {", ".join(f"x[{i + 1}] + gap * (y[{i + 1}] - x[{i + 1}]) AS {c}" for i, c in enumerate(DOC_FEATURES))} FROM syn)
+SELECT toxic, is_synthetic, count(*)::BIGINT AS n, {", ".join(f"round(avg({c}), {DP}) AS mean_{c}" for c in DOC_FEATURES)}
+FROM allrows GROUP BY toxic, is_synthetic
+"""
+
+
+@register("smote_class_balance", ids=("IMB3", "AGG7"), sql=SMOTE_SQL)
 def q_smote(spark, sf):
     d = doc_model_frame(spark, sf)
     s = smote(d, "toxic", DOC_FEATURES, "doc_id", k=5, seed=42)
@@ -220,3 +260,4 @@ def q_cf(spark, sf):
                          SCORER, n=2, draws=20, seed=42, p_min=0.35, p_target=0.40, derive=derive)
     return cf.select(*CHILD_KEY, "cf_id", "cf_rank", "n_changed", F.round("distance", DP).alias("distance"),
                      F.round("probability", DP).alias("probability"))
+
