@@ -251,7 +251,44 @@ def q_attr_rf(spark, sf):
     return global_importance(a, 15)
 
 
-@register("counterfactuals_linear", ids=("SIM5", "SIM7", "SIM6"))
+def _cf_sql():
+    from surveylab.operators.features import FEATURE_NAMES
+    from surveylab.plans.catalog_score import _feat_cols_sql
+    from surveylab.plans.survey import survey_sql
+    keys = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in CHILD_KEY)
+    u = lambda tag: _u(f"'42:' || {keys} || ':' || CAST(cf_id AS VARCHAR) || ':{tag}'")
+    levels = {"mother_education": [0, 1, 2, 3], "mother_anemia": [0, 1, 2, 3], "share_toilet": [0, 1]}
+    cont = {"anc_visits": ("lo_a", "hi_a"), "mother_bmi": ("lo_b", "hi_b")}
+    rep, orig, changed, dist = [], [], [], []
+    for c, (lo, hi) in cont.items():
+        rep.append(f"CASE WHEN {u(c + ':pick')} < 0.5 THEN round({lo} + {u(c)} * ({hi} - {lo}), 0) "
+                   f"ELSE CAST({c} AS DOUBLE) END AS {c}")
+    for c, lv in levels.items():
+        arr = "[" + ", ".join(f"{float(x)}" for x in lv) + "]"
+        rep.append(f"CASE WHEN {u(c + ':pick')} < 0.5 THEN ({arr}::DOUBLE[])[CAST(floor({u(c)} * {len(lv)}) AS INTEGER) + 1] "
+                   f"ELSE CAST({c} AS DOUBLE) END AS {c}")
+    for c in list(cont) + list(levels):
+        orig.append(f"CAST(fan.{c} AS DOUBLE) AS o_{c}")
+        changed.append(f"CAST({c} IS DISTINCT FROM o_{c} AS INTEGER)")
+        dist.append(f"coalesce(abs({c} - o_{c}), 0.0)")
+    feats = ", ".join(FEATURE_NAMES)
+    return (survey_sql() + f""",
+f0 AS ({_feat_cols_sql()}),
+hot AS (SELECT * EXCLUDE ({feats}, p0) FROM (SELECT f0.*, {SCORER.sql_prob()} AS p0 FROM f0) WHERE p0 > 0.35),
+rng AS (SELECT min(anc_visits) AS lo_a, max(anc_visits) AS hi_a, min(mother_bmi) AS lo_b, max(mother_bmi) AS hi_b FROM survey),
+fan AS (SELECT hot.*, unnest(range(1, 21)) AS cf_id FROM hot),
+cand0 AS (SELECT fan.* REPLACE ({", ".join(rep)}), {", ".join(orig)} FROM fan, rng),
+cand AS (SELECT cand0.*, {" + ".join(changed)} AS n_changed, {" + ".join(dist)} AS distance FROM cand0),
+cf AS ({_feat_cols_sql('cand')}),
+sc AS (SELECT cf.*, {SCORER.sql_prob()} AS probability FROM cf),
+ok AS (SELECT * FROM sc WHERE probability < 0.40 AND n_changed > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(CHILD_KEY)} ORDER BY n_changed, distance, cf_id) AS cf_rank FROM ok)
+SELECT {", ".join(CHILD_KEY)}, CAST(cf_id AS INTEGER) AS cf_id, CAST(cf_rank AS INTEGER) AS cf_rank, n_changed,
+       round(distance, {DP}) AS distance, round(probability, {DP}) AS probability FROM rk WHERE cf_rank <= 2
+""")
+
+
+@register("counterfactuals_linear", ids=("SIM5", "SIM7", "SIM6"), sql=_cf_sql())
 def q_cf(spark, sf):
     s = survey_frame(spark, sf)
     mut = [c for c in mutable_columns(s, IMMUTABLE) if c in ("anc_visits", "mother_bmi")]
@@ -261,3 +298,4 @@ def q_cf(spark, sf):
     return cf.select(*CHILD_KEY, "cf_id", "cf_rank", "n_changed", F.round("distance", DP).alias("distance"),
                      F.round("probability", DP).alias("probability"))
 
+
