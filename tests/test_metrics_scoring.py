@@ -122,3 +122,14 @@ def test_build_features_defaults_errors_and_unknown_level(spark):
     assert rows[1].child_age_months == 7.0 and rows[1].toilet_type_31 == 1.0 and rows[1].error == ""
     assert rows[2].child_age_months == 24.0 and rows[2].error == "child_age_months" and rows[2].toilet_type_31 == 0.0
     assert rows[3].mother_bmi == 21.5 and rows[3].error == ""
+
+
+def test_quality_gate_bands(spark):
+    from surveylab.operators.modeling import quality_gate
+    df = spark.createDataFrame([("a", 0.59), ("b", 0.60), ("c", 0.649), ("d", 0.65), ("e", None)],
+                               "model string, auc double")
+    got = {r.model: (r.gate, r.attribution_allowed) for r in quality_gate(df, "auc").collect()}
+    assert got["a"][0] == "STOP" and got["b"][0] == "CAUTION" and got["c"] == ("CAUTION", False)
+    assert got["d"] == ("PASS", True) and got["e"][0] == "STOP"
+    forced = {r.model: r.attribution_allowed for r in quality_gate(df, "auc", override=True).collect()}
+    assert forced["a"] is True
