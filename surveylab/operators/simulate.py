@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from surveylab.functions.expr import uniform
@@ -69,7 +69,6 @@ class Package:
     base: str | None = None      # apply another package's overrides first
 
 
-BASELINE = "baseline"
 
 
 def _is_text(df: DataFrame, c: str) -> bool:
@@ -100,27 +99,25 @@ def simulate(df: DataFrame, key, packages: Sequence[Package], scorer,
 
     Output: key, package_id, package_name, baseline_risk_pct,
     simulated_risk_pct, risk_reduction_pct (= rounded baseline index -
-    rounded scenario index). The baseline comes from the same scoring pass
-    (package 'baseline') via a per-key window of (#packages + 1) rows.
+    rounded scenario index). The baseline is scored on the rows before the
+    fan-out and carried through it, so the plan has no shuffle at all: two
+    scoring projections (or model transforms) in one stage.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    ids = [BASELINE] + [p.package_id for p in packages]
-    fan = df.withColumn("package_id", F.explode(F.array(*[F.lit(i) for i in ids])))
+    base = derive(df) if derive is not None else df
+    base = (scorer.score(base).withColumn("baseline_risk_pct", F.round(risk_index(scorer.prob_col), 2))
+            .select(*df.columns, "baseline_risk_pct"))
+    fan = base.withColumn("package_id", F.explode(F.array(*[F.lit(p.package_id) for p in packages])))
     fan = _apply_sequential(fan, packages)
     if derive is not None:
         fan = derive(fan)
-    s = scorer.score(fan)
-    s = s.withColumn("simulated_risk_pct", F.round(risk_index(scorer.prob_col), 2))
-    w = Window.partitionBy(*keys)
-    s = s.withColumn("baseline_risk_pct",
-                     F.max(F.when(F.col("package_id") == BASELINE, F.col("simulated_risk_pct"))).over(w))
+    s = scorer.score(fan).withColumn("simulated_risk_pct", F.round(risk_index(scorer.prob_col), 2))
     name_map = {p.package_id: p.package_name for p in packages}
     name_map.update(names or {})
     nm = F.create_map(*[F.lit(x) for kv in name_map.items() for x in kv])
-    return (s.filter(F.col("package_id") != BASELINE)
-            .select(*keys, "package_id", F.element_at(nm, F.col("package_id")).alias("package_name"),
+    return s.select(*keys, "package_id", F.element_at(nm, F.col("package_id")).alias("package_name"),
                     "baseline_risk_pct", "simulated_risk_pct",
-                    F.round(F.col("baseline_risk_pct") - F.col("simulated_risk_pct"), 2).alias("risk_reduction_pct")))
+                    F.round(F.col("baseline_risk_pct") - F.col("simulated_risk_pct"), 2).alias("risk_reduction_pct"))
 
 
 def best_scenario(sim: DataFrame, key) -> DataFrame:

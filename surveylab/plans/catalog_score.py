@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveylab.operators import metrics, stats
-from surveylab.operators.attribution import (attribute_linear, base_value, explain, global_importance,
-                                             label_direction, waterfall)
+from surveylab.operators.attribution import (attribute_linear, base_value, explain_arrays,
+                                             global_importance_arrays, label_direction, waterfall)
 from surveylab.operators.features import FEATURE_NAMES, feature_labels
 from surveylab.operators.scoring import (BASE_RATE, KNEE_INDEX, REQUEST_CATEGORICAL, REQUEST_DEFAULTS,
                                          SHORT_FORM_FIELDS, TIERS, TOP_PROB, build_features, risk_worklist,
@@ -402,7 +402,9 @@ UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'risk' FROM
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'protective' FROM n WHERE rk <= 5
 """)
 def q_explain(spark, sf):
-    e = explain(_attr(spark, sf), CHILD_KEY)
+    wide = attribute_linear(_features_frame(spark, sf), CHILD_KEY, SCORE_FEATURES, SCORER, _background(spark, sf),
+                            wide=True)
+    e = explain_arrays(wide, CHILD_KEY)
     return e.select(*CHILD_KEY, "feature_code", F.round("shap_value", DP).alias("shap_value"),
                     F.col("rank").cast("bigint").alias("rank"), "list")
 
@@ -412,7 +414,9 @@ SELECT feature_code, round(avg(abs(shap_value)), 4) AS mean_abs_shap, round(avg(
 FROM att GROUP BY feature_code ORDER BY avg(abs(shap_value)) DESC, feature_code LIMIT 15
 """)
 def q_global(spark, sf):
-    return global_importance(_attr(spark, sf), 15)
+    wide = attribute_linear(_features_frame(spark, sf), CHILD_KEY, SCORE_FEATURES, SCORER, _background(spark, sf),
+                            wide=True)
+    return global_importance_arrays(wide, SCORE_FEATURES, n=15)
 
 
 @register("waterfall_linear", ids=("EXP7",), sql=FEAT_SQL + f"""
