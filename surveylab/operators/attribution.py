@@ -105,48 +105,28 @@ def label_direction(attr: DataFrame, eps: float = NEUTRAL_EPS) -> DataFrame:
         "shap_value": round_half_away(s, 4)})
 
 
-def explain_arrays(df: DataFrame, key, arr: str = "attribution", top: int = 10, side: int = 5) -> DataFrame:
-    """EXP5 on one row per key holding all its attributions (``array<struct>``).
-
-    Row-local: the array is sorted by |shap| (ties by feature code) inside
-    the row, so there is no shuffle and no sort of the long table; the rank
-    among raising (lowering) features is the count of positive (negative)
-    values up to that position. Output as :func:`explain`.
-    """
-    keys = _keys(key)
-    def cmp(l, r):  # noqa: E741
-        al, ar = F.abs(l["shap_value"]), F.abs(r["shap_value"])
-        return (F.when(al > ar, -1).when(al < ar, 1)
-                .when(l["feature_code"] < r["feature_code"], -1)
-                .when(l["feature_code"] > r["feature_code"], 1).otherwise(0))
-    srt = df.select(*keys, F.array_sort(F.col(arr), cmp).alias("__s"))
-    ex = srt.select(*keys, "__s", F.posexplode("__s").alias("__pos", "__a"))
-    upto = F.slice(F.col("__s"), F.lit(1), F.col("__pos") + 1)
-    s = F.col("__a.shap_value")
-    rt = (F.col("__pos") + 1).cast("int")
-    rp = F.size(F.filter(upto, lambda y: y["shap_value"] > 0)).cast("int")
-    rn = F.size(F.filter(upto, lambda y: y["shap_value"] < 0)).cast("int")
-    item = lambda name, rk: F.struct(F.lit(name).alias("list"), rk.alias("rank"))
-    lists = F.filter(F.array(F.when(rt <= top, item("top", rt)),
-                             F.when((s > 0) & (rp <= side), item("risk", rp)),
-                             F.when((s < 0) & (rn <= side), item("protective", rn))),
-                     lambda x: x.isNotNull())
-    return (ex.select(*keys, "__a", F.explode(lists).alias("__l"))
-            .select(*keys, "__a.*", F.col("__l.list").alias("list"), F.col("__l.rank").alias("rank")))
-
-
 def explain(attr: DataFrame, key, top: int = 10, side: int = 5) -> DataFrame:
     """EXP5: per row top features by |shap|, top raising and top lowering ones.
 
     Long output with ``list`` in {top, risk, protective} and ``rank``; a
     per-row nested view is ``groupBy(key, list).agg(collect_list(struct))``.
-    Long input is gathered per key (one row per feature, so each group is
-    bounded by the feature count) and ranked row-locally.
+    One window (one shuffle, one sort): the rank among raising (lowering)
+    features is the running count of positive (negative) values in the same
+    |shap| order.
     """
     keys = _keys(key)
-    vals = [c for c in attr.columns if c not in keys]
-    g = attr.groupBy(*keys).agg(F.collect_list(F.struct(*vals)).alias("attribution"))
-    return explain_arrays(g, keys, "attribution", top, side)
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature_code")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = F.col("shap_value")
+    r = attr.withColumns({"__rt": F.row_number().over(w),
+                          "__rp": F.sum((s > 0).cast("int")).over(run).cast("int"),
+                          "__rn": F.sum((s < 0).cast("int")).over(run).cast("int")})
+    item = lambda name, rk: F.struct(F.lit(name).alias("list"), rk.alias("rank"))
+    lists = F.array(F.when(F.col("__rt") <= top, item("top", F.col("__rt"))),
+                    F.when((s > 0) & (F.col("__rp") <= side), item("risk", F.col("__rp"))),
+                    F.when((s < 0) & (F.col("__rn") <= side), item("protective", F.col("__rn"))))
+    return (r.select(*attr.columns, F.explode(lists).alias("__l")).filter(F.col("__l").isNotNull())
+            .select(*attr.columns, F.col("__l.list").alias("list"), F.col("__l.rank").alias("rank")))
 
 
 def global_importance(attr: DataFrame, n: int = 15) -> DataFrame:

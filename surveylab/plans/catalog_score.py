@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveylab.operators import metrics, stats
-from surveylab.operators.attribution import (attribute_linear, base_value, explain_arrays,
+from surveylab.operators.attribution import (attribute_linear, base_value, explain,
                                              global_importance_arrays, label_direction, waterfall)
 from surveylab.operators.features import FEATURE_NAMES, feature_labels
 from surveylab.operators.scoring import (BASE_RATE, KNEE_INDEX, REQUEST_CATEGORICAL, REQUEST_DEFAULTS,
@@ -402,9 +402,7 @@ UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'risk' FROM
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'protective' FROM n WHERE rk <= 5
 """)
 def q_explain(spark, sf):
-    wide = attribute_linear(_features_frame(spark, sf), CHILD_KEY, SCORE_FEATURES, SCORER, _background(spark, sf),
-                            wide=True)
-    e = explain_arrays(wide, CHILD_KEY)
+    e = explain(_attr(spark, sf), CHILD_KEY)
     return e.select(*CHILD_KEY, "feature_code", F.round("shap_value", DP).alias("shap_value"),
                     F.col("rank").cast("bigint").alias("rank"), "list")
 
