@@ -139,11 +139,40 @@ def q_smote(spark, sf):
                                                   *[F.round(F.avg(c), DP).alias(f"mean_{c}") for c in DOC_FEATURES])
 
 
-@register("adasyn_class_balance", ids=("IMB4",))
+ADASYN_SQL = f"""
+WITH d AS ({_DOC_SQL}),
+al AS (SELECT *, {_VEC}::DOUBLE[] AS v FROM d),
+mi AS (SELECT * FROM al WHERE toxic = 1),
+cnt AS (SELECT sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS n_min, sum(CASE WHEN toxic <> 1 THEN 1 ELSE 0 END) AS n_maj FROM d),
+pa AS (SELECT a.doc_id, b.doc_id AS t, b.toxic AS tt, list_distance(a.v, b.v) AS dist FROM mi a, al b WHERE a.doc_id <> b.doc_id),
+na AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dist, t) AS rank FROM pa) WHERE rank <= 5),
+r AS (SELECT doc_id, sum(CASE WHEN tt <> 1 THEN 1.0 ELSE 0.0 END) / 5 AS ri FROM na GROUP BY doc_id),
+tot AS (SELECT sum(ri) AS s FROM r),
+q AS (SELECT mi.*, CAST(round_even(r.ri / tot.s * (cnt.n_maj - cnt.n_min), 0) AS INTEGER) AS quota
+      FROM mi JOIN r USING (doc_id), tot, cnt WHERE cnt.n_maj > cnt.n_min AND tot.s > 0),
+pairs AS (SELECT a.doc_id, b.doc_id AS nb, list_distance(a.v, b.v) AS dist FROM mi a, mi b WHERE a.doc_id <> b.doc_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dist, nb) AS rank FROM pairs) WHERE rank <= 5),
+nnn AS (SELECT doc_id, count(*) AS n_nb FROM nn GROUP BY doc_id),
+ex AS (SELECT q.doc_id, q.v, unnest(range(1, CAST(q.quota AS BIGINT) + 1)) AS syn_index, nnn.n_nb FROM q JOIN nnn USING (doc_id) WHERE q.quota > 0),
+ch AS (SELECT ex.*, CAST(floor({_u("'42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(syn_index AS VARCHAR) || ':nb'")} * n_nb) + 1 AS BIGINT) AS rank,
+              {_u("'42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(syn_index AS VARCHAR) || ':gap'")} AS gap FROM ex),
+syn AS (SELECT ch.doc_id, ch.v AS x, nb_t.v AS y, ch.gap
+        FROM ch JOIN nn ON ch.doc_id = nn.doc_id AND ch.rank = nn.rank JOIN mi nb_t ON nn.nb = nb_t.doc_id),
+allrows AS (
+  SELECT toxic, false AS is_synthetic, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in DOC_FEATURES)} FROM d
+  UNION ALL
+  SELECT 1, true, {", ".join(f"x[{i + 1}] + gap * (y[{i + 1}] - x[{i + 1}]) AS {c}" for i, c in enumerate(DOC_FEATURES))} FROM syn)
+SELECT toxic, is_synthetic, count(*)::BIGINT AS n, {", ".join(f"round(avg({c}), {DP}) AS mean_{c}" for c in DOC_FEATURES)}
+FROM allrows GROUP BY toxic, is_synthetic
+"""
+
+
+@register("adasyn_class_balance", ids=("IMB4",), sql=ADASYN_SQL)
 def q_adasyn(spark, sf):
     d = doc_model_frame(spark, sf)
     s = adasyn(d, "toxic", DOC_FEATURES, "doc_id", k=5, seed=42)
-    return s.groupBy("toxic", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("toxic", "is_synthetic").agg(F.count(F.lit(1)).alias("n"),
+                                                  *[F.round(F.avg(c), DP).alias(f"mean_{c}") for c in DOC_FEATURES])
 
 
 # ------------------------------------------------------------------ models
