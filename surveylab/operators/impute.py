@@ -194,18 +194,36 @@ def impute_by_kind(df: DataFrame, exclude: Sequence[str] = (), exact: bool = Tru
 
 
 # ---------------------------------------------------------------- IMP4 MICE
+def _ols(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[float, list[float]]:
+    """Least squares y ~ xs from one aggregate pass (means and population
+    covariances, numerically stable), solved on the driver (len(xs)² numbers)."""
+    import numpy as np
+    cols = list(xs) + [y]
+    aggs = [F.avg(F.col(c)).alias(f"m{i}") for i, c in enumerate(cols)]
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            aggs.append(F.covar_pop(F.col(cols[i]), F.col(cols[j])).alias(f"c{i}_{j}"))
+    r = df.agg(*aggs).first()
+    k = len(xs)
+    cov = np.zeros((k + 1, k + 1))
+    for i in range(k + 1):
+        for j in range(i, k + 1):
+            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
+    beta = np.linalg.lstsq(cov[:k, :k], cov[:k, k], rcond=None)[0]
+    means = [r[f"m{i}"] or 0.0 for i in range(k + 1)]
+    intercept = means[k] - float(np.dot(beta, means[:k]))
+    return float(intercept), [float(b) for b in beta]
+
+
 def mice(df: DataFrame, cols: Sequence[str], rounds: int = 10, checkpoint_every: int = 1) -> DataFrame:
     """IMP4: chained equations over the high-missing columns.
 
     Start from the column means; each round regresses every column on the
-    others (``LinearRegression`` fitted on the rows where it was observed)
-    and refills only its originally missing cells. With one column there is
-    no predictor, so the mean is the answer. Lineage is cut with a reliable
-    checkpoint after every round.
+    others (least squares on the rows where it was observed, from one
+    aggregate pass) and refills only its originally missing cells with the
+    prediction. With one column there is no predictor, so the mean is the
+    answer. Lineage is cut with a reliable checkpoint after every round.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
     cols = list(cols)
     miss = {c: f"__miss_{i}" for i, c in enumerate(cols)}
     means = df.agg(*[F.avg(nan_to_null(F.col(c).cast("double"))).alias(c) for c in cols]).first()
@@ -214,16 +232,12 @@ def mice(df: DataFrame, cols: Sequence[str], rounds: int = 10, checkpoint_every:
     if len(cols) == 1:
         return cur.drop(*miss.values())
     for r in range(rounds):
-        for i, c in enumerate(cols):
+        for c in cols:
             others = [o for o in cols if o != c]
-            va = VectorAssembler(inputCols=others, outputCol="__x", handleInvalid="keep")
-            train = va.transform(cur.filter(~F.col(miss[c])).select(*others, c))
-            lr = LinearRegression(featuresCol="__x", labelCol=c, predictionCol="__p", regParam=0.0)
-            mdl = lr.fit(train)
-            coef = mdl.coefficients.toArray().tolist()
-            pred = F.lit(float(mdl.intercept))
-            for o, b in zip(others, coef):
-                pred = pred + F.lit(float(b)) * F.col(o)
+            b0, bs = _ols(cur.filter(~F.col(miss[c])), c, others)
+            pred = F.lit(b0)
+            for o, b in zip(others, bs):
+                pred = pred + F.lit(b) * F.col(o)
             cur = cur.withColumn(c, F.when(F.col(miss[c]), pred).otherwise(F.col(c)))
         if checkpoint_every and (r + 1) % checkpoint_every == 0:
             cur = cut_lineage(cur)

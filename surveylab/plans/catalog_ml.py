@@ -261,7 +261,31 @@ def q_pca_km(spark, sf):
     return out.select(*CHILD_KEY, "split", *[F.round(c, DP).alias(c) for c in cols])
 
 
-@register("mice_two_columns", ids=("IMP4",))
+def _mice_sql(rounds: int = 10) -> str:
+    from surveylab.plans.catalog_prep import SURVEY_SIZE_SQL
+    keys = ", ".join(CHILD_KEY)
+    q = [SURVEY_SIZE_SQL + ",",
+         "m0 AS (SELECT avg(CAST(hh_size AS DOUBLE)) AS a, avg(mother_bmi) AS b FROM ss),",
+         f"s0 AS (SELECT {keys}, hh_size IS NULL AS ma, mother_bmi IS NULL AS mb,"
+         " coalesce(CAST(hh_size AS DOUBLE), (SELECT a FROM m0)) AS hh_size,"
+         " coalesce(mother_bmi, (SELECT b FROM m0)) AS mother_bmi FROM ss),"]
+    prev = "s0"
+    for r in range(1, rounds + 1):
+        q.append(f"ca{r} AS (SELECT regr_slope(hh_size, mother_bmi) AS k, regr_intercept(hh_size, mother_bmi) AS c"
+                 f" FROM {prev} WHERE NOT ma),")
+        q.append(f"ta{r} AS (SELECT * REPLACE (CASE WHEN ma THEN (SELECT c FROM ca{r}) + (SELECT k FROM ca{r}) * mother_bmi"
+                 f" ELSE hh_size END AS hh_size) FROM {prev}),")
+        q.append(f"cb{r} AS (SELECT regr_slope(mother_bmi, hh_size) AS k, regr_intercept(mother_bmi, hh_size) AS c"
+                 f" FROM ta{r} WHERE NOT mb),")
+        q.append(f"s{r} AS (SELECT * REPLACE (CASE WHEN mb THEN (SELECT c FROM cb{r}) + (SELECT k FROM cb{r}) * hh_size"
+                 f" ELSE mother_bmi END AS mother_bmi) FROM ta{r}),")
+        prev = f"s{r}"
+    q[-1] = q[-1].rstrip(",")
+    return "\n".join(q) + (f"\nSELECT {keys}, round(hh_size, {DP}) AS hh_size, round(mother_bmi, {DP}) AS mother_bmi"
+                           f" FROM {prev}")
+
+
+@register("mice_two_columns", ids=("IMP4",), sql=_mice_sql())
 def q_mice(spark, sf):
     df = _survey_with_size(spark, sf).select(*CHILD_KEY, "hh_size", "mother_bmi", "wealth_index")
     out = mice(df, ["hh_size", "mother_bmi"], rounds=10)

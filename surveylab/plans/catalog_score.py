@@ -262,18 +262,19 @@ def _sim_sql():
                 cols.append(c)
             else:
                 cols.append(f"CAST({c} AS DOUBLE) AS {c}" if pid != "baseline" else c)
-        return f"SELECT '{pid}' AS package_id, {', '.join(cols)} FROM survey"
+        return f"SELECT '{pid}' AS package_id, {', '.join(cols)}, baseline_risk_pct FROM base"
 
-    parts = [sel("baseline", {})] + [sel(p, o) for p, o in ov.items()]
+    parts = [sel(p, o) for p, o in ov.items()]
     names = " ".join(f"WHEN '{p.package_id}' THEN {p.package_name!r}" for p in PACKAGES)
-    return (survey_sql() + ",\nfan AS (" + "\nUNION ALL ".join(parts) + "),\n"
+    # each row carries its own baseline index through the fan-out
+    return (survey_sql() + f",\nbf AS ({_feat_cols_sql('survey')}),\n"
+            f"base AS (SELECT * EXCLUDE ({', '.join(FEATURE_NAMES)}), "
+            f"round({_index_sql(SCORER.sql_prob())}, 2) AS baseline_risk_pct FROM bf),\n"
+            "fan AS (" + "\nUNION ALL ".join(parts) + "),\n"
             f"feat AS ({_feat_cols_sql('fan')}),\n"
             f"sc AS (SELECT feat.*, round({_index_sql(SCORER.sql_prob())}, 2) AS simulated_risk_pct FROM feat),\n"
-            f"bs AS (SELECT sc.*, max(CASE WHEN package_id = 'baseline' THEN simulated_risk_pct END)"
-            f" OVER (PARTITION BY {KEYS}) AS baseline_risk_pct FROM sc),\n"
             f"sim AS (SELECT {KEYS}, package_id, CASE package_id {names} END AS package_name, baseline_risk_pct,"
-            f" simulated_risk_pct, round(baseline_risk_pct - simulated_risk_pct, 2) AS risk_reduction_pct"
-            f" FROM bs WHERE package_id <> 'baseline')")
+            f" simulated_risk_pct, round(baseline_risk_pct - simulated_risk_pct, 2) AS risk_reduction_pct FROM sc)")
 
 
 SIM_SQL = _sim_sql()
