@@ -41,9 +41,20 @@ def link_records(child: DataFrame, parent: DataFrame, on, how: str = "inner",
         shared = [c for c in right.columns if c in child.columns and c not in keys]
         if shared:
             right = right.drop(*shared)
+    if how == "inner":
+        # explicit, so they reach the Parquet reader even where constraint
+        # inference is switched off for wide plans
+        child, right = child.filter(_all_not_null(keys)), right.filter(_all_not_null(keys))
     return child.join(right, on=keys, how=how)
 
 
+def _all_not_null(keys):
+    cond = F.col(keys[0]).isNotNull()
+    for k in keys[1:]:
+        cond = cond & F.col(k).isNotNull()
+    return cond
+
+
 def enrich(df: DataFrame, other: DataFrame, on, cols: Sequence[str],
            dedupe: bool = True, suffix: str = "_other") -> DataFrame:
     """JN3: left join bringing back columns without multiplying rows.
