@@ -118,13 +118,15 @@ class OneHotColumns(Estimator, _LevelsParams, DefaultParamsReadable, DefaultPara
     def _fit(self, dataset: DataFrame) -> "OneHotColumnsModel":
         cols = self.getInputCols()
         cap = self.getOrDefault(self.maxLevels)
-        lv = (level_counts(dataset, cols).groupBy("variable")
-              .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("level")).alias("lv")))
-        # size check before the vocabulary is collected
-        too_many = lv.filter(F.col("n") > cap).select("variable").take(1)
+        counts = level_counts(dataset, cols).cache()
+        # size check before any vocabulary is gathered
+        too_many = counts.groupBy("variable").count().filter(F.col("count") > cap).select("variable").take(1)
         if too_many:
+            counts.unpersist()
             raise ValueError(f"one-hot vocabulary of {too_many[0][0]} exceeds maxLevels={cap}")
+        lv = counts.groupBy("variable").agg(F.sort_array(F.collect_list("level")).alias("lv"))
         got = {r["variable"]: list(r["lv"]) for r in lv.collect()}
+        counts.unpersist()
         return self._copyValues(OneHotColumnsModel(inputCols=cols, levels=[got.get(c, []) for c in cols]))
 
 

@@ -327,12 +327,14 @@ def winner(df: DataFrame, metric: str, name_col: str = "model") -> DataFrame:
 
 
 def top_k_per(df: DataFrame, key: str | Sequence[str], by: str, k: int, use_abs: bool = True,
-              tie: str | Sequence[str] | None = None, sign: int = 0) -> DataFrame:
+              tie: str | Sequence[str] | None = None, sign: int = 0, salt: int = 16) -> DataFrame:
     """TOP2: k rows per entity by (absolute) value, ties broken by ``tie``.
 
-    ``sign`` = 1 keeps only positive values, -1 only negative ones. Each
-    entity's window holds its own rows only (bounded by the feature count
-    for attribution), so the window stays per-key.
+    ``sign`` = 1 keeps only positive values, -1 only negative ones. Two
+    levels so a hot entity (a third of all rows) is never sorted whole in
+    one task: a partial top-k per (entity, salt) — salt = hash of a row id
+    mod ``salt`` — then the final top-k over at most salt × k rows per
+    entity. ``salt=1`` gives the plain one-window form.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ties = [] if tie is None else ([tie] if isinstance(tie, str) else list(tie))
@@ -342,8 +344,15 @@ def top_k_per(df: DataFrame, key: str | Sequence[str], by: str, k: int, use_abs:
         src = src.filter(v > 0)
     elif sign < 0:
         src = src.filter(v < 0)
-    order = F.abs(v) if use_abs else v
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), *[F.asc(t) for t in ties])
+    order = [F.desc(F.abs(v) if use_abs else v), *[F.asc(t) for t in ties]]
+    if salt > 1:
+        # per-row id (not the content, so identical copies are spread too); a
+        # re-run task over the same split assigns the same ids, and the final
+        # ranking does not depend on the salt anyway
+        src = src.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt)))
+        part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        src = src.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= k).drop("__salt", "__r")
+    w = Window.partitionBy(*keys).orderBy(*order)
     return src.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
