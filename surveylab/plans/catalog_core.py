@@ -6,7 +6,6 @@ accumulate in a different order are rounded (6 dp) on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from surveylab.operators import clean, link, stats

@@ -13,8 +13,8 @@ from surveylab.operators import stats
 from surveylab.operators.attribution import attribute, global_importance
 from surveylab.operators.features import CentredPCA, KMeansDistance
 from surveylab.operators.impute import mice
-from surveylab.operators.modeling import (ModelSpec, ablation, cv_benchmark, fit, knn_classify, positive_probability,
-                                          quality_gate, random_search, stack, summarize_cv, evaluate)
+from surveylab.operators.modeling import (ModelSpec, ablation, cv_benchmark, evaluate, fit, knn_classify, quality_gate,
+                                          random_search, stack, summarize_cv)
 from surveylab.operators.neighbors import knn
 from surveylab.operators.sampling import adasyn, smote, stratified_folds, stratified_split
 from surveylab.operators.scoring import ModelScorer

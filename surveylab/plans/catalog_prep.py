@@ -8,8 +8,7 @@ from surveylab.operators import clean, link, stats
 from surveylab.operators.encode import (OneHotColumns, RareCollapse, ZScore, label_codes,
                                         recode, threshold_label)
 from surveylab.operators.features import FEATURE_NAMES, age_group
-from surveylab.operators.impute import (apply_plan, impute_by_kind, impute_mode, imputation_plan,
-                                        mice, plan_frame)
+from surveylab.operators.impute import apply_plan, impute_by_kind, impute_mode, imputation_plan, plan_frame
 from surveylab.operators.sampling import class_weights, repeated_folds, stratified_folds, stratified_split
 from surveylab.plans.registry import register
 from surveylab.plans.survey import derive, features_sql_exprs, survey_frame, survey_sql
