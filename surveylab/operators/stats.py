@@ -326,15 +326,39 @@ def winner(df: DataFrame, metric: str, name_col: str = "model") -> DataFrame:
     return df.orderBy(F.desc_nulls_last(m), F.asc(name_col)).limit(1)
 
 
+ROWS_PER_TASK = 1_000_000  # target rows of one partial window in salted two-level top-k
+
+
+def salt_by_size(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK,
+                 out: str = "__salt") -> DataFrame:
+    """Salt column so no (key, salt) group exceeds ~``rows_per_task`` rows.
+
+    Each key gets ceil(n_key / rows_per_task) salt values, from one count
+    per key (map-side combined; one row per key, joined back — AQE
+    broadcasts it once measured). The salt of a row hashes a per-row id, so
+    identical copies are spread as well; a re-run task over the same split
+    assigns the same ids.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select(*keys, F.greatest(F.ceil(F.col("__n") / F.lit(float(rows_per_task))), F.lit(1))
+                         .cast("long").alias("__ns"))
+    return (df.join(sizes, on=list(keys), how="inner")
+            .withColumn(out, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__ns")))
+            .drop("__ns"))
+
+
 def top_k_per(df: DataFrame, key: str | Sequence[str], by: str, k: int, use_abs: bool = True,
-              tie: str | Sequence[str] | None = None, sign: int = 0, salt: int = 16) -> DataFrame:
+              tie: str | Sequence[str] | None = None, sign: int = 0, salt: int | None = None,
+              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """TOP2: k rows per entity by (absolute) value, ties broken by ``tie``.
 
     ``sign`` = 1 keeps only positive values, -1 only negative ones. Two
     levels so a hot entity (a third of all rows) is never sorted whole in
-    one task: a partial top-k per (entity, salt) — salt = hash of a row id
-    mod ``salt`` — then the final top-k over at most salt × k rows per
-    entity. ``salt=1`` gives the plain one-window form.
+    one task: a partial top-k per (entity, salt), then the final top-k over
+    at most salt × k rows per entity. By default each entity gets
+    ceil(n / ``rows_per_task``) salts (:func:`salt_by_size`), which bounds
+    every window at any data size; an int ``salt`` fixes the count
+    (``salt=1``: the plain one-window form).
     """
     keys = [key] if isinstance(key, str) else list(key)
     ties = [] if tie is None else ([tie] if isinstance(tie, str) else list(tie))
@@ -345,11 +369,11 @@ def top_k_per(df: DataFrame, key: str | Sequence[str], by: str, k: int, use_abs:
     elif sign < 0:
         src = src.filter(v < 0)
     order = [F.desc(F.abs(v) if use_abs else v), *[F.asc(t) for t in ties]]
-    if salt > 1:
-        # per-row id (not the content, so identical copies are spread too); a
-        # re-run task over the same split assigns the same ids, and the final
-        # ranking does not depend on the salt anyway
-        src = src.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt)))
+    if salt is None or salt > 1:
+        if salt is None:
+            src = salt_by_size(src, keys, rows_per_task)
+        else:
+            src = src.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt)))
         part = Window.partitionBy(*keys, "__salt").orderBy(*order)
         src = src.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= k).drop("__salt", "__r")
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -112,3 +112,18 @@ def test_group_size_histogram(spark):
     rows = [(r.group_size, r.n_groups) for r in stats.group_size_histogram(df, ["g"]).collect()]
     assert rows == [(1, 1), (2, 1), (3, 1)]
     assert stats.multi_member_share(df, ["g"]).first()["n_multi"] == 2
+
+
+def test_salted_top_k_equals_plain_on_hot_key(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(0, i, float(rnd.randint(0, 50))) for i in range(3000)]          # hot key with ties
+    rows += [(k, i, rnd.random()) for k in range(1, 20) for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    plain = stats.top_k_per(df, "k", "v", 4, tie="i", salt=1)
+    salted = stats.top_k_per(df, "k", "v", 4, tie="i", rows_per_task=50)
+    fixed = stats.top_k_per(df, "k", "v", 4, tie="i", salt=7)
+    rows_of = lambda d: sorted(tuple(r) for r in d.select("k", "i", "v", "rank").collect())
+    assert rows_of(plain) == rows_of(salted) == rows_of(fixed)
+    sizes = stats.salt_by_size(df, ["k"], 50).groupBy("k", "__salt").count()
+    assert sizes.filter("k = 0").select("__salt").distinct().count() == 60
