@@ -97,7 +97,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 # ---------------------------------------------------------------- IMB3 / IMB4
 def _interpolate(minority: DataFrame, quotas: DataFrame, key: str, features, k: int, seed: int,
-                 pivots: int = 32) -> DataFrame:
+                 pivots: int | None = None) -> DataFrame:
     """Synthetic rows: for each minority row and j in 1..quota, a point on the
     segment to one of its k minority neighbours (md5-seeded choice and gap)."""
     from surveylab.operators.neighbors import knn
@@ -127,7 +127,7 @@ def _with_synthetic(df: DataFrame, syn: DataFrame, label: str, key: str, feature
 
 
 def smote(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int = 42,
-          minority=1, pivots: int = 32) -> DataFrame:
+          minority=1, pivots: int | None = None) -> DataFrame:
     """IMB3: oversample the minority class until both classes have equal counts.
 
     Each minority row gets floor(G / n_min) synthetic rows, and the first
@@ -153,7 +153,7 @@ def smote(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int =
 
 
 def adasyn(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int = 42,
-           minority=1, pivots: int = 32) -> DataFrame:
+           minority=1, pivots: int | None = None) -> DataFrame:
     """IMB4: ADASYN - quota per minority row proportional to the share of
     majority rows among its k nearest neighbours in all data.
 
