@@ -92,6 +92,34 @@ def _apply_sequential(df: DataFrame, packages: Sequence[Package]) -> DataFrame:
     return out
 
 
+SCENARIO_SCHEMA = ("package_id string, package_name string, step int, kind string, col string, "
+                   "value string, delta double, base string")
+
+
+def packages_from_table(scenarios: DataFrame) -> list[Package]:
+    """SIM2 / user-extension surface: packages from a scenario table.
+
+    One row per override (``SCENARIO_SCHEMA``): kind in set | onehot |
+    raise_to | lower, ``value`` as text (numbers are parsed), ``step`` orders
+    the overrides of a package, ``base`` names a package applied first. The
+    table has one row per override, so collecting it is bounded by the
+    scenario definition, not the data.
+    """
+    rows = scenarios.orderBy("package_id", "step").collect()
+    pk: dict[str, Package] = {}
+    for r in rows:
+        p = pk.setdefault(r["package_id"], Package(r["package_id"], r["package_name"], [], r["base"]))
+        v = r["value"]
+        try:
+            v = float(v) if v is not None and r["kind"] != "onehot" else v
+        except ValueError:
+            pass
+        if v is None and r["kind"] == "lower":
+            v = 0.0          # default floor of a lowering override
+        p.overrides.append(Override(r["kind"], r["col"], v, float(r["delta"] or 0.0)))
+    return list(pk.values())
+
+
 def simulate(df: DataFrame, key, packages: Sequence[Package], scorer,
              derive: Callable[[DataFrame], DataFrame] | None = None,
              names: dict | None = None) -> DataFrame:

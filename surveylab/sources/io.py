@@ -118,6 +118,11 @@ def write_run_metadata(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def feature_list(spark: SparkSession, names: Sequence[str], model: str = "model") -> DataFrame:
+    """SNK4: the ordered feature list of a fitted model as one ``array<string>`` row."""
+    return spark.createDataFrame([(model, list(names))], "model string, features array<string>")
+
+
 def union_all(dfs: Sequence[DataFrame], schema: T.StructType | str | None = None,
               spark: SparkSession | None = None) -> DataFrame:
     """SET1/SET2: row-wise union by column name; empty input -> empty frame."""

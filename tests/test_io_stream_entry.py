@@ -120,3 +120,10 @@ def test_query_matches_duckdb(spark, duck, name):
     stypes = {f.name: _DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
     assert stypes == dtypes
     assert _sorted_rows(df.columns, [tuple(r) for r in df.collect()]) == _sorted_rows(dcols, res.fetchall())
+
+
+def test_feature_list_round_trip(spark):
+    base = _scratch(spark)
+    io.write_run_metadata(io.feature_list(spark, ["b", "a", "c"], "rf"), base + "/features")
+    r = spark.read.json(base + "/features").first()
+    assert r.model == "rf" and list(r.features) == ["b", "a", "c"]

@@ -133,3 +133,18 @@ def test_quality_gate_bands(spark):
     assert got["d"] == ("PASS", True) and got["e"][0] == "STOP"
     forced = {r.model: r.attribution_allowed for r in quality_gate(df, "auc", override=True).collect()}
     assert forced["a"] is True
+
+
+def test_packages_from_scenario_table_match_objects(spark):
+    from surveylab.operators.simulate import SCENARIO_SCHEMA, packages_from_table
+    table = spark.createDataFrame([
+        ("p_lower_a", "lower a", 1, "lower", "a", None, 1.0, None),
+        ("p_same", "same", 1, "set", "b", "1.0", None, None),
+        ("p_combo", "combo", 1, "raise_to", "b", "0.0", 1.0, "p_lower_a")], SCENARIO_SCHEMA)
+    pk = packages_from_table(table)
+    objs = [Package("p_lower_a", "lower a", [Override.lower("a", 1.0)]),
+            Package("p_same", "same", [Override.set("b", 1.0)]),
+            Package("p_combo", "combo", [Override.raise_to("b", 0.0, 1.0)], base="p_lower_a")]
+    df = spark.createDataFrame([(1, 2.0, 1.0), (2, 0.0, 0.0)], "id long, a double, b double")
+    rows = lambda p: sorted(tuple(r) for r in simulate(df, "id", p, SCORER).collect())
+    assert rows(pk) == rows(objs)
