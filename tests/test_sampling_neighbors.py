@@ -64,6 +64,11 @@ def test_knn_exact_with_hot_duplicate_group(spark):
     exp = _brute(pts, 4)
     # distances may tie only inside the copy group, where ties break by id
     assert got == exp
+    small = knn(df, df.withColumnRenamed("id", "t"), "id", "t", "v", k=4, pivots=3, seed=2, block=4)
+    got2 = {}
+    for r in small.orderBy("id", "rank").collect():
+        got2.setdefault(r.id, []).append(r.t)
+    assert got2 == exp
 
 
 def test_knn_fewer_rows_than_k(spark):
