@@ -12,6 +12,6 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from surveylab.session import get_session
-    s = get_session("local[4]", shuffle_partitions=4)
+    s = get_session("local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
