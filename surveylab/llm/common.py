@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -38,7 +38,9 @@ def slices(batch: pa.RecordBatch, text_index: int, max_bytes: int = SLICE_BYTES)
     if col.nbytes <= max_bytes:
         yield batch
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+    length = pc.list_value_length if pa.types.is_list(col.type) else pc.binary_length
+    width = 4 if pa.types.is_list(col.type) else 1
+    sizes = [width * n for n in pc.fill_null(length(col), 0).to_pylist()]
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > max_bytes:
