@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import sentencepiece_codec
+from surveylab.llm import sentencepiece_codec, simhash
 from surveylab.llm.common import table
 
 #: Vocabulary files by name; the folder can be set for installations that keep them elsewhere.
@@ -36,8 +36,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_simhash": op2_simhash,
 }
 
 SQL: dict[str, str] = {}
