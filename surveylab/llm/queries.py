@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import sentencepiece_codec, simhash
+from surveylab.llm import quality_rules, sentencepiece_codec, simhash
 from surveylab.llm.common import table
 
 #: Vocabulary files by name; the folder can be set for installations that keep them elsewhere.
@@ -41,9 +41,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"),
+                               keep=["doc_id"])
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL: dict[str, str] = {}
