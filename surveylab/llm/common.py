@@ -15,7 +15,7 @@ from surveylab.session import checkpoint_dir, sf_path
 
 #: Texts are handled in slices of at most about this many characters, so that a
 #: batch of long documents never needs one huge output buffer.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 _INPUT = "__llm_in_"
 

@@ -22,8 +22,7 @@ def vocabulary(name: str) -> str:
 def piece_digests(docs: DataFrame) -> DataFrame:
     """Encode and decode every text; digests of the ids and of the decoded text."""
     path = vocabulary("piece_bpe_32k.model")
-    ids = sentencepiece_codec.encode(docs, path, keep=["doc_id"])
-    both = sentencepiece_codec.decode(ids, path)
+    both = sentencepiece_codec.encode(docs, path, decoded="decoded", keep=["doc_id"])
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -32,8 +32,8 @@ from surveylab.llm import common
 
 MARK = "▁"  # stands for the space in the pieces
 #: Words whose ids are kept per Python worker, and pairs whose compatibility is kept.
-WORDS_KEPT = 1 << 19
-PAIRS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 18
+PAIRS_KEPT = 1 << 18
 LONGEST_KEPT = 64
 
 # Fixed values of the model file format (field numbers and piece types of its public protocol-buffer schema).
@@ -296,23 +296,34 @@ def encoder(data: bytes) -> Encoder:
     return common.cached_in_task(("encoder", hash(data)), lambda: Encoder(Model(data)))
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", keep=None) -> DataFrame:
-    """Append ``ids`` (array of int): the ids of each whole text, without begin or end ids."""
+def decoder(data: bytes) -> Decoder:
+    return common.cached_in_task(("decoder", hash(data)), lambda: Decoder(Model(data)))
+
+
+def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
+           keep=None) -> DataFrame:
+    """Append ``ids`` (array of int): the ids of each whole text, without begin or end ids.
+
+    With ``decoded``, the ids are decoded again in the same pass and the texts
+    appended under that name.
+    """
     data = common.vocabulary_bytes(model_path)
 
     def task():
-        enc = encoder(data)
+        enc, dec = encoder(data), decoder(data) if decoded else None
 
         def batch(col):
             made = [enc.encode(t) for t in common.texts(col)]
             offsets = np.zeros(len(made) + 1, "int32")
             np.cumsum([len(b) // 4 for b in made], out=offsets[1:])
             flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(made))])
-            return [pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
+            return [lists, pa.array(dec.decode(lists), pa.string())] if dec else [lists]
 
         return batch
 
-    return common.map_columns(df, [text], [StructField(ids, ArrayType(IntegerType()))], task, keep)
+    fields = [StructField(ids, ArrayType(IntegerType()))]
+    return common.map_columns(df, [text], fields + [StructField(decoded, StringType())] * bool(decoded), task, keep)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded", keep=None) -> DataFrame:
@@ -320,7 +331,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     data = common.vocabulary_bytes(model_path)
 
     def task():
-        dec = common.cached_in_task(("decoder", hash(data)), lambda: Decoder(Model(data)))
+        dec = decoder(data)
 
         def batch(col):
             lists = pa.array([x or [] for x in col.to_pylist()], col.type) if col.null_count else col
