@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import decontaminate, quality_rules, sentencepiece_codec, simhash
+from surveylab.llm import decontaminate, labels, quality_rules, sentencepiece_codec, simhash, toxicity
 from surveylab.llm.common import table
 
 #: Vocabulary files by name; the folder can be set for installations that keep them elsewhere.
@@ -46,6 +46,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learnt from the labelled documents outside of fold 2 of 4."""
+    return toxicity.fit(*labels.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", 4, 2))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", (labels.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"),
                                keep=["doc_id"])
@@ -55,6 +66,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
