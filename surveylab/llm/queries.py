@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import decontaminate, labels, quality_rules, sentencepiece_codec, simhash, toxicity
+from surveylab.llm import decontaminate, labels, quality_rules, sentencepiece_codec, simhash, simple8b, toxicity
 from surveylab.llm.common import table
+from surveylab.session import checkpoint_dir
 
 #: Vocabulary files by name; the folder can be set for installations that keep them elsewhere.
 VOCABULARIES = os.environ.get("SURVEYLAB_VOCABULARIES", "")
@@ -40,6 +42,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    ids = simple8b.token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2,
+                             keep=["doc_id"])
+    simple8b.write(ids, path)
+    return simple8b.read(spark, path).select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -65,6 +76,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op6_token_binary": op6_token_binary,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
