@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import decontaminate, labels, quality_rules, sentencepiece_codec, simhash, simple8b, toxicity
+from surveylab.llm import decontaminate, labels, quality_classifier, quality_rules, sentencepiece_codec, simhash, simple8b, toxicity
 from surveylab.llm.common import table
 from surveylab.session import checkpoint_dir
 
@@ -42,6 +42,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(*labels.sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1))
+    scored = quality_classifier.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (labels.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     ids = simple8b.token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2,
@@ -76,6 +83,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_token_binary": op6_token_binary,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
