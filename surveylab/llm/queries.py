@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import decontaminate, labels, quality_classifier, quality_rules, sentencepiece_codec, simhash, simple8b, toxicity
+from surveylab.llm import (chat, decontaminate, labels, quality_classifier, quality_rules, sentencepiece_codec, simhash,
+                           simple8b, token_counts, toxicity)
 from surveylab.llm.common import table
 from surveylab.session import checkpoint_dir
 
@@ -49,6 +50,15 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (labels.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
+                                     keep=["doc_id"])
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     ids = simple8b.token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2,
@@ -84,6 +94,8 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_chat_format": op4_chat_format,
+    "op5_token_counts": op5_token_counts,
     "op6_token_binary": op6_token_binary,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
@@ -91,6 +103,19 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op4_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        c AS (SELECT conv_id, list([role, text] ORDER BY turn) AS said,
+                  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+                             || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), ''
+                             ORDER BY turn) AS rendered
+              FROM t GROUP BY conv_id),
+        p AS (SELECT DISTINCT list_slice(said, 1, k) AS said
+              FROM (SELECT said, unnest(range(1, len(said))) AS k FROM c)),
+        g AS (SELECT said, min(conv_id) AS conv_id, count(*) AS n_copies, min(rendered) AS rendered FROM c GROUP BY said)
+        SELECT conv_id, CAST(len(said) AS BIGINT) AS n_turns, n_copies, rendered
+        FROM g WHERE said NOT IN (SELECT said FROM p)
+    """,
     "op7_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(
                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
