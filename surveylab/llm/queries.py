@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import (chat, decontaminate, labels, quality_classifier, quality_rules, sentencepiece_codec, simhash,
-                           simple8b, token_counts, toxicity)
+from surveylab.llm import (chat, decontaminate, html_text, labels, quality_classifier, quality_rules, sentencepiece_codec,
+                           simhash, simple8b, token_counts, toxicity)
 from surveylab.llm.common import table
 from surveylab.session import checkpoint_dir
 
@@ -90,6 +90,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                keep=["doc_id"])
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"),
+                        F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the top of the repository, and itself imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
@@ -100,6 +112,8 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_text": op10_html_text,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
