@@ -23,6 +23,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("__id"), "__id").limit(most) for c in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * most rows of an id and a number
-    rows = docs.join(chosen, F.col(doc_id) == F.col("__id")).select(
-        F.col("__id").alias("doc_id"), F.col(text).alias("text"), "label")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = texts.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
     return rows, counts

@@ -108,34 +108,36 @@ def links(fps: DataFrame, max_bits: int = 2, longest_list: int = LONGEST_LIST) -
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                     max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the least id that links reach.
+    """(doc_id, text_hash, fp, root, component_id) for every row: component_id is the least id that links reach,
+    root the least fingerprint of the component.
 
     Null and empty texts, and texts without a word, have fingerprint 0 and link
     like any other. Repeated rows stay and share a component. A null id is
     passed by when the least id is taken (null only if the component has no
     id). An empty table gives an empty result.
     """
-    docs = common.stored(fingerprints(df, text, shingle, keep=[doc_id]), "fingerprints")
-    fps = common.stored(docs.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    docs = common.stored(fingerprints(texts, "text", shingle, keep=["doc_id", "text_hash"]), "fingerprints")
+    fps = common.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected(links(fps.select("fp"), max_bits))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     # Only fingerprints with links have another root, so that most groups here are single rows.
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.stored(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return docs.join(named, "fp").select(doc_id, "fp", "component_id")
+    named = common.stored(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                 max_bits: int = 2) -> DataFrame:
-    """The rows of ``df`` with one document per component: the one with the least id, and of repeated rows one."""
+    """The rows of ``df`` with one document per component: the one with the least id (a null id comes last, and of
+    texts with one id the least hash), and of repeated rows one."""
     classes = near_duplicates(df, doc_id, text, shingle, max_bits)
-    kept = common.stored(classes.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-                         .groupBy(F.col(doc_id).alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("__n"))
-                         , "kept")
-    # A component whose least id stands in several rows keeps one of them.
-    ids = kept.groupBy("__id").agg(F.sum("__n").alias("__rows"))
-    found = df.join(ids, F.col(doc_id).eqNullSafe(F.col("__id"))).drop("__id")
-    once = found.where("__rows = 1").drop("__rows")
-    again = found.where("__rows > 1").drop("__rows")
-    return once.unionByName(again.dropDuplicates([doc_id]))
+    first = (classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+             .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("k")))
+    kept = common.stored(first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"),
+                                      F.col("k.n").alias("__rows")), "kept")
+    found = df.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")))
+    once = found.where("__rows = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    again = found.where("__rows > 1").dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    return once.unionByName(again)
