@@ -28,7 +28,7 @@ def documents(spark, rows=None, clash=False, repeats=True):
     rows = texts() if rows is None else rows
     data = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)]
     if repeats:
-        data += [data[0], data[3], (None, "null id text here", None, None, None), (None, None, None, None, None)]
+        data += [data[0], data[min(3, len(data) - 1)], (None, "null id text here", None, None, None), (None, None, None, None, None)]
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
     return df.withColumns({c: F.lit("x") for c in CLASHES}) if clash else df
 
