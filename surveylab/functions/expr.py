@@ -49,6 +49,12 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    null = F.col(name).isNull()
+    return null | F.isnan(F.col(name)) if df.schema[name].dataType.typeName() in ("double", "float") else null
+
+
 def as_double(df: DataFrame, name: str) -> Column:
     dt = df.schema[name].dataType.typeName()
     col = F.col(name).cast("double")

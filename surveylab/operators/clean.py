@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surveylab.functions.expr import is_missing
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 
@@ -85,11 +87,11 @@ def drop_missing(df: DataFrame, required: Sequence[str], obs: Observation | None
 
 
 def null_shares(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, float]:
-    """Null share per column from one aggregate pass (result size = #columns)."""
+    """Null (or NaN) share per column from one aggregate pass (result size = #columns)."""
     cols = list(cols) if cols is not None else df.columns
     if not cols:
         return {}
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols]).first()
+    row = df.agg(*[F.avg(is_missing(df, c).cast("double")).alias(c) for c in cols]).first()
     return {c: (row[c] if row[c] is not None else 0.0) for c in cols}
 
 

@@ -8,7 +8,9 @@ projection.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveylab.functions.expr import nan_to_null
+from surveylab.functions.expr import is_missing, nan_to_null
 from surveylab.operators.clean import columns_by_kind, null_shares
 from surveylab.session import cut_lineage
 
@@ -51,10 +53,15 @@ def mode_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     with one (variable, value) aggregation that combines map-side, so a hot
     value never lands whole on one task. Output: one row per column.
     """
-    num = [c for c in cols if c in columns_by_kind(df, "numeric")]
-    txt = [c for c in cols if c not in num]
+    types = {c: df.schema[c].dataType for c in cols}
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    kinds = {"long": [c for c in cols if isinstance(types[c], whole)],
+             "double": [c for c in cols if isinstance(types[c], (T.FloatType, T.DoubleType))]}
+    kinds |= {t.simpleString(): [c for c in cols if types[c] == t] for t in {
+        t for t in types.values() if isinstance(t, T.DecimalType)}}
+    kinds["string"] = [c for c in cols if not any(c in g for g in kinds.values())]
     parts = []
-    for group, typ in ((num, "double"), (txt, "string")):
+    for typ, group in kinds.items():
         if not group:
             continue
         st = (df.select(*[F.col(c).cast(typ).alias(c) for c in group])
@@ -84,9 +91,11 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict:
     for r in mode_table(df, cols).collect():
         v, dt = r["mode"], types[r["variable"]]
         if v is not None and isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-            v = int(float(v))
-        elif v is not None and isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+            v = int(v)
+        elif v is not None and isinstance(dt, (T.DoubleType, T.FloatType)):
             v = float(v)
+        elif v is not None and isinstance(dt, T.DecimalType):
+            v = Decimal(v)
         out[r["variable"]] = v
     return out
 
@@ -151,9 +160,11 @@ def apply_plan(df: DataFrame, plan: list[dict], mice_rounds: int = 10) -> DataFr
         if m == "median" and v is not None:
             exprs[c] = F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(float(v)))
         elif m == "mode" and v is not None:
-            exprs[c] = F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
+            exprs[c] = F.when(is_missing(df, c), F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c))
         elif m == "missing_category":
-            exprs[c] = F.coalesce(F.col(c), F.lit(-1)).cast("int")
+            # a text level stays text; numbers are codes
+            typ = "string" if df.schema[c].dataType.typeName() == "string" else "int"
+            exprs[c] = F.when(is_missing(df, c), F.lit(-1).cast(typ)).otherwise(F.col(c).cast(typ))
     out = df.withColumns(exprs) if exprs else df
     mice_cols = [p["column"] for p in plan if p["method"] == "mice"]
     if mice_cols:
@@ -227,8 +238,8 @@ def mice(df: DataFrame, cols: Sequence[str], rounds: int = 10, checkpoint_every:
     cols = list(cols)
     miss = {c: f"__miss_{i}" for i, c in enumerate(cols)}
     means = df.agg(*[F.avg(nan_to_null(F.col(c).cast("double"))).alias(c) for c in cols]).first()
-    cur = df.withColumns({m: F.col(c).isNull() for c, m in miss.items()})
-    cur = cur.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in cols})
+    cur = df.withColumns({m: is_missing(df, c) for c, m in miss.items()})
+    cur = cur.withColumns({c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(means[c])) for c in cols})
     if len(cols) == 1:
         return cur.drop(*miss.values())
     for r in range(rounds):
@@ -285,5 +296,5 @@ class MedianImputerModel(Model, _MedianParams, DefaultParamsReadable, DefaultPar
         cols = self.getInputCols()
         vals = self.getOrDefault(self.surrogates)
         return dataset.withColumns({
-            c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(v))
+            c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(None if math.isnan(v) else v).cast("double"))
             for c, v in zip(cols, vals) if c in dataset.columns})

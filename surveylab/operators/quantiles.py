@@ -1,135 +1,88 @@
-"""Exact quantiles that never hold a whole column in one task.
-
-Spark's exact ``percentile`` keeps a value -> count map per group; merged in
-one task, that is bounded only by the column's cardinality. Here:
-
-1. one pass gets count, min, max and an approximate distinct count per column;
-2. columns with few distinct values (<= ``map_limit``) use ``percentile``
-   (its buffer is then provably small);
-3. the others use distributed selection: for each needed order statistic,
-   rows of the current range are counted in ``buckets`` equal-width buckets
-   (one aggregation with map-side combine; the result has at most
-   targets × buckets rows), the bucket holding the wanted rank becomes the new
-   range, and once it holds <= ``collect_limit`` rows (or a single value, e.g.
-   a hot value holding a third of all rows) it is read exactly.
-
-Interpolation between the two neighbouring order statistics matches pandas /
-``percentile`` / DuckDB ``quantile_cont``.
+"""Exact quantiles in two bounded passes, as one lazy plan for any number of columns or groups.
+
+1. ``percentile_approx`` brackets every wanted quantile (its rank error is at
+   most rows / accuracy);
+2. one aggregation counts the rows between the brackets (a row per gap) and
+   keeps the distinct values inside of them with their counts; running counts
+   over this small table give the exact order statistics.
+
+Only about ``6 / accuracy`` of a group's rows lie inside a bracket, so that
+neither a column nor a group is ever held whole. Interpolation between the two
+neighbouring order statistics matches pandas / ``percentile`` / DuckDB
+``quantile_cont``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveylab.functions.expr import nan_to_null
 
+ACCURACY = 100_000
+
+
+def quantiles_by(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
+                 accuracy: int = ACCURACY) -> DataFrame:
+    """(group…, n, q): the number of non-null values and the array of quantiles of each group.
 
-def _bucket(v: Column, lo: float, hi: float, b: int) -> Column:
-    if hi <= lo:
-        return F.lit(0)
-    w = (hi - lo) / b
-    return F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(w)), F.lit(0)), F.lit(b - 1)).cast("int")
+    NULL and NaN values are passed by; a NULL group is a group. Infinite values
+    are values like others.
+    """
+    keys, probs = list(group), [float(p) for p in probs]
+    names = [f"__g{i}" for i in range(len(keys))]
+    src = (df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], nan_to_null(F.col(value).cast("double")).alias("v"))
+           .filter(F.col("v").isNotNull()))
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-3.0 / accuracy, 3.0 / accuracy)]
+    marks = src.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, accuracy).alias("e"))
+    brackets = marks.select(
+        *[F.col(g).alias(f"__k{i}") for i, g in enumerate(names)], "n",
+        F.array(*[F.struct(F.col("e")[2 * i].alias("lo"), F.col("e")[2 * i + 1].alias("hi")) for i in range(len(probs))])
+        .alias("b"))
+    on = F.lit(True)
+    for i, g in enumerate(names):
+        on = on & F.col(g).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.exists("b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))
+    # rows outside of all brackets are ordered behind the greatest bracket end below them
+    below = F.array_max(F.filter(F.transform("b", lambda x: x["hi"]), lambda h: h < F.col("v")))
+    counts = (src.join(brackets, on).select(*names, "n", "v", (~inside).alias("gap"),
+                                            F.when(inside, F.col("v")).otherwise(below).alias("at"))
+              .groupBy(*names, "n", "at", "gap").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"),
+                                                      F.max("v").alias("hi")))
+    w = Window.partitionBy(*names).orderBy(F.col("at").asc_nulls_first(), "gap").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    run = counts.withColumn("upto", F.sum("c").over(w))
 
+    def statistic(rank):
+        """The value of a 0-based rank: that of a value inside, or the first or last one of a gap."""
+        first = F.col("upto") - F.col("c")
+        here = (rank >= first) & (rank < F.col("upto"))
+        found = (F.when(~F.col("gap") | (rank == first), F.col("lo")).when(rank == F.col("upto") - 1, F.col("hi"))
+                 .otherwise(F.raise_error(F.lit("quantile outside of its bracket: raise the accuracy")).cast("double")))
+        return F.max(F.when(here, found))
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], map_limit: int = 200_000,
-                    collect_limit: int = 100_000, buckets: int = 4096, max_rounds: int = 16) -> dict:
-    """{col: [q(p) for p in probs]} (None for an all-NULL column)."""
-    cols = list(cols)
-    probs = list(probs)
-    src = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
-                 F.approx_count_distinct(c).alias(f"d{i}")]
-    st = src.agg(*aggs).first()
-    out: dict = {}
-    small = [c for i, c in enumerate(cols) if st[f"n{i}"] and st[f"d{i}"] <= map_limit]
-    if small:
-        parr = F.array(*[F.lit(float(p)) for p in probs])
-        row = src.agg(*[F.percentile(F.col(c), parr).alias(c) for c in small]).first()
-        out.update({c: list(row[c]) for c in small})
-    # order statistics still needed: target = (col index, 0-based rank)
-    targets = {}
-    for i, c in enumerate(cols):
-        n = st[f"n{i}"]
-        if c in out:
-            continue
-        if not n:
-            out[c] = [None] * len(probs)
-            continue
-        for p in probs:
-            h = (n - 1) * p
-            for r in {math.floor(h), math.ceil(h)}:
-                targets[(i, r)] = {"lo": float(st[f"lo{i}"]), "hi": float(st[f"hi{i}"]), "off": 0, "chain": []}
-    values: dict = {}
-    pending = dict(targets)
-    rounds = 0
-    while pending:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("quantile selection did not converge")
-        # targets with the same column and range share one histogram
-        sigs: dict = {}
-        for key, s in pending.items():
-            sigs.setdefault((key[0], s["lo"], s["hi"], tuple(s["chain"])), []).append(key)
-        sig_list = list(sigs)
-        parts = []
-        for sid, (i, lo, hi, chain) in enumerate(sig_list):
-            v = F.col(cols[i])
-            cond = v.isNotNull()
-            for (clo, chi, cb) in chain:
-                cond = cond & (_bucket(v, clo, chi, buckets) == cb)
-            parts.append(F.when(cond, F.struct(F.lit(sid).alias("t"), _bucket(v, lo, hi, buckets).alias("b"),
-                                               v.alias("v"))))
-        # one pass; output is at most (#signatures × buckets) rows
-        hist = (src.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x"))
-                .groupBy(F.col("x.t").alias("t"), F.col("x.b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("mn"), F.max("x.v").alias("mx"))
-                .collect())
-        by_sig: dict = {}
-        for h in hist:
-            by_sig.setdefault(h["t"], []).append(h)
-        to_collect = []
-        for sid, sig in enumerate(sig_list):
-            hs = sorted(by_sig.get(sid, []), key=lambda x: x["b"])
-            for key in sigs[sig]:
-                s = pending[key]
-                rank = key[1] - s["off"]
-                cum = 0
-                for h in hs:
-                    if cum + h["n"] > rank:
-                        if h["mn"] == h["mx"]:
-                            values[key] = float(h["mn"])
-                        elif h["n"] <= collect_limit:
-                            to_collect.append((key, h["b"], rank - cum))
-                        else:
-                            s["chain"] = s["chain"] + [(s["lo"], s["hi"], h["b"])]
-                            s["off"] += cum
-                            s["lo"], s["hi"] = float(h["mn"]), float(h["mx"])
-                        break
-                    cum += h["n"]
-        for key, b, k in to_collect:
-            s = pending[key]
-            v = F.col(cols[key[0]])
-            cond = v.isNotNull()
-            for (lo, hi, bb) in s["chain"] + [(s["lo"], s["hi"], b)]:
-                cond = cond & (_bucket(v, lo, hi, buckets) == bb)
-            # the bucket holds at most collect_limit rows; take its k-th smallest
-            vals = src.filter(cond).select(v.alias("v")).orderBy("v").limit(k + 1).collect()
-            values[key] = float(vals[k]["v"])
-        pending = {k: s for k, s in pending.items() if k not in values}
-    for i, c in enumerate(cols):
-        if c in out:
-            continue
-        n = st[f"n{i}"]
-        res = []
-        for p in probs:
-            h = (n - 1) * p
-            a, b = values[(i, math.floor(h))], values[(i, math.ceil(h))]
-            res.append(a + (h - math.floor(h)) * (b - a))
-        out[c] = res
-    return out
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(p)
+        aggs += [statistic(F.floor(h)).alias(f"a{i}"), statistic(F.ceil(h)).alias(f"z{i}")]
+    out = run.groupBy(*names, "n").agg(*aggs)
+    q = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(p)
+        a, z = F.col(f"a{i}"), F.col(f"z{i}")
+        q.append(F.when(a == z, a).otherwise(a + (h - F.floor(h)) * (z - a)))
+    return out.select(*[F.col(g).alias(k) for g, k in zip(names, keys)], "n", F.array(*q).alias("q"))
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(variable, n, q) for each column that has a value."""
+    stacked = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "variable", "value")
+    return quantiles_by(stacked, ["variable"], "value", probs, accuracy)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY) -> dict:
+    """{col: [q(p) for p in probs]} (None for an all-NULL column); one row per column reaches the driver."""
+    found = {r["variable"]: list(r["q"]) for r in column_quantiles(df, cols, probs, accuracy).collect()} if cols else {}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}

@@ -6,9 +6,8 @@ Shape rules used throughout:
   grouped once, never a job per column;
 * totals needed as denominators come from scalar subqueries
   (``DataFrame.scalar()``), evaluated once, never a cross join;
-* exact percentiles keep a value->count buffer per group; pass
-  ``exact=False`` for high-cardinality continuous columns to use the
-  bounded-size ``percentile_approx`` sketch instead.
+* exact quantiles come from two bounded passes (bracket, then count inside
+  the brackets); ``exact=False`` is the one-pass ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveylab.functions.expr import nan_to_null, ratio, uniform
+from surveylab.functions.expr import is_missing, nan_to_null, ratio, uniform
 
 
 def _rows_from_struct_array(one_row: DataFrame, structs: list[Column], alias: str = "r") -> DataFrame:
@@ -39,7 +38,7 @@ def missingness_report(df: DataFrame, cols: Sequence[str] | None = None, only_mi
     """
     cols = list(cols) if cols is not None else df.columns
     agg = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.sum(F.col(c).isNull().cast("long")).alias(f"m{i}") for i, c in enumerate(cols)])
+                 *[F.sum(is_missing(df, c).cast("long")).alias(f"m{i}") for i, c in enumerate(cols)])
     rows = _rows_from_struct_array(agg, [
         F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count"),
                  _maybe_round(ratio(F.col(f"m{i}") * 100.0, F.col("__n")), dp).alias("missing_pct"))
@@ -53,7 +52,7 @@ def null_total(df: DataFrame) -> DataFrame:
     """AGG2: total NULL cells left in the table (one row)."""
     total = F.lit(0).cast("long")
     for c in df.columns:
-        total = total + F.sum(F.col(c).isNull().cast("long"))
+        total = total + F.sum(is_missing(df, c).cast("long"))
     return df.agg(total.alias("null_total"))
 
 
@@ -124,27 +123,22 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], exact: bool = True,
     Columns are stacked and grouped once. Exact quartiles interpolate
     linearly (as pandas ``describe``) and come from distributed selection.
     """
+    from surveylab.operators.quantiles import column_quantiles
     stacked = (df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
                .unpivot([], list(cols), "variable", "value"))
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    probs = [0.25, 0.5, 0.75]
+    r = lambda c: _maybe_round(c, dp)
+    aggs = [F.count("value").alias("count"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max")]
     if exact:
-        # quartiles by distributed selection (no column held whole in one task);
-        # the 3 values per column travel as a literal map
-        from surveylab.operators.quantiles import exact_quantiles
-        qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-        qmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*[F.lit(v).cast("double") for v in qs[c]]))])
-        q = F.element_at(qmap, F.first("variable"))
+        # two bounded passes in the same plan; no job runs while it is built
+        out = stacked.groupBy("variable").agg(*aggs).join(
+            column_quantiles(df, cols, probs).select("variable", "q"), "variable", "left")
     else:
-        q = F.percentile_approx(F.col("value"), probs, accuracy)
-    r = lambda c: _maybe_round(c, dp)
-    return (stacked.groupBy("variable").agg(
-        F.count("value").alias("count"), r(F.avg("value")).alias("mean"),
-        r(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"),
-        q.alias("__q"), F.max("value").alias("max"))
-        .select("variable", "count", "mean", "std", "min",
-                r(F.col("__q")[0]).alias("q25"), r(F.col("__q")[1]).alias("q50"),
-                r(F.col("__q")[2]).alias("q75"), "max")
-        .orderBy("variable"))
+        out = stacked.groupBy("variable").agg(*aggs, F.percentile_approx(F.col("value"), probs, accuracy).alias("q"))
+    return (out.select("variable", "count", "mean", "std", "min", r(F.col("q")[0]).alias("q25"),
+                       r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"), "max")
+            .orderBy("variable"))
 
 
 # ---------------------------------------------------------------- AGG9
@@ -227,35 +221,22 @@ def histogram(df: DataFrame, col: str, bins: int = 40, dp: int | None = None) ->
 
 
 def boxplot_stats(df: DataFrame, value: str, group: str, exact: bool = True,
-                  accuracy: int = 10000, dp: int | None = None, max_groups: int = 256) -> DataFrame:
+                  accuracy: int = 10000, dp: int | None = None) -> DataFrame:
     """AGG13: quartiles, 1.5·IQR whiskers and outlier count per group (NULL group excluded).
 
-    Exact quartiles: with at most ``max_groups`` groups (checked with a
-    bounded ``distinct().limit``) each group is a masked column for the
-    distributed exact selection, so no group is held whole in one task; with
-    more groups the per-group ``percentile`` buffer is used. Pass 2 joins the
-    fences back (one row per group) to find whisker ends and outliers.
+    Quartiles of any number of groups come from two bounded passes
+    (:mod:`surveylab.operators.quantiles`); the fences, a row per group, are
+    joined back to find whisker ends and outliers.
     """
+    from surveylab.operators.quantiles import quantiles_by
     v = nan_to_null(F.col(value).cast("double"))
     src = df.select(F.col(group), v.alias("v")).filter(F.col("v").isNotNull() & F.col(group).isNotNull())
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    groups = None
+    probs = [0.25, 0.5, 0.75]
     if exact:
-        groups = [r[0] for r in src.select(group).distinct().limit(max_groups + 1).collect()]
-        if len(groups) > max_groups:
-            groups = None
-    if groups is not None:
-        from surveylab.operators.quantiles import exact_quantiles
-        masked = src.select(*[F.when(F.col(group) == F.lit(g), F.col("v")).alias(f"g{i}") for i, g in enumerate(groups)])
-        qs = exact_quantiles(masked, [f"g{i}" for i in range(len(groups))], [0.25, 0.5, 0.75]) if groups else {}
-        qdf = df.sparkSession.createDataFrame(
-            [(g, *qs[f"g{i}"]) for i, g in enumerate(groups)],
-            f"`{group}` {df.schema[group].dataType.simpleString()}, q1 double, median double, q3 double")
-        st = src.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(qdf, group)
+        st = quantiles_by(src, [group], "v", probs)
     else:
-        q = F.percentile("v", probs) if exact else F.percentile_approx("v", probs, accuracy)
-        st = (src.groupBy(group).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
-              .select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
+        st = src.groupBy(group).agg(F.percentile_approx("v", probs, accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
+    st = st.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     st = st.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = src.join(st.select(group, "lo_fence", "hi_fence"), on=group, how="inner")
@@ -326,39 +307,14 @@ def winner(df: DataFrame, metric: str, name_col: str = "model") -> DataFrame:
     return df.orderBy(F.desc_nulls_last(m), F.asc(name_col)).limit(1)
 
 
-ROWS_PER_TASK = 1_000_000  # target rows of one partial window in salted two-level top-k
-
-
-def salt_by_size(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK,
-                 out: str = "__salt") -> DataFrame:
-    """Salt column so no (key, salt) group exceeds ~``rows_per_task`` rows.
-
-    Each key gets ceil(n_key / rows_per_task) salt values, from one count
-    per key (map-side combined; one row per key, joined back — AQE
-    broadcasts it once measured). The salt of a row hashes a per-row id, so
-    identical copies are spread as well; a re-run task over the same split
-    assigns the same ids.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.select(*keys, F.greatest(F.ceil(F.col("__n") / F.lit(float(rows_per_task))), F.lit(1))
-                         .cast("long").alias("__ns"))
-    return (df.join(sizes, on=list(keys), how="inner")
-            .withColumn(out, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__ns")))
-            .drop("__ns"))
-
-
 def top_k_per(df: DataFrame, key: str | Sequence[str], by: str, k: int, use_abs: bool = True,
-              tie: str | Sequence[str] | None = None, sign: int = 0, salt: int | None = None,
-              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+              tie: str | Sequence[str] | None = None, sign: int = 0) -> DataFrame:
     """TOP2: k rows per entity by (absolute) value, ties broken by ``tie``.
 
-    ``sign`` = 1 keeps only positive values, -1 only negative ones. Two
-    levels so a hot entity (a third of all rows) is never sorted whole in
-    one task: a partial top-k per (entity, salt), then the final top-k over
-    at most salt × k rows per entity. By default each entity gets
-    ceil(n / ``rows_per_task``) salts (:func:`salt_by_size`), which bounds
-    every window at any data size; an int ``salt`` fixes the count
-    (``salt=1``: the plain one-window form).
+    ``sign`` = 1 keeps only positive values, -1 only negative ones. The rank
+    filter makes Spark cut every entity to k rows per task before the shuffle
+    (WindowGroupLimit), so a hot entity never meets whole in one task. Rows with
+    a NULL key form an entity of their own.
     """
     keys = [key] if isinstance(key, str) else list(key)
     ties = [] if tie is None else ([tie] if isinstance(tie, str) else list(tie))
@@ -368,15 +324,7 @@ def top_k_per(df: DataFrame, key: str | Sequence[str], by: str, k: int, use_abs:
         src = src.filter(v > 0)
     elif sign < 0:
         src = src.filter(v < 0)
-    order = [F.desc(F.abs(v) if use_abs else v), *[F.asc(t) for t in ties]]
-    if salt is None or salt > 1:
-        if salt is None:
-            src = salt_by_size(src, keys, rows_per_task)
-        else:
-            src = src.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt)))
-        part = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        src = src.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= k).drop("__salt", "__r")
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs(v) if use_abs else v), *[F.asc(t) for t in ties])
     return src.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

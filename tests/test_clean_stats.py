@@ -114,16 +114,25 @@ def test_group_size_histogram(spark):
     assert stats.multi_member_share(df, ["g"]).first()["n_multi"] == 2
 
 
-def test_salted_top_k_equals_plain_on_hot_key(spark):
+def test_top_k_on_hot_and_null_keys(spark):
     import random
     rnd = random.Random(2)
     rows = [(0, i, float(rnd.randint(0, 50))) for i in range(3000)]          # hot key with ties
     rows += [(k, i, rnd.random()) for k in range(1, 20) for i in range(5)]
-    df = spark.createDataFrame(rows, "k int, i int, v double")
-    plain = stats.top_k_per(df, "k", "v", 4, tie="i", salt=1)
-    salted = stats.top_k_per(df, "k", "v", 4, tie="i", rows_per_task=50)
-    fixed = stats.top_k_per(df, "k", "v", 4, tie="i", salt=7)
-    rows_of = lambda d: sorted(tuple(r) for r in d.select("k", "i", "v", "rank").collect())
-    assert rows_of(plain) == rows_of(salted) == rows_of(fixed)
-    sizes = stats.salt_by_size(df, ["k"], 50).groupBy("k", "__salt").count()
-    assert sizes.filter("k = 0").select("__salt").distinct().count() == 60
+    rows += [(None, i, float(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "k int, i int, v double").repartition(5)
+    got = sorted(((r.k is None, r.k or 0, r.rank, r.i) for r in stats.top_k_per(df, "k", "v", 4, tie="i").collect()))
+    want = []
+    for k in {r[0] for r in rows}:
+        best = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))[:4]
+        want += [(k is None, k or 0, n + 1, r[1]) for n, r in enumerate(best)]
+    assert got == sorted(want)
+    plan = stats.top_k_per(df, "k", "v", 4, tie="i")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (None, "b"), (2.0, "b")], "x double, t string")
+    rep = {r["column"]: r.missing_count for r in stats.missingness_report(df).collect()}
+    assert rep == {"x": 2, "t": 1} and stats.null_total(df).first()[0] == 3
+

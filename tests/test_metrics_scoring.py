@@ -42,14 +42,27 @@ def test_auc_ties_half_matches_brute_force(spark):
     pos = [s for s, y in rows if y == 1]
     neg = [s for s, y in rows if y == 0]
     exp = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    got = metrics.roc_auc(df, "s", "y", buckets=4).first()["auc"]
+    got = metrics.roc_auc(df, "s", "y", per_bucket=3).first()["auc"]
     assert math.isclose(got, exp, rel_tol=1e-12)
     single = spark.createDataFrame([(0.1, 1), (0.2, 1)], "s double, y int")
     assert metrics.roc_auc(single, "s", "y").first()["auc"] is None
-    curve = metrics.roc_curve(df, "s", "y", buckets=3).collect()
+    curve = metrics.roc_curve(df, "s", "y", per_bucket=4).collect()
+    with_null = df.union(spark.createDataFrame([(None, 1), (float("nan"), 0)], "s double, y int"))
+    assert metrics.roc_curve(with_null, "s", "y").collect() == metrics.roc_curve(df, "s", "y").collect()
     assert curve[-1].tpr == 1.0 and curve[-1].fpr == 1.0
 
 
+def test_auc_of_billions_of_rows_does_not_overflow(spark):
+    many = 4_000_000_000
+    big = spark.createDataFrame([(0.1, 0, many), (0.9, 1, many)], "s double, pos long, n long").selectExpr(
+        "s", "if(pos = 1, n, 0L) as pos", "if(pos = 0, n, 0L) as neg", "if(pos = 1, 4000000000L, 0L) as neg_below")
+    real, metrics._score_counts = metrics._score_counts, lambda *a: big
+    try:
+        assert metrics.roc_auc(None, "s", "y").first()["auc"] == 1.0
+    finally:
+        metrics._score_counts = real
+
+
 def test_brier_and_report(spark):
     df = spark.createDataFrame([(0.9, 1, 1), (0.2, 0, 0), (0.6, 0, 1)], "p double, y int, pred int")
     assert math.isclose(metrics.brier(df, "p", "y").first()["brier"], (0.01 + 0.04 + 0.36) / 3)

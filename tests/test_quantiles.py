@@ -1,11 +1,11 @@
-"""Distributed exact quantiles agree with numpy on both paths."""
+"""Distributed exact quantiles agree with numpy at any bracket width."""
 
 import math
 import random
 
 import numpy as np
 
-from surveylab.operators.quantiles import exact_quantiles
+from surveylab.operators.quantiles import exact_quantiles, quantiles_by
 
 
 def test_selection_path_matches_numpy_with_hot_value(spark):
@@ -14,12 +14,24 @@ def test_selection_path_matches_numpy_with_hot_value(spark):
             for i in range(6001)]
     df = spark.createDataFrame(rows, "a double, hot double, n double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = exact_quantiles(df, ["a", "hot", "n"], probs, map_limit=5, collect_limit=40, buckets=8)
-    for j, c in enumerate(["a", "hot", "n"]):
-        exp = np.quantile([r[j] for r in rows if r[j] is not None], probs)
-        assert all(math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12) for x, y in zip(got[c], exp)), c
-    small = exact_quantiles(df, ["a", "hot", "n"], probs)   # map path
-    assert all(math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12) for c in small for x, y in zip(small[c], got[c]))
+    for accuracy in (20, 1000, 100_000):   # wide brackets, narrow brackets, sketch exact
+        got = exact_quantiles(df, ["a", "hot", "n"], probs, accuracy)
+        for j, c in enumerate(["a", "hot", "n"]):
+            exp = np.quantile([r[j] for r in rows if r[j] is not None], probs)
+            assert all(math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-12) for x, y in zip(got[c], exp)), (c, accuracy)
+
+
+def test_small_groups_nulls_and_infinities(spark):
+    rows = [(g, float(v)) for g in range(400) for v in range(g % 11 + 1)] + [(None, 1.0), (None, 2.0)]
+    rows += [(1000, float("inf")), (1000, 1.0), (1000, float("nan")), (1000, None), (1001, float("-inf")), (1001, 5.0), (1001, 7.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: (r.n, r.q) for r in quantiles_by(df, ["g"], "v", [0.0, 0.3, 0.5, 1.0]).collect()}
+    for g in range(400):
+        want = np.quantile(range(g % 11 + 1), [0.0, 0.3, 0.5, 1.0])
+        assert got[g][0] == g % 11 + 1 and np.allclose(got[g][1], want)
+    assert got[None] == (2, [1.0, 1.3, 1.5, 2.0])
+    assert got[1000][0] == 2 and got[1000][1][0] == 1.0 and math.isinf(got[1000][1][3])
+    assert got[1001][1][2] == 5.0 and got[1001][1][0] == -math.inf
 
 
 def test_all_null_column(spark):
