@@ -17,6 +17,7 @@ place in the order of ascending document ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -144,14 +145,23 @@ def decode_block(chunk: bytes, block: int) -> np.ndarray:
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library, kept for the pieces between ASCII white space.
+    """Ids of texts by the tokenizers library, kept for pieces of the texts.
 
     Only for vocabularies whose pre-tokenizer drops white space (checked): ids
-    of a text are then those of its pieces, one after the other.
+    of a text are then those of its pieces between ASCII white space, one after
+    the other. If the vocabulary cuts lower-cased text by PATTERN, texts of
+    plain Latin letters are cut here in the same way and the ids of the
+    pre-tokens are kept, of which there are fewer; all other texts are cut at
+    white space and left to the library.
     """
 
-    KEPT = 1 << 18
-    _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
+    KEPT = 1 << 19
+    #: How the vocabulary's own rules cut normalised text, as its file states it.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    # ASCII and the letters U+00C0 to U+017F: composed, and lower-cased one by one (but for U+0130).
+    _OTHER = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
+    _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|"
+                      "[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,40 +171,57 @@ class Tokens:
         probe = [self._ids([t])[0] for t in ("one two", "one  \n\ttwo", "one", "two")]
         if probe[0] != probe[1] or probe[0] != probe[2] + probe[3]:
             raise ValueError("this vocabulary keeps white space")
-        self.special = [s.content.encode() for s in self.tokenizer.get_added_tokens_decoder().values()]
-        # ASCII pieces may be cut as the vocabulary's own pattern cuts them, if it is this one.
-        pattern = rb"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-        self.cuts = pattern in data and b'"Lowercase"' in data
+        self.special = [s.content for s in self.tokenizer.get_added_tokens_decoder().values()]
+        rules = json.loads(data)
+        normal = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [p.get("pattern", {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        end = rules["model"].get("end_of_word_suffix")
+        self.cuts = normal == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [self.PATTERN] and bool(end)
+        # A pre-token ends with a piece that has the end-of-word suffix, and only there.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(end) and piece.endswith(end)
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, into: dict[bytes, bytes], pieces: list[bytes]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at:at + 4096]
-            for p, ids in zip(some, self._ids([p.decode() for p in some])):
-                into[p] = np.array(ids, "<u4").tobytes()
+    def _add_parts(self, new: list[str]) -> None:
+        """Ids of pre-tokens: encoded together, and parted behind the end-of-word pieces."""
+        for at in range(0, len(new), 2048):
+            some = new[at:at + 2048]
+            ids = np.array(self._ids([" ".join(some)])[0], "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw = ids.tobytes()
+            if len(stops) != len(some):
+                raise ValueError("pre-tokens and end-of-word pieces differ in number")
+            begin = 0
+            for p, stop in zip(some, stops.tolist()):
+                self.parts[p] = raw[begin:stop]
+                begin = stop
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [t.split() for t in texts]
         if len(self.known) > self.KEPT:
             self.known.clear()
         if len(self.parts) > self.KEPT:
             self.parts.clear()
-        known, parts = self.known, self.parts
-        new = {p for pieces in cut for p in pieces if p not in known}
-        plain = {}
-        for p in new:
-            if self.cuts and p.isascii() and not any(s in p for s in self.special):
-                plain[p] = self._ASCII.findall(p.lower())
-        self._add(known, [p for p in new if p not in plain])
-        self._add(parts, list({x for xs in plain.values() for x in xs if x not in parts}))
-        for p, xs in plain.items():
-            known[p] = b"".join([parts[x] for x in xs])
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        known, parts, other, cut = self.known, self.parts, self._OTHER.search, self._CUT.findall
+        plain: dict[int, list[str]] = {}
+        rest: dict[int, list[bytes]] = {}
+        for i, raw in enumerate(texts):
+            text = raw.decode()
+            if self.cuts and not other(text) and not any(s in text for s in self.special):
+                plain[i] = cut(text.lower())
+            else:
+                rest[i] = raw.split()
+        self._add_parts([p for p in set().union(*plain.values()) if p not in parts])
+        new = [p for p in set().union(*rest.values()) if p not in known]
+        for p, ids in zip(new, self._ids([p.decode() for p in new]) if new else ()):
+            known[p] = np.array(ids, "<u4").tobytes()
+        return [b"".join(map(parts.__getitem__, plain[i])) if i in plain else b"".join(map(known.__getitem__, rest[i]))
+                for i in range(len(texts))]
 
 
 def token_ids(df: DataFrame, vocabulary_path: str, end_id: int | None = None, text: str = "text", ids: str = "ids",
@@ -243,16 +270,21 @@ def _chunks(batches):
         yield flush()
 
 
-def write(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", shards: int | None = None) -> None:
+def shard_borders(docs: DataFrame, doc_id: str = "doc_id", shards: int | None = None) -> list[int]:
+    """Ids that part the documents into about equal shards (by default one for each shuffle partition)."""
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [i / shards for i in range(1, shards)]
+    return sorted({*(docs.select(F.percentile_approx(doc_id, cuts, 10_000)).first()[0] or [])}) if cuts else []
+
+
+def write(df: DataFrame, path: str, borders: list[int], doc_id: str = "doc_id", ids: str = "ids") -> None:
     """Write rows (doc_id, ids as 32-bit bytes) in ascending order of doc_id; null ids of documents come first.
 
-    The borders of the shards come from the ids alone, so that texts are encoded
-    and shuffled once. Rows with equal ids stand next to each other.
+    ``borders`` are those of :func:`shard_borders` over the documents, before
+    their texts are encoded: a sort by range would encode all texts a second
+    time for its sample. Rows with equal ids stand next to each other.
     """
-    spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / shards for i in range(1, shards)]
-    borders = sorted({*(df.select(F.percentile_approx(doc_id, cuts, 10_000)).first()[0] or [])}) if cuts else []
+    shards = len(borders) + 1
     at = F.expr(f"aggregate(array({', '.join(f'{b}L' for b in borders)}), 0, (n, b) -> n + int(`{doc_id}` > b))"
                 ) if borders else F.lit(0)
     placed = df.select(F.coalesce(at, F.lit(0)).alias("shard"), F.col(doc_id).cast("long").alias("doc_id"),

@@ -108,7 +108,7 @@ def test_token_files_hold_all_documents_in_order(spark, tmp_path):
     t = Tokenizer.from_file(WORDS)
     docs = documents(spark, clash=True)
     path = str(tmp_path / "tokens")
-    simple8b.write(simple8b.token_ids(docs, WORDS, end_id=2, keep=["doc_id"]), path, shards=3)
+    simple8b.write(simple8b.token_ids(docs, WORDS, end_id=2, keep=["doc_id"]), path, simple8b.shard_borders(docs, shards=3))
     got = sorted(simple8b.read(spark, path).collect(), key=lambda r: r.start)
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert ids == sorted(ids) and len(ids) == docs.count()
@@ -124,7 +124,7 @@ def test_token_files_hold_all_documents_in_order(spark, tmp_path):
 
 def test_token_files_of_no_documents(spark, tmp_path):
     path = str(tmp_path / "none")
-    simple8b.write(simple8b.token_ids(empty(spark), WORDS, keep=["doc_id"]), path)
+    simple8b.write(simple8b.token_ids(empty(spark), WORDS, keep=["doc_id"]), path, simple8b.shard_borders(empty(spark)))
     assert simple8b.read(spark, path).count() == 0
 
 
