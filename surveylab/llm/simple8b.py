@@ -225,14 +225,23 @@ class Tokens:
 
 
 def token_ids(df: DataFrame, vocabulary_path: str, end_id: int | None = None, text: str = "text", ids: str = "ids",
-              keep=None) -> DataFrame:
-    """Append the ids of each whole text as little-endian 32-bit bytes, followed by ``end_id`` if given."""
+              keep=None, width: int = 4) -> DataFrame:
+    """Append the ids of each whole text as little-endian bytes, ``width`` (4 or 2) for each id, followed by ``end_id``
+    if given. An id that does not fit raises."""
     data = common.vocabulary_bytes(vocabulary_path)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
+    def narrow(raw: bytes) -> bytes:
+        if width == 4:
+            return raw
+        flat = np.frombuffer(raw, "<u4")
+        if len(flat) and flat.max() >= 1 << 16:
+            raise ValueError("id too large for two bytes")
+        return flat.astype("<u2").tobytes()
+
     def task():
         tokens = common.cached_in_task(("tokens", hash(data)), lambda: Tokens(data))
-        return lambda col: [pa.array([x + end for x in tokens.encode(common.text_bytes(col))], pa.binary())]
+        return lambda col: [pa.array([narrow(x + end) for x in tokens.encode(common.text_bytes(col))], pa.binary())]
 
     return common.map_columns(df, [text], [StructField(ids, BinaryType())], task, keep)
 
@@ -243,14 +252,14 @@ _CHUNK = StructType([
     StructField("payload", BinaryType())])
 
 
-def _chunks(batches):
+def _chunks(batches, width: int):
     """Chunks of the sorted rows (shard, doc_id, ids) of a partition."""
     shard, first, docs, held, total = None, 0, [], [], 0
 
     def flush():
-        ids = np.frombuffer(b"".join(held), "<u4").astype("<u8")
+        ids = np.frombuffer(b"".join(held), f"<u{width}").astype("<u8")
         row = {"shard": [shard], "first": [first], "n_ids": [total], "doc_ids": [docs],
-               "sizes": [[len(h) // 4 for h in held]], "payload": [encode(ids)]}
+               "sizes": [[len(h) // width for h in held]], "payload": [encode(ids)]}
         return pa.RecordBatch.from_arrays(
             [pa.array(row[f.name], t) for f, t in zip(_CHUNK.fields, (
                 pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))],
@@ -258,14 +267,14 @@ def _chunks(batches):
 
     for batch in batches:
         for s, d, x in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (s != shard or total + len(x) // 4 > CHUNK_IDS):
+            if held and (s != shard or total + len(x) // width > CHUNK_IDS):
                 yield flush()
                 first, docs, held, total = first + total, [], [], 0
             if s != shard:
                 shard, first = s, 0
             docs.append(d)
             held.append(x)
-            total += len(x) // 4
+            total += len(x) // width
     if held:
         yield flush()
 
@@ -277,8 +286,9 @@ def shard_borders(docs: DataFrame, doc_id: str = "doc_id", shards: int | None =
     return sorted({*(docs.select(F.percentile_approx(doc_id, cuts, 10_000)).first()[0] or [])}) if cuts else []
 
 
-def write(df: DataFrame, path: str, borders: list[int], doc_id: str = "doc_id", ids: str = "ids") -> None:
-    """Write rows (doc_id, ids as 32-bit bytes) in ascending order of doc_id; null ids of documents come first.
+def write(df: DataFrame, path: str, borders: list[int], doc_id: str = "doc_id", ids: str = "ids",
+          width: int = 4) -> None:
+    """Write rows (doc_id, ids of ``width`` bytes each) in ascending order of doc_id; null ids of documents come first.
 
     ``borders`` are those of :func:`shard_borders` over the documents, before
     their texts are encoded: a sort by range would encode all texts a second
@@ -290,7 +300,7 @@ def write(df: DataFrame, path: str, borders: list[int], doc_id: str = "doc_id",
     placed = df.select(F.coalesce(at, F.lit(0)).alias("shard"), F.col(doc_id).cast("long").alias("doc_id"),
                        F.col(ids).alias("ids"))
     (placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-     .mapInArrow(_chunks, _CHUNK).write.option("compression", "none").parquet(path))
+     .mapInArrow(lambda batches: _chunks(batches, width), _CHUNK).write.option("compression", "none").parquet(path))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -104,11 +104,13 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
 
 
-def test_token_files_hold_all_documents_in_order(spark, tmp_path):
+@pytest.mark.parametrize("width", [2, 4])
+def test_token_files_hold_all_documents_in_order(spark, tmp_path, width):
     t = Tokenizer.from_file(WORDS)
     docs = documents(spark, clash=True)
     path = str(tmp_path / "tokens")
-    simple8b.write(simple8b.token_ids(docs, WORDS, end_id=2, keep=["doc_id"]), path, simple8b.shard_borders(docs, shards=3))
+    ids = simple8b.token_ids(docs, WORDS, end_id=2, keep=["doc_id"], width=width)
+    simple8b.write(ids, path, simple8b.shard_borders(docs, shards=3), width=width)
     got = sorted(simple8b.read(spark, path).collect(), key=lambda r: r.start)
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert ids == sorted(ids) and len(ids) == docs.count()
