@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveylab.functions.expr import uniform
+from surveylab.functions.expr import is_missing, uniform
 
 
 def _keys(key) -> list[str]:
@@ -27,14 +27,15 @@ def class_rank(df: DataFrame, label: str, key, seed: int = 42, buckets: int | No
 
     ``group`` adds outer grouping columns (e.g. a repeat number) to the class.
     ``buckets`` defaults to one per ~1M rows (at least 64), from one count.
+    Rows with a NULL label are a class of their own.
     """
     keys = _keys(key)
     parts = list(group) + ([extra] if extra is not None else []) + keys
     strata = list(group) + [label]
     d = df.withColumn("__u", uniform(seed, *parts))
     if buckets is None:
-        n = df.count()
-        buckets = max(64, min(1 << 20, n // 1_000_000 + 1))
+        n = df.select(*keys).count()
+        buckets = max(64, n // 1_000_000 + 1)
     d = d.withColumn("__b", F.least(F.floor(F.col("__u") * buckets), F.lit(buckets - 1)).cast("int"))
     per_bucket = d.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__nb"))
     wcls = Window.partitionBy(*strata)
@@ -42,10 +43,14 @@ def class_rank(df: DataFrame, label: str, key, seed: int = 42, buckets: int | No
                .withColumn("__off", F.coalesce(F.sum("__nb").over(
                    wcls.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("class_n", F.sum("__nb").over(wcls))
-               .drop("__nb"))
+               .select(*[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)], F.col("__b").alias("__ob"),
+                       "__off", "class_n"))
+    same = F.col("__b") == F.col("__ob")
+    for i, s in enumerate(strata):
+        same = same & F.col(s).eqNullSafe(F.col(f"__s{i}"))
     inner = Window.partitionBy(*strata, "__b").orderBy("__u", *keys)
     return (d.withColumn("__r", F.row_number().over(inner))
-            .join(offsets, on=[*strata, "__b"], how="inner")
+            .join(offsets, same, how="inner").drop("__ob", *[f"__s{i}" for i in range(len(strata))])
             .withColumn("class_rank", F.col("__off") + F.col("__r"))
             .drop("__b", "__r", "__off"))
 
@@ -85,14 +90,23 @@ def repeated_folds(df: DataFrame, label: str, key, k: int = 5, repeats: int = 3,
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """IMB1: balanced weight n / (n_classes · n_c) attached to every row.
 
-    The class table has one row per label value; it is joined back (AQE
-    broadcasts it after measuring it).
+    One count per label value reaches the driver and the weights travel as
+    literals: the rows are not moved. NULL labels get a NULL weight.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = df.select(F.count_distinct(F.col(label))).scalar()
-    w = counts.select(label, (n / (k * F.col("__nc"))).cast("double").alias(out))
-    return df.join(w, on=label, how="left")
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    n, k = sum(counts.values()), len([c for c in counts if c is not None])
+    w = F.lit(None).cast("double")
+    for value, m in counts.items():
+        if value is not None:
+            w = F.when(F.col(label) == F.lit(value), F.lit(n / (k * m))).otherwise(w)
+    return df.withColumn(out, w)
+
+
+def _refuse_missing(df: DataFrame, features: Sequence[str]) -> None:
+    """Distances and synthetic rows need complete rows: impute before oversampling."""
+    seen = df.agg(*[F.max(is_missing(df, c)).alias(c) for c in features]).first()
+    if bad := [c for c in features if seen[c]]:
+        raise ValueError(f"impute before oversampling; missing values in {bad}")
 
 
 # ---------------------------------------------------------------- IMB3 / IMB4
@@ -137,6 +151,7 @@ def smote(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int =
     (exact search, no cross join). Output: original rows plus synthetic
     rows (``is_synthetic``, ``syn_index``; ``key`` = parent key).
     """
+    _refuse_missing(df, features)
     y = F.col(label)
     n_min = df.filter(y == minority).count()
     n_maj = df.filter(y != minority).count()
@@ -161,6 +176,7 @@ def adasyn(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int
     SMOTE. With no majority neighbour anywhere nothing is synthesised.
     """
     from surveylab.operators.neighbors import knn
+    _refuse_missing(df, features)
     y = F.col(label)
     n_min = df.filter(y == minority).count()
     n_maj = df.filter(y != minority).count()

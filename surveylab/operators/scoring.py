@@ -67,15 +67,13 @@ class LinearScorer:
 class ModelScorer:
     """Wraps a fitted ``pyspark.ml`` model: probability of class 1 as a double column."""
 
-    def __init__(self, model, prob_col: str = "probability", keep: Sequence[str] | None = None):
+    def __init__(self, model, prob_col: str = "probability"):
         self.model = model
         self.prob_col = prob_col
 
     def score(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        cols = df.columns
-        out = self.model.transform(df)
-        return out.select(*cols, vector_to_array(F.col("probability"))[1].alias(self.prob_col))
+        from surveylab.operators.modeling import positive_probability
+        return positive_probability(self.model, df, "__p").select(*df.columns, F.col("__p").alias(self.prob_col))
 
 
 def score(df: DataFrame, scorer) -> DataFrame:

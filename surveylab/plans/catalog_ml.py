@@ -41,14 +41,14 @@ def doc_model_frame(spark, sf):
     """labels ⋈ documents with whole-text features (imbalanced: toxic)."""
     lab = table(spark, sf, "labels")
     doc = table(spark, sf, "documents")
-    t = F.col("text")
+    t = F.coalesce(F.col("text"), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    d = doc.select("doc_id", F.log1p(F.col("n_chars")).alias("f_len"),
+    d = doc.select("doc_id", F.log1p(F.coalesce(F.col("n_chars"), F.lit(0))).alias("f_len"),
                    F.log1p(F.size(F.split(t, r"\s+"))).alias("f_words"),
                    (F.length(F.regexp_replace(t, "[^0-9]", "")) / n).alias("f_digit_share"),
                    (F.length(F.regexp_replace(t, "[^A-Z]", "")) / n).alias("f_upper_share"),
-                   (F.col("lang") == "en").cast("double").alias("f_lang_en"),
-                   (F.col("lang") == "de").cast("double").alias("f_lang_de"))
+                   F.col("lang").eqNullSafe("en").cast("double").alias("f_lang_en"),
+                   F.col("lang").eqNullSafe("de").cast("double").alias("f_lang_de"))
     return lab.select("doc_id", "toxic", "quality").join(d, "doc_id")
 
 
@@ -97,12 +97,13 @@ def _u(parts: str) -> str:
 
 _DOC_SQL = """
 SELECT l.doc_id, l.toxic,
-       ln(1 + d.n_chars) AS f_len,
+       ln(1 + coalesce(d.n_chars, 0)) AS f_len,
        ln(1 + len(regexp_split_to_array(d.text, '\\s+'))) AS f_words,
        length(regexp_replace(d.text, '[^0-9]', '', 'g')) / greatest(length(d.text), 1) AS f_digit_share,
        length(regexp_replace(d.text, '[^A-Z]', '', 'g')) / greatest(length(d.text), 1) AS f_upper_share,
        CAST(d.lang = 'en' AS DOUBLE) AS f_lang_en, CAST(d.lang = 'de' AS DOUBLE) AS f_lang_de
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+FROM labels l JOIN (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, n_chars FROM documents) d
+  ON l.doc_id = d.doc_id"""
 
 _FEATS = ", ".join(DOC_FEATURES)
 _VEC = "[" + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in DOC_FEATURES) + "]"
@@ -198,7 +199,7 @@ def q_train_test(spark, sf):
     s = stratified_split(f, "stunting_label", CHILD_KEY, test=0.2, seed=42)
     train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     rows = []
-    for spec in SURVEY_SPECS[:4]:
+    for spec in SURVEY_SPECS:
         m = fit(spec, train, MODEL_FEATURES, "stunting_label")
         r = evaluate(m, test, "stunting_label")
         rows.append((spec.name, r["auc"], r["recall"], r["precision"], r["f1"], r["accuracy"], r["brier"]))
@@ -213,8 +214,8 @@ def q_cv_docs(spark, sf):
     specs = [ModelSpec("mlp", "mlp", {"hidden": (128, 64, 32), "maxIter": 50}, scale=True),
              ModelSpec("random_forest", "rf", {"numTrees": 30}),
              ModelSpec("logistic_regression", "lr", {}, scale=True)]
-    over = lambda tr: smote(tr, "toxic", DOC_FEATURES, "doc_id", k=5, seed=42) \
-        .select("doc_id", *DOC_FEATURES, "toxic")
+    over = lambda tr, feats: smote(tr, "toxic", feats, "doc_id", k=5, seed=42) \
+        .select("doc_id", *feats, "toxic")
     cv = cv_benchmark(d, specs, DOC_FEATURES, "toxic", oversample=over, parallelism=3)
     return stats.leaderboard(summarize_cv(cv), "auc_mean")
 
@@ -239,8 +240,8 @@ def q_search(spark, sf):
 @register("ablation_oversampling", ids=("MOD13", "IMB3"))
 def q_ablation(spark, sf):
     d = stratified_folds(doc_model_frame(spark, sf), "toxic", "doc_id", k=5, seed=42)
-    over = lambda tr: smote(tr, "toxic", DOC_FEATURES, "doc_id", k=5, seed=42) \
-        .select("doc_id", *DOC_FEATURES, "toxic")
+    over = lambda tr, feats: smote(tr, "toxic", feats, "doc_id", k=5, seed=42) \
+        .select("doc_id", *feats, "toxic")
     rf = ModelSpec("rf", "rf", {"numTrees": 30})
     return ablation(d, {"rf_no_oversampling": {"spec": rf}, "rf_smote_in_fold": {"spec": rf, "oversample": over},
                         "rf_no_length": {"spec": rf, "features": DOC_FEATURES[1:]}}, DOC_FEATURES, "toxic")

@@ -103,14 +103,22 @@ def write_split(df: DataFrame, path: str, split_col: str = "split", fmt: str = "
 
 
 def save_model(model, path: str) -> None:
-    """SNK3: persist a fitted pipeline/model (Spark ML writer, overwrite)."""
-    model.write().overwrite().save(path)
+    """SNK3: persist a fitted pipeline/model (Spark ML writer, overwrite) or a stacked one."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    else:
+        model.save(path)
 
 
 def load_model(path: str):
-    """SNK3: load a saved ``PipelineModel``."""
+    """SNK3: load a saved ``PipelineModel`` or stacked model."""
     from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+
+    from surveylab.operators.modeling import StackedModel
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # noqa: BLE001  a stacked model has parts, but no pipeline metadata of its own
+        return StackedModel.load(path)
 
 
 def write_run_metadata(df: DataFrame, path: str) -> None:
