@@ -2,9 +2,8 @@
 
 EXP1 is a sampled-permutation Shapley estimate computed as one Spark plan:
 rows × permutations × background rows × (features + 1) coalition points are
-generated with ``explode`` (the background, at most ``max_background``
-rows, travels as a literal array — no join), scored in one batch, and the
-marginal contributions averaged with one ``groupBy``. For every
+generated with ``explode`` (the background is joined in blocks of rows), scored
+in one batch, and the marginal contributions summed with one ``groupBy``. For every
 (row, permutation, background row) the contributions telescope, so the
 attributions sum exactly to score(x) − mean background score.
 """
@@ -51,48 +50,54 @@ def attribute_linear(df: DataFrame, key, features: Sequence[str], scorer, backgr
     return df.select(*keys, F.explode(F.array(*structs)).alias("a")).select(*keys, "a.*")
 
 
+BACKGROUND_BLOCK = 128  # background rows that travel together as one array
+
+
 def attribute(df: DataFrame, key, features: Sequence[str], scorer, background: DataFrame,
-              permutations: int = 3, seed: int = 42, max_background: int = 50) -> DataFrame:
+              permutations: int = 3, seed: int = 42) -> DataFrame:
     """EXP1/EXP8: sampled-permutation Shapley values of ``scorer`` for every row of ``df``.
 
-    Cost is rows × permutations × |background| × (features + 1) scorings,
-    all in one batch; pick the rows (a sample, the test split) before
-    calling. Output long (key, feature_code, value, shap_value).
+    Cost is rows × permutations × |background| × (features + 1) scorings;
+    pick the rows and the background (a sample) before calling. The
+    background is joined in blocks, so that it may have any size. Each scored
+    point counts for the feature it brings in and against the next one, which
+    sums up map-side without a window. Output long (key, feature_code, value,
+    shap_value).
     """
     keys = _keys(key)
     feats = list(features)
     nf = len(feats)
-    # the background is bounded: check its size before it becomes a literal
-    nb = background.limit(max_background + 1).count()
-    if nb > max_background:
-        raise ValueError(f"background has more than {max_background} rows; sample it first")
-    bg_rows = background.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats]).collect()
-    bg = F.array(*[F.struct(F.lit(i).alias("bi"), *[F.lit(float(r[c])).alias(c) for c in feats])
-                   for i, r in enumerate(bg_rows)])
-    x = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in feats])
+    nb = background.count()
+    blocks = max(1, -(-nb // BACKGROUND_BLOCK))
+    bg = (background.select(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats]).alias("b"),
+                            F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("__block"))
+          .groupBy("__block").agg(F.collect_list("b").alias("__bs")))
+    x = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in feats],
+                  F.array(*[F.col(c).cast("double") for c in feats]).alias("__raw"))
     # permutation: features sorted by a seeded draw; pos_j = position of feature j
     x = x.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = F.array_sort(F.array(*[F.struct(uniform(seed, *keys, F.col("perm"), F.lit(j)).alias("u"),
                                             F.lit(j).alias("j")) for j in range(nf)]))
     x = x.withColumn("__ord", F.transform(order, lambda s: s["j"]))
     x = x.withColumns({f"pos_{j}": F.array_position(F.col("__ord"), j).cast("int") for j in range(nf)})
-    x = x.withColumn("b", F.explode(bg)).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nf))))
+    x = x.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    x = (x.join(bg, "__block").withColumn("b", F.explode("__bs")).drop("__bs", "__block")
+         .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nf)))))
     # coalition point t: the first t features of the permutation from x, the rest from b
-    pts = x.select(*keys, "perm", F.col("b.bi").alias("bi"), "t", "__ord",
+    pts = x.select(*keys, "t", "__ord", "__raw",
                    *[F.when(F.col(f"pos_{j}") <= F.col("t"), F.col(f"x_{c}")).otherwise(F.col(f"b.{c}")).alias(c)
                      for j, c in enumerate(feats)])
-    s = scorer.score(pts)
-    w = Window.partitionBy(*keys, "perm", "bi").orderBy("t")
-    d = (s.withColumn("delta", F.col(scorer.prob_col) - F.lag(scorer.prob_col).over(w))
-         .filter(F.col("t") > 0)
-         .withColumn("j", F.element_at(F.col("__ord"), F.col("t"))))
+    p = F.col(scorer.prob_col)
+    part = lambda at, sign: F.struct(F.element_at("__ord", at).alias("j"), (sign * p).alias("d"))
+    parts = F.array_compact(F.array(F.when(F.col("t") > 0, part(F.greatest(F.col("t"), F.lit(1)), F.lit(1.0))),
+                                    F.when(F.col("t") < nf, part(F.least(F.col("t") + 1, F.lit(nf)), F.lit(-1.0)))))
     names = F.array(*[F.lit(c) for c in feats])
-    contrib = (d.groupBy(*keys, "j").agg(F.avg("delta").alias("shap_value"))
-               .withColumn("feature_code", F.element_at(names, F.col("j") + 1)))
-    vals = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("feature_code"),
-                                                          F.col(c).cast("double").alias("value")) for c in feats])).alias("v")) \
-        .select(*keys, "v.*")
-    return contrib.join(vals, on=keys + ["feature_code"], how="inner").select(*keys, "feature_code", "value", "shap_value")
+    return (scorer.score(pts).select(*keys, "__raw", F.explode(parts).alias("e"))
+            .select(*keys, F.col("e.j").alias("j"), F.col("e.d").alias("d"),
+                    F.element_at("__raw", F.col("e.j") + 1).alias("v"))
+            .groupBy(*keys, "j").agg((F.sum("d") / F.lit(float(permutations * nb))).alias("shap_value"),
+                                     F.first("v").alias("value"))
+            .select(*keys, F.element_at(names, F.col("j") + 1).alias("feature_code"), "value", "shap_value"))
 
 
 def label_direction(attr: DataFrame, eps: float = NEUTRAL_EPS) -> DataFrame:
@@ -129,6 +134,28 @@ def explain(attr: DataFrame, key, top: int = 10, side: int = 5) -> DataFrame:
             .select(*attr.columns, F.col("__l.list").alias("list"), F.col("__l.rank").alias("rank")))
 
 
+def _by_size(arr: str):
+    """The attribution array ordered by descending |shap| (equal to nine decimals: a tie), then name."""
+    return F.array_sort(F.transform(arr, lambda a: F.struct(
+        (-F.round(F.abs(a["shap_value"]), 9)).alias("o"), a["feature_code"].alias("feature_code"),
+        a["shap_value"].alias("shap_value"), a["value"].alias("value"))))
+
+
+def explain_arrays(wide: DataFrame, key, top: int = 10, side: int = 5, arr: str = "attribution") -> DataFrame:
+    """EXP5 from one row per key with an attribution array: ranked inside the row, no shuffle."""
+    keys = _keys(key)
+    sides = {"top": (lambda x: x["o"].isNotNull(), top), "risk": (lambda x: x["shap_value"] > 0, side),
+             "protective": (lambda x: x["shap_value"] < 0, side)}
+
+    def ranked(name):
+        return lambda x, i: F.struct(x["feature_code"].alias("feature_code"), x["value"].alias("value"),
+                                     x["shap_value"].alias("shap_value"), F.lit(name).alias("list"), (i + 1).alias("rank"))
+
+    lists = [F.transform(F.slice(F.filter("__s", cond), 1, n), ranked(name)) for name, (cond, n) in sides.items()]
+    return (wide.select(*keys, _by_size(arr).alias("__s")).select(*keys, F.explode(F.concat(*lists)).alias("x"))
+            .select(*keys, "x.*"))
+
+
 def global_importance(attr: DataFrame, n: int = 15) -> DataFrame:
     """EXP6: mean |attribution| per feature, top n (a top-n report)."""
     g = attr.groupBy("feature_code").agg(F.avg(F.abs("shap_value")).alias("m"))
@@ -157,3 +184,14 @@ def waterfall(attr: DataFrame, key, base: float | None = None, base_df: DataFram
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature_code")
     return (attr.withColumn("step", F.row_number().over(w))
             .withColumn("running_total", b + F.sum("shap_value").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def waterfall_arrays(wide: DataFrame, key, base, arr: str = "attribution") -> DataFrame:
+    """EXP7 from one row per key with an attribution array: running totals inside the row, no shuffle."""
+    keys = _keys(key)
+    steps = F.transform("__s", lambda x, i: F.struct(
+        x["feature_code"].alias("feature_code"), x["value"].alias("value"), x["shap_value"].alias("shap_value"),
+        (i + 1).alias("step"),
+        (F.lit(base) + F.aggregate(F.slice("__s", 1, i + 1), F.lit(0.0), lambda a, y: a + y["shap_value"])).alias("running_total")))
+    return (wide.select(*keys, _by_size(arr).alias("__s")).select(*keys, F.explode(steps).alias("x"))
+            .select(*keys, "x.*"))

@@ -131,7 +131,9 @@ REQUEST_DEFAULTS = {
 }
 REQUEST_CATEGORICAL = {"toilet_type": "toilet_type_11", "water_source": "water_source_11",
                        "delivery_place": "delivery_place_21"}
-SHORT_FORM_FIELDS = ["child_age_months", "mother_education", "wealth_index", "diarrhea_recent", "anc_visits"]
+# What the short form asks, and what it answers itself.
+SHORT_FORM_FIELDS = ["child_age_months", "anc_visits", "toilet_type", "water_source", "diarrhea_recent"]
+SHORT_FORM_FIXED = {"child_sex": 0.0, "wealth_index": 2.0, "mother_education": 1.0}
 
 
 def build_features(df: DataFrame, feature_names: Sequence[str], numeric: Mapping[str, str] | None = None,

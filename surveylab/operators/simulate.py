@@ -156,6 +156,27 @@ def best_scenario(sim: DataFrame, key) -> DataFrame:
         F.max("risk_reduction_pct").alias("best_reduction_pct"))
 
 
+def best_scenario_in_row(df: DataFrame, key, packages: Sequence[Package], scorer,
+                         derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """SIM4 without a fan-out: every package is scored on the row itself, and the best one picked there (no shuffle)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    prepared = derive(df) if derive is not None else df
+    cur = (scorer.score(prepared).withColumn("__base", F.round(risk_index(scorer.prob_col), 2))
+           .select(*keys, F.struct(*df.columns).alias("__row"), "__base"))
+    cuts: list[str] = []
+    for i, p in enumerate(packages):
+        d = cur.select("__row.*", "__row", "__base", *cuts).withColumn("package_id", F.lit(p.package_id))
+        d = _apply_sequential(d, packages)
+        d = scorer.score(derive(d) if derive is not None else d)
+        d = d.withColumn(f"__cut{i}", F.round(F.col("__base") - F.round(risk_index(scorer.prob_col), 2), 2))
+        cuts.append(f"__cut{i}")
+        cur = d.select("__row", "__base", *cuts)
+    best = F.array_min(F.array(*[F.struct((-F.col(c)).alias("o"), F.lit(p.package_id).alias("package_id"))
+                                 for c, p in zip(cuts, packages)]))
+    return cur.select("__row.*", best.alias("__b")).select(
+        *keys, F.col("__b.package_id").alias("best_package"), (-F.col("__b.o")).alias("best_reduction_pct"))
+
+
 def tier_shift(sim: DataFrame, threshold: float = 35.0, by: str = "package_id") -> DataFrame:
     """SIM4: share of rows at/above a tier boundary that move below it, per package."""
     at = F.col("baseline_risk_pct") >= threshold
@@ -195,7 +216,9 @@ def counterfactuals(df: DataFrame, key, mutable_continuous: Sequence[str], mutab
     mutable column with probability 1/2 to a seeded draw from the observed
     range (continuous, one min/max aggregate) or from the given level list.
     All candidates are scored in one pass; those with p < p_target are
-    ranked by (number changed, L1 distance, draw) and the first n kept.
+    ranked by (number changed, L1 distance, draw) and the first n kept
+    (``status`` 'found'). A row without any such candidate stays with one line
+    of ``status`` 'none' and the score of its first candidate.
     """
     keys = [key] if isinstance(key, str) else list(key)
     base = scorer.score(derive(df) if derive is not None else df)
@@ -227,6 +250,9 @@ def counterfactuals(df: DataFrame, key, mutable_continuous: Sequence[str], mutab
         .withColumn("distance", dist).drop(*[f"__o_{c}" for c in exprs])
     if derive is not None:
         fan = derive(fan)
-    s = scorer.score(fan).filter((F.col(scorer.prob_col) < p_target) & (F.col("n_changed") > 0))
-    w = Window.partitionBy(*keys).orderBy("n_changed", "distance", "cf_id")
-    return s.withColumn("cf_rank", F.row_number().over(w)).filter(F.col("cf_rank") <= n)
+    good = F.coalesce((F.col(scorer.prob_col) < p_target) & (F.col("n_changed") > 0), F.lit(False))
+    s = scorer.score(fan).withColumn("status", F.when(good, "found").otherwise("none"))
+    # found candidates come first ('found' < 'none'), so that a row's first line tells whether it has any
+    w = Window.partitionBy(*keys).orderBy("status", "n_changed", "distance", "cf_id")
+    return (s.withColumn("cf_rank", F.row_number().over(w))
+            .filter((F.col("cf_rank") <= n) & ((F.col("status") == "found") | (F.col("cf_rank") == 1))))

@@ -335,10 +335,12 @@ cand0 AS (SELECT fan.* REPLACE ({", ".join(rep)}), {", ".join(orig)} FROM fan, r
 cand AS (SELECT cand0.*, {" + ".join(changed)} AS n_changed, {" + ".join(dist)} AS distance FROM cand0),
 cf AS ({_feat_cols_sql('cand')}),
 sc AS (SELECT cf.*, {SCORER.sql_prob()} AS probability FROM cf),
-ok AS (SELECT * FROM sc WHERE probability < 0.40 AND n_changed > 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(CHILD_KEY)} ORDER BY n_changed, distance, cf_id) AS cf_rank FROM ok)
+ok AS (SELECT *, CASE WHEN probability < 0.40 AND n_changed > 0 THEN 'found' ELSE 'none' END AS status FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(CHILD_KEY)} ORDER BY status, n_changed, distance, cf_id) AS cf_rank
+       FROM ok)
 SELECT {", ".join(CHILD_KEY)}, CAST(cf_id AS INTEGER) AS cf_id, CAST(cf_rank AS INTEGER) AS cf_rank, n_changed,
-       round(distance, {DP}) AS distance, round(probability, {DP}) AS probability FROM rk WHERE cf_rank <= 2
+       round(distance, {DP}) AS distance, round(probability, {DP}) AS probability, status
+FROM rk WHERE cf_rank <= 2 AND (status = 'found' OR cf_rank = 1)
 """)
 
 
@@ -350,6 +352,6 @@ def q_cf(spark, sf):
                                              "share_toilet": [0, 1]},
                          SCORER, n=2, draws=20, seed=42, p_min=0.35, p_target=0.40, derive=derive)
     return cf.select(*CHILD_KEY, "cf_id", "cf_rank", "n_changed", F.round("distance", DP).alias("distance"),
-                     F.round("probability", DP).alias("probability"))
+                     F.round("probability", DP).alias("probability"), "status")
 
 

@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveylab.operators import metrics, stats
-from surveylab.operators.attribution import (attribute_linear, base_value, explain,
-                                             global_importance_arrays, label_direction, waterfall)
+from surveylab.operators import metrics
+from surveylab.operators.attribution import (attribute_linear, base_value, explain_arrays,
+                                             global_importance_arrays, label_direction, waterfall_arrays)
 from surveylab.operators.features import FEATURE_NAMES, feature_labels
 from surveylab.operators.scoring import (BASE_RATE, KNEE_INDEX, REQUEST_CATEGORICAL, REQUEST_DEFAULTS,
-                                         SHORT_FORM_FIELDS, TIERS, TOP_PROB, build_features, risk_worklist,
+                                         SHORT_FORM_FIELDS, SHORT_FORM_FIXED, TIERS, TOP_PROB, build_features, risk_worklist,
                                          score_and_tier)
-from surveylab.operators.simulate import best_scenario, diff_rows, mutable_columns, simulate, tier_shift, _apply_sequential
+from surveylab.operators.simulate import best_scenario_in_row, diff_rows, mutable_columns, simulate, tier_shift, _apply_sequential
 from surveylab.plans.registry import register
 from surveylab.plans.survey import (IMMUTABLE, PACKAGES, SCORE_FEATURES, SCORER, derive, features_sql_exprs,
                                     package_sql_overrides, survey_frame, survey_sql)
-from surveylab.plans.tables import CHILD_KEY, sql_uniform, table
+from surveylab.plans.tables import CHILD_KEY, table
 
 DP = 6
 KEYS = ", ".join(CHILD_KEY)
@@ -104,20 +104,20 @@ REQUEST_FEATURES = (list(REQUEST_DEFAULTS) + ["toilet_type_BUILDING", "toilet_ty
                     + FEATURE_NAMES)
 
 
-def _requests(spark, sf, fields):
+def _requests(spark, sf, fields, categorical):
     e = table(spark, sf, "events")
     return e.select("event_id", *[F.expr(x).alias(f"src_{f}") for f, x in fields.items()],
-                    *[F.expr(x).alias(f"src_{f}") for f, x in EVENT_CATEGORICAL.items()])
+                    *[F.expr(x).alias(f"src_{f}") for f, x in categorical.items()])
 
 
-def _request_sql(fields, rounded: bool = True):
+def _request_sql(fields, rounded: bool = True, defaults=REQUEST_DEFAULTS, categorical=EVENT_CATEGORICAL):
     sel = []
-    for f, dflt in REQUEST_DEFAULTS.items():
+    for f, dflt in defaults.items():
         sel.append(f"coalesce(TRY_CAST(CAST({fields[f].replace('get_json_object', 'json_extract_string')} AS VARCHAR) AS DOUBLE), {dflt})"
                    f" AS {f}" if f in fields else f"CAST({float(dflt)} AS DOUBLE) AS {f}")
     cats = {}
     for f, dflt in REQUEST_CATEGORICAL.items():
-        cats[f] = f"coalesce({EVENT_CATEGORICAL[f]}, {dflt!r})" if f in EVENT_CATEGORICAL else repr(dflt)
+        cats[f] = f"coalesce({categorical[f]}, {dflt!r})" if f in categorical else repr(dflt)
     for f, v in cats.items():
         sel.append(f"{v} AS __{f}")
     base = f"SELECT event_id, {', '.join(sel)} FROM events"
@@ -135,10 +135,11 @@ def _request_sql(fields, rounded: bool = True):
             f"r2 AS (SELECT r1.*, {feats} FROM r1)\nSELECT event_id, {outs}, '' AS error FROM r2")
 
 
-def _build_request_features(spark, sf, fields):
-    req = _requests(spark, sf, fields)
+def _build_request_features(spark, sf, fields, categorical=EVENT_CATEGORICAL, defaults=REQUEST_DEFAULTS):
+    req = _requests(spark, sf, fields, categorical)
     out = build_features(req, REQUEST_FEATURES, numeric={f: f"src_{f}" for f in fields},
-                         categorical={f: f"src_{f}" for f in EVENT_CATEGORICAL}, keep=["event_id"], derive=derive)
+                         categorical={f: f"src_{f}" for f in categorical}, defaults=defaults, keep=["event_id"],
+                         derive=derive)
     return out.withColumns({n: F.round(n, DP) for n in FEATURE_NAMES if n != "mother_age_group"})
 
 
@@ -147,12 +148,22 @@ def q_build(spark, sf):
     return _build_request_features(spark, sf, EVENT_FIELDS)
 
 
-SHORT_FIELDS = {f: EVENT_FIELDS[f] for f in SHORT_FORM_FIELDS}
+SHORT_CATEGORICAL = {**EVENT_CATEGORICAL, "water_source": "concat('water_source_', CAST(user_id % 12 AS STRING))"}
+# The oracle's own statement of the short form: five questions, three fixed
+# answers, and the declared defaults of everything else.
+_SHORT_ASKED = ("child_age_months", "anc_visits", "diarrhea_recent")
+_SHORT_SQL = _request_sql({f: EVENT_FIELDS[f] for f in _SHORT_ASKED}, categorical=SHORT_CATEGORICAL, defaults={
+    "child_age_months": 24.0, "child_sex": 0.0, "birth_order": 1.0, "birth_interval": 36.0, "anc_visits": 4.0,
+    "caesarean": 0.0, "diarrhea_recent": 0.0, "fever_recent": 0.0, "mother_age": 26.0, "mother_education": 1.0,
+    "wealth_index": 2.0, "mother_anemia": 0.0, "electricity": 1.0, "share_toilet": 0.0, "mother_bmi": 21.5})
 
 
-@register("short_form_requests", ids=("SCO6",), sql=_request_sql(SHORT_FIELDS))
+@register("short_form_requests", ids=("SCO6",), sql=_SHORT_SQL)
 def q_short(spark, sf):
-    return _build_request_features(spark, sf, SHORT_FIELDS)
+    return _build_request_features(
+        spark, sf, {f: EVENT_FIELDS[f] for f in SHORT_FORM_FIELDS if f in EVENT_FIELDS},
+        {f: SHORT_CATEGORICAL[f] for f in SHORT_FORM_FIELDS if f in SHORT_CATEGORICAL},
+        {**REQUEST_DEFAULTS, **SHORT_FORM_FIXED})
 
 
 # ------------------------------------------------------------------ metrics
@@ -294,7 +305,7 @@ SELECT {KEYS}, arg_min(package_id, struct_pack(a := -risk_reduction_pct, b := pa
        max(risk_reduction_pct) AS best_reduction_pct FROM sim GROUP BY {KEYS}
 """)
 def q_best(spark, sf):
-    return best_scenario(_simulated(spark, sf), CHILD_KEY)
+    return best_scenario_in_row(survey_frame(spark, sf), CHILD_KEY, PACKAGES, SCORER, derive=derive)
 
 
 @register("tier_shift_by_package", ids=("SIM4",), sql=SIM_SQL + f"""
@@ -338,7 +349,6 @@ FEATURE_DICTIONARY = [
     ("wealth_index", "Household wealth index"),
     ("mother_education", "Mother's education level"),
 ]
-_BG_N, _BG_SEED = 50, 42
 
 
 def sql_str(v: str) -> str:
@@ -349,12 +359,8 @@ def _features_frame(spark, sf):
     return derive(survey_frame(spark, sf)).select(*CHILD_KEY, *SCORE_FEATURES)
 
 
-def _background(spark, sf):
-    return stats.sample_n(_features_frame(spark, sf), _BG_N, _BG_SEED, CHILD_KEY)
-
-
 FEAT_SQL = survey_sql() + f",\nfeat AS ({_feat_cols_sql()}),\n" + (
-    f"bg AS (SELECT * FROM feat ORDER BY {sql_uniform(_BG_SEED, CHILD_KEY)}, {KEYS} LIMIT {_BG_N}),\n"
+    "bg AS (SELECT * FROM feat),\n"
     "mu AS (SELECT " + ", ".join(f"avg(coalesce(CAST({c} AS DOUBLE), 0.0)) AS {c}" for c in SCORE_FEATURES) + " FROM bg),\n"
     "dict AS (SELECT * FROM (VALUES " + ", ".join(f"({sql_str(a)}, {sql_str(b)})" for a, b in FEATURE_DICTIONARY)
     + ") AS d(feature_code, feature_name)),\n"
@@ -367,8 +373,10 @@ FEAT_SQL = survey_sql() + f",\nfeat AS ({_feat_cols_sql()}),\n" + (
     " round(shap_value * 100.0, 2) AS impact_pct FROM att LEFT JOIN dict ON att.feature_code = dict.feature_code)")
 
 
-def _attr(spark, sf):
-    return attribute_linear(_features_frame(spark, sf), CHILD_KEY, SCORE_FEATURES, SCORER, _background(spark, sf))
+def _attr(spark, sf, wide=False):
+    """Contributions against the means of the whole table."""
+    f = _features_frame(spark, sf)
+    return attribute_linear(f, CHILD_KEY, SCORE_FEATURES, SCORER, f, wide=wide)
 
 
 def _dict(spark):
@@ -385,25 +393,25 @@ def q_attr(spark, sf):
 
 
 @register("base_value_background", ids=("EXP3",), sql=survey_sql() + f",\nfeat AS ({_feat_cols_sql()}),\n"
-          f"bg AS (SELECT * FROM feat ORDER BY {sql_uniform(_BG_SEED, CHILD_KEY)}, {KEYS} LIMIT {_BG_N})\n"
+          "bg AS (SELECT * FROM feat)\n"
           f"SELECT round(avg({SCORER.sql_prob()}), {DP}) AS base_value FROM bg")
 def q_base(spark, sf):
-    return base_value(_background(spark, sf), SCORER).select(F.round("base_value", DP).alias("base_value"))
+    return base_value(_features_frame(spark, sf), SCORER).select(F.round("base_value", DP).alias("base_value"))
 
 
 @register("explain_top_features", ids=("EXP5", "TOP2"), sql=FEAT_SQL + f"""
 , r AS (SELECT {KEYS}, feature_code, shap_value,
-        row_number() OVER (PARTITION BY {KEYS} ORDER BY abs(shap_value) DESC, feature_code) AS rk FROM att),
+        row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att),
 p AS (SELECT {KEYS}, feature_code, shap_value,
-        row_number() OVER (PARTITION BY {KEYS} ORDER BY abs(shap_value) DESC, feature_code) AS rk FROM att WHERE shap_value > 0),
+        row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att WHERE shap_value > 0),
 n AS (SELECT {KEYS}, feature_code, shap_value,
-        row_number() OVER (PARTITION BY {KEYS} ORDER BY abs(shap_value) DESC, feature_code) AS rk FROM att WHERE shap_value < 0)
+        row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att WHERE shap_value < 0)
 SELECT {KEYS}, feature_code, round(shap_value, {DP}) AS shap_value, rk AS rank, 'top' AS list FROM r WHERE rk <= 10
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'risk' FROM p WHERE rk <= 5
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'protective' FROM n WHERE rk <= 5
 """)
 def q_explain(spark, sf):
-    e = explain(_attr(spark, sf), CHILD_KEY)
+    e = explain_arrays(_attr(spark, sf, wide=True), CHILD_KEY)
     return e.select(*CHILD_KEY, "feature_code", F.round("shap_value", DP).alias("shap_value"),
                     F.col("rank").cast("bigint").alias("rank"), "list")
 
@@ -413,21 +421,19 @@ SELECT feature_code, round(avg(abs(shap_value)), 4) AS mean_abs_shap, round(avg(
 FROM att GROUP BY feature_code ORDER BY avg(abs(shap_value)) DESC, feature_code LIMIT 15
 """)
 def q_global(spark, sf):
-    wide = attribute_linear(_features_frame(spark, sf), CHILD_KEY, SCORE_FEATURES, SCORER, _background(spark, sf),
-                            wide=True)
-    return global_importance_arrays(wide, SCORE_FEATURES, n=15)
+    return global_importance_arrays(_attr(spark, sf, wide=True), SCORE_FEATURES, n=15)
 
 
 @register("waterfall_linear", ids=("EXP7",), sql=FEAT_SQL + f"""
 , b AS (SELECT avg({SCORER.sql_margin().replace('CAST(', 'CAST(bg.')}) AS base FROM bg)
 SELECT {KEYS}, feature_code, row_number() OVER w AS step,
        round((SELECT base FROM b) + sum(shap_value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {DP}) AS running_total
-FROM att WINDOW w AS (PARTITION BY {KEYS} ORDER BY abs(shap_value) DESC, feature_code)
+FROM att WINDOW w AS (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code)
 """)
 def q_waterfall(spark, sf):
-    bg = _background(spark, sf)
-    base = bg.select(F.avg(SCORER.margin(bg)).alias("base_value"))
-    w = waterfall(_attr(spark, sf), CHILD_KEY, base_df=base)
+    f = _features_frame(spark, sf)
+    base = f.select(F.avg(SCORER.margin(f))).first()[0]
+    w = waterfall_arrays(_attr(spark, sf, wide=True), CHILD_KEY, base)
     return w.select(*CHILD_KEY, "feature_code", F.col("step").cast("bigint").alias("step"),
                     F.round("running_total", DP).alias("running_total"))
 
