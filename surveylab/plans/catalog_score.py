@@ -261,7 +261,7 @@ def _sim_sql():
         c for c in ("area", "child_age_months", "child_sex", "birth_order", "birth_interval", "anc_visits",
                     "diarrhea_recent", "fever_recent", "caesarean", "mother_age", "mother_education", "wealth_index",
                     "mother_anemia", "mother_bmi", "share_toilet", "electricity", "toilet_type", "water_source",
-                    "delivery_place", "stunting_label")]
+                    "delivery_place", "stunting_label", "rid")]
     num_like = {"toilet_type", "water_source", "delivery_place"}
 
     def sel(pid, o):
@@ -269,7 +269,7 @@ def _sim_sql():
         for c in base_cols:
             if c in o:
                 cols.append(f"{o[c]} AS {c}")
-            elif c in CHILD_KEY or c in num_like or c == "area" or c == "stunting_label":
+            elif c in CHILD_KEY or c in num_like or c in ("area", "stunting_label", "rid"):
                 cols.append(c)
             else:
                 cols.append(f"CAST({c} AS DOUBLE) AS {c}" if pid != "baseline" else c)
@@ -279,12 +279,12 @@ def _sim_sql():
     names = " ".join(f"WHEN '{p.package_id}' THEN {p.package_name!r}" for p in PACKAGES)
     # each row carries its own baseline index through the fan-out
     return (survey_sql() + f",\nbf AS ({_feat_cols_sql('survey')}),\n"
-            f"base AS (SELECT * EXCLUDE ({', '.join(FEATURE_NAMES)}), "
+            f"base AS (SELECT row_number() OVER () AS rid, * EXCLUDE ({', '.join(FEATURE_NAMES)}), "
             f"round({_index_sql(SCORER.sql_prob())}, 2) AS baseline_risk_pct FROM bf),\n"
             "fan AS (" + "\nUNION ALL ".join(parts) + "),\n"
             f"feat AS ({_feat_cols_sql('fan')}),\n"
             f"sc AS (SELECT feat.*, round({_index_sql(SCORER.sql_prob())}, 2) AS simulated_risk_pct FROM feat),\n"
-            f"sim AS (SELECT {KEYS}, package_id, CASE package_id {names} END AS package_name, baseline_risk_pct,"
+            f"sim AS (SELECT {KEYS}, rid, package_id, CASE package_id {names} END AS package_name, baseline_risk_pct,"
             f" simulated_risk_pct, round(baseline_risk_pct - simulated_risk_pct, 2) AS risk_reduction_pct FROM sc)")
 
 
@@ -295,14 +295,14 @@ def _simulated(spark, sf):
     return simulate(survey_frame(spark, sf), CHILD_KEY, PACKAGES, SCORER, derive=derive)
 
 
-@register("simulate_packages", ids=("SIM1", "SIM2", "SIM3"), sql=SIM_SQL + "\nSELECT * FROM sim")
+@register("simulate_packages", ids=("SIM1", "SIM2", "SIM3"), sql=SIM_SQL + "\nSELECT * EXCLUDE (rid) FROM sim")
 def q_sim(spark, sf):
     return _simulated(spark, sf)
 
 
 @register("best_scenario", ids=("SIM4",), sql=SIM_SQL + f"""
 SELECT {KEYS}, arg_min(package_id, struct_pack(a := -risk_reduction_pct, b := package_id)) AS best_package,
-       max(risk_reduction_pct) AS best_reduction_pct FROM sim GROUP BY {KEYS}
+       max(risk_reduction_pct) AS best_reduction_pct FROM sim GROUP BY {KEYS}, rid
 """)
 def q_best(spark, sf):
     return best_scenario_in_row(survey_frame(spark, sf), CHILD_KEY, PACKAGES, SCORER, derive=derive)
@@ -359,13 +359,13 @@ def _features_frame(spark, sf):
     return derive(survey_frame(spark, sf)).select(*CHILD_KEY, *SCORE_FEATURES)
 
 
-FEAT_SQL = survey_sql() + f",\nfeat AS ({_feat_cols_sql()}),\n" + (
+FEAT_SQL = survey_sql() + f",\nfeat AS (SELECT row_number() OVER () AS rid, z.* FROM ({_feat_cols_sql()}) z),\n" + (
     "bg AS (SELECT * FROM feat),\n"
     "mu AS (SELECT " + ", ".join(f"avg(coalesce(CAST({c} AS DOUBLE), 0.0)) AS {c}" for c in SCORE_FEATURES) + " FROM bg),\n"
     "dict AS (SELECT * FROM (VALUES " + ", ".join(f"({sql_str(a)}, {sql_str(b)})" for a, b in FEATURE_DICTIONARY)
     + ") AS d(feature_code, feature_name)),\n"
     "att AS (" + "\nUNION ALL ".join(
-        f"SELECT {KEYS}, '{c}' AS feature_code, CAST(feat.{c} AS DOUBLE) AS value, "
+        f"SELECT {KEYS}, rid, '{c}' AS feature_code, CAST(feat.{c} AS DOUBLE) AS value, "
         f"{SCORER.coefs[c]!r} * (coalesce(CAST(feat.{c} AS DOUBLE), 0.0) - mu.{c}) AS shap_value FROM feat, mu"
         for c in SCORE_FEATURES) + "),\n"
     "lab AS (SELECT att.*, coalesce(dict.feature_name, att.feature_code) AS feature_name,"
@@ -401,11 +401,11 @@ def q_base(spark, sf):
 
 @register("explain_top_features", ids=("EXP5", "TOP2"), sql=FEAT_SQL + f"""
 , r AS (SELECT {KEYS}, feature_code, shap_value,
-        row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att),
+        row_number() OVER (PARTITION BY rid ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att),
 p AS (SELECT {KEYS}, feature_code, shap_value,
-        row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att WHERE shap_value > 0),
+        row_number() OVER (PARTITION BY rid ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att WHERE shap_value > 0),
 n AS (SELECT {KEYS}, feature_code, shap_value,
-        row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att WHERE shap_value < 0)
+        row_number() OVER (PARTITION BY rid ORDER BY round(abs(shap_value), 9) DESC, feature_code) AS rk FROM att WHERE shap_value < 0)
 SELECT {KEYS}, feature_code, round(shap_value, {DP}) AS shap_value, rk AS rank, 'top' AS list FROM r WHERE rk <= 10
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'risk' FROM p WHERE rk <= 5
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'protective' FROM n WHERE rk <= 5
@@ -428,7 +428,7 @@ def q_global(spark, sf):
 , b AS (SELECT avg({SCORER.sql_margin().replace('CAST(', 'CAST(bg.')}) AS base FROM bg)
 SELECT {KEYS}, feature_code, row_number() OVER w AS step,
        round((SELECT base FROM b) + sum(shap_value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {DP}) AS running_total
-FROM att WINDOW w AS (PARTITION BY {KEYS} ORDER BY round(abs(shap_value), 9) DESC, feature_code)
+FROM att WINDOW w AS (PARTITION BY rid ORDER BY round(abs(shap_value), 9) DESC, feature_code)
 """)
 def q_waterfall(spark, sf):
     f = _features_frame(spark, sf)
