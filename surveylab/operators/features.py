@@ -147,11 +147,10 @@ def feature_labels(long_df: DataFrame, dictionary: DataFrame, code_col: str = "f
                    dict_code: str = "feature_code", dict_name: str = "feature_name") -> DataFrame:
     """FEA13: attach readable names; unknown codes keep the code.
 
-    The dictionary has one row per feature (bounded by the schema width),
-    so it is broadcast explicitly.
+    Spark broadcasts the dictionary if it is measured to be small.
     """
     d = dictionary.select(F.col(dict_code).alias("__code"), F.col(dict_name).alias("__name"))
-    return (long_df.join(F.broadcast(d), long_df[code_col] == F.col("__code"), "left")
+    return (long_df.join(d, long_df[code_col] == F.col("__code"), "left")
             .withColumn("feature_name", F.coalesce(F.col("__name"), F.col(code_col)))
             .drop("__code", "__name"))
 

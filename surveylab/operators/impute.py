@@ -107,12 +107,17 @@ def imputation_plan(df: DataFrame, continuous: Sequence[str] = (), ordinal: Sequ
                     exact: bool = True) -> list[dict]:
     """IMP7: per column (group, null share, method, fill value).
 
-    Shares share one pass; medians one pass; modes one stacked pass. Absent
-    columns are skipped; columns without NULLs get method 'none'.
+    The columns concerned are kept once (checkpoint), so that the input's own
+    plan (a join, say) runs once; shares, medians and modes are passes over the
+    kept columns. Absent columns are skipped; columns without NULLs get method
+    'none'.
     """
     groups = {"continuous": continuous, "ordinal": ordinal, "nominal": nominal, "binary": binary}
     present = {g: [c for c in cs if c in df.columns] for g, cs in groups.items()}
     allc = [c for cs in present.values() for c in cs]
+    if not allc:
+        return []
+    df = cut_lineage(df.select(*dict.fromkeys(allc)))
     shares = null_shares(df, allc)
     plan = []
     need_median, need_mode = [], []
