@@ -46,6 +46,8 @@ BANDS = {
     "han": Band(0.30, 4.0, 0.98, 3.5),
     "other": Band(0.25, 8.0, 0.99, 3.5),
 }
+#: A short text needs this share of the greatest entropy that its tokens can have, if that is less than the band.
+SHORT_SHARE = 0.85
 MIN_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
 
@@ -110,17 +112,21 @@ class Vocabulary:
             except UnicodeDecodeError:
                 self.partial[i] = True
 
-    def measure(self, text: str) -> tuple[float, float, float]:
+    def measure(self, text: str) -> tuple[float, float, float, int]:
+        """MEASURES of a text, and its number of tokens."""
         ids = np.array(self.encoding.encode_ordinary(text), "int64")
         if not len(ids):
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0
         share = np.unique(ids, return_counts=True)[1] / len(ids)
-        return (len(text) / len(ids), float(self.partial[ids].mean()), float(-(share * np.log2(share)).sum()))
+        return (len(text) / len(ids), float(self.partial[ids].mean()), float(-(share * np.log2(share)).sum()),
+                len(ids))
 
 
-def accepted(script: str, chars: float, byte_share: float, entropy: float, bands=None) -> bool:
+def accepted(script: str, chars: float, byte_share: float, entropy: float, n_tokens: int, bands=None) -> bool:
     b = (bands or BANDS)[script]
-    return b.least_chars <= chars <= b.most_chars and byte_share <= b.most_bytes and entropy >= b.least_entropy
+    # few tokens cannot have much entropy: at most the logarithm of their number
+    least = min(b.least_entropy, SHORT_SHARE * float(np.log2(max(n_tokens, 1))))
+    return b.least_chars <= chars <= b.most_chars and byte_share <= b.most_bytes and entropy >= least
 
 
 def judge(df: DataFrame, vocabulary_path: str, text: str = "text", bands: dict[str, Band] | None = None,
@@ -142,7 +148,7 @@ def judge(df: DataFrame, vocabulary_path: str, text: str = "text", bands: dict[s
             if n < min_words or 100 * repeated > most_repeated * n:
                 return (*counts, None, None, None, script, True, False)
             measures = vocabulary.measure(raw.decode())
-            return (*counts, *measures, script, False, accepted(script, *measures, bands=bands))
+            return (*counts, *measures[:3], script, False, accepted(script, *measures, bands=bands))
 
         def batch(col):
             made = [one(t) for t in common.text_bytes(col)]
