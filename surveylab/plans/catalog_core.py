@@ -129,7 +129,7 @@ def q_oor(spark, sf):
     return clean.out_of_range(li, "l_extendedprice", 2000, 90000)
 
 
-@register("sentinels_and_rescale", ids=("CLN1", "CLN2", "PRJ4", "PRJ5"), sql="""
+@register("sentinels_and_rescale", ids=("CLN1", "CLN2", "PRJ5"), sql="""
 SELECT p_partkey,
        CASE WHEN p_size BETWEEN 41 AND 50 THEN NULL ELSE p_size END AS p_size,
        p_retailprice / 100.0 AS retail_hundreds,

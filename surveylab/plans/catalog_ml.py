@@ -344,7 +344,7 @@ FROM rk WHERE cf_rank <= 2 AND (status = 'found' OR cf_rank = 1)
 """)
 
 
-@register("counterfactuals_linear", ids=("SIM5", "SIM7", "SIM6"), sql=_cf_sql())
+@register("counterfactuals_linear", ids=("SIM5", "SIM7"), sql=_cf_sql())
 def q_cf(spark, sf):
     s = survey_frame(spark, sf)
     mut = [c for c in mutable_columns(s, IMMUTABLE) if c in ("anc_visits", "mother_bmi")]

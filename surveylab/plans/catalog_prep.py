@@ -238,7 +238,7 @@ def q_split(spark, sf):
     return stratified_split(lab, "toxic", "doc_id", test=0.2, seed=42)
 
 
-@register("prevalence_by_split", ids=("AGG7", "SPL1", "SNK2"), sql=f"""
+@register("prevalence_by_split", ids=("AGG7", "SPL1"), sql=f"""
 WITH s AS ({_split_sql("SELECT doc_id, toxic FROM labels", "toxic", ["doc_id"])})
 SELECT split, round(avg(toxic) * 100.0, {DP}) AS prevalence_pct, sum(toxic)::BIGINT AS positives,
        sum(1 - toxic)::BIGINT AS negatives, count(*)::BIGINT AS n FROM s GROUP BY split
@@ -311,7 +311,7 @@ def q_coldiff(spark, sf):
     return clean.column_diff(keep(a), keep(b))
 
 
-@register("mean_std_text_by_flag", ids=("SCL3", "AGG16"), sql="""
+@register("mean_std_text_by_flag", ids=("SCL3",), sql="""
 SELECT l_returnflag, printf('%.4f ± %.4f', avg(l_discount), stddev_pop(l_discount)) AS discount_text FROM lineitem
 GROUP BY l_returnflag
 """)

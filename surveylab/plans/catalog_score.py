@@ -143,7 +143,7 @@ def _build_request_features(spark, sf, fields, categorical=EVENT_CATEGORICAL, de
     return out.withColumns({n: F.round(n, DP) for n in FEATURE_NAMES if n != "mother_age_group"})
 
 
-@register("build_features_requests", ids=("SCO1", "SCL6", "PRJ4", "SCL5"), sql=_request_sql(EVENT_FIELDS))
+@register("build_features_requests", ids=("SCO1", "SCL6", "SCL5"), sql=_request_sql(EVENT_FIELDS))
 def q_build(spark, sf):
     return _build_request_features(spark, sf, EVENT_FIELDS)
 

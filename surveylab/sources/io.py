@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surveylab.functions.expr import nan_to_null
 from surveylab.session import sf_path
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str = "parquet", header: bool = True) -> DataFrame:
-    """SRC2: read a table with a declared schema (no inference on large inputs)."""
+               fmt: str = "parquet", header: bool = True, nan_as_null: bool = True) -> DataFrame:
+    """SRC2: read a table with a declared schema (no inference on large inputs).
+
+    NaN in floating columns is missing from here on (``nan_as_null=False``
+    keeps it, and lets filters on such columns reach the reader).
+    """
     r = spark.read.format(fmt)
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
         r = r.option("header", header)
-    return r.load(path)
+    df = r.load(path)
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in floating}) if nan_as_null and floating else df
 
 
 def scan_filtered(spark: SparkSession, path: str, schema=None, cols: Sequence[str] | None = None,

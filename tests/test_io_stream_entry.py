@@ -142,3 +142,10 @@ def test_stream_restart_is_exactly_once(spark):
     out = spark.read.parquet(base + "/out")
     n = spark.read.parquet(f"{SF001}/events.parquet").count()
     assert out.count() == n and out.select("event_id").distinct().count() == n
+
+
+def test_nan_is_null_from_ingest_on(spark, tmp_path):
+    from surveylab.sources.io import read_table
+    spark.createDataFrame([(1, float("nan")), (2, 3.0)], "id int, x double").write.parquet(str(tmp_path / "t"))
+    assert read_table(spark, str(tmp_path / "t")).filter("x is null").count() == 1
+    assert read_table(spark, str(tmp_path / "t"), nan_as_null=False).filter("x is null").count() == 0
