@@ -103,9 +103,10 @@ def stored(df: DataFrame, name: str = "llm") -> DataFrame:
 
 
 def cached_in_task(key, build: Callable[[], object], _kept: dict = {}):  # noqa: B006
-    """An object kept between the tasks of a reused Python worker, a few at most."""
+    """An object kept between the tasks of a reused Python worker: the last two, so that the tables of one stage
+    do not stay in memory in the next ones."""
     if key not in _kept:
-        if len(_kept) >= 8:
-            _kept.clear()
+        while len(_kept) >= 2:
+            del _kept[next(iter(_kept))]
         _kept[key] = build()
     return _kept[key]
