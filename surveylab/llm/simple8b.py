@@ -155,7 +155,7 @@ class Tokens:
     white space and left to the library.
     """
 
-    KEPT = 1 << 19
+    KEPT = 1 << 18
     #: How the vocabulary's own rules cut normalised text, as its file states it.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     # ASCII and the letters U+00C0 to U+017F: composed, and lower-cased one by one (but for U+0130).
