@@ -119,6 +119,31 @@ def test_fertility_bands(spark):
     assert good.columns == clash.columns and {r.doc_id for r in good.collect()} == {0}
 
 
+def test_entropy_floor_is_the_line_below_the_good_ones():
+    n = np.array([64, 128, 256, 512, 1024, 1024, 4096, 65536])
+    least, rise, level = quality_rules.entropy_floor(n, np.array([4.0, 5.0, 5.0, 5.5, 6.0, 6.5, 6.2, 6.9]), margin=0.25)
+    assert level == np.quantile(n, 0.75) == 1792
+    assert rise == pytest.approx((6.2 - 5.0) / (np.log2(1792) - 8), abs=0.1) and 0 < rise < 0.5
+    band = quality_rules.Band(0, 9, 1, least, rise, level)
+    assert band.floor(1792) == band.floor(10**9) == least and band.floor(896) == pytest.approx(least - rise)
+    for m, e in zip(n, [4.0, 5.0, 5.0, 5.5, 6.0, 6.5, 6.2, 6.9]):
+        assert band.floor(m) <= e - 0.25 + 1e-9
+    one = quality_rules.entropy_floor(np.array([300, 300]), np.array([6.0, 6.5]), margin=0)
+    assert one[:2] == (6.0, 0.0)
+
+
+def test_bands_keep_the_good_and_reject_the_bad(spark):
+    """The floor is set on sf0.1; this is another table."""
+    from surveylab.llm.common import table
+
+    sf = "/root/testdata/sf0.01"
+    rows = (quality_rules.judge(table(spark, sf, "documents"), FERTILITY, keep=["doc_id"])
+            .join(table(spark, sf, "labels"), "doc_id").where("not base_failed").collect())
+    kept = {c: [r.kept for r in rows if r.quality == c] for c in (0, 1)}
+    assert len(kept[1]) > 300 and all(kept[1])
+    assert len(kept[0]) > 20 and sum(kept[0]) <= 0.1 * len(kept[0])
+
+
 # --- classifiers -----------------------------------------------------------------------------------------------
 
 LABELS = StructType([StructField("doc_id", LongType()), StructField("quality", IntegerType()),
