@@ -2,7 +2,8 @@
 
 A tokenizer and a stack of open elements give the tree's enter, text and exit
 events, with the end tags that HTML implies (a paragraph ends at a block, a
-list item at the next one, a cell at the next cell). The renderer follows
+list item at the next one, a cell at the next cell, the head at the first thing
+that belongs to the body). The renderer follows
 visibility rules (``hidden``, ``display:none``, closed details, scripts and the
 like give nothing), collapses white space, puts headings and paragraphs apart
 by an empty line and other blocks by a new line, marks and indents list items,
@@ -50,6 +51,9 @@ IMPLIED_END = {
     **{s: (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"]))
        for s in ("thead", "tbody", "tfoot")},
 }
+#: Elements that leave the head open; all others, and text, end it. What stands in a template there does not, not even
+#: <body>, which HTML ignores there.
+HEAD_PARTS = frozenset("base link meta title style script noscript template".split())
 #: End tags inside of these do not close elements outside of them.
 SCOPE = frozenset(["table", "td", "th", "caption", "html"])
 
@@ -145,6 +149,8 @@ def events(page: str) -> Iterator[tuple[str, str, dict | None]]:
 
     for kind, name, attributes in tokens(page):
         if kind == "start":
+            if open_ and open_[-1] == "head" and name not in HEAD_PARTS:
+                yield from leave_upto(len(open_) - 1)
             ends = IMPLIED_END.get(name)
             if ends and any(count.get(n) for n in ends[0]):
                 k = found = len(open_)
@@ -176,6 +182,8 @@ def events(page: str) -> Iterator[tuple[str, str, dict | None]]:
                 if open_[k - 1] == name:
                     yield from leave_upto(k - 1)
         else:
+            if kind == "text" and open_ and open_[-1] == "head" and html.unescape(name).strip(" \t\n\r\f"):
+                yield from leave_upto(len(open_) - 1)
             yield kind, name, None
     yield from leave_upto(0)
 

@@ -84,6 +84,20 @@ def test_layout(page, text):
     assert html_text.render(page or "") == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><body><p>text", "text"), ("<head><title>t</title><p>a<p>b", "a\n\nb"),
+    ("<html><head><meta charset=utf-8><link href=x><script>no</script><style>no</style>\n text <b>x</b>", "text x"),
+    ("<title>t</title><p>text", "text"), ("<head><title>t</title></head>text", "text"),
+    ("<head><noscript>no<p>no</noscript><template><p>no</template><body>b", "b"),
+    ("<head><noscript><img src=x></noscript><title>no</title><body>b", "b"),
+    ("<head><template><body><p>no</template><base href=x><h1>b", "b"), ("<head><title>no</title>&#32;\n</head>b", "b"),
+    ("<head><p>a</head><title>no</title><body>b", "a\n\nb"), ("<head><head><title>no</title><li>b", "- b"),
+    ("<p>a<head><title>no</title>b", "ab"), ("<head><img src=x>b", "b"), ("<head>&amp;<title>no</title>", "&"),
+])
+def test_head_ends_where_the_body_begins(page, text):
+    assert html_text.render(page) == text
+
+
 class Plain(HTMLParser):
     """Words outside of hidden elements, for well-formed pages."""
 
