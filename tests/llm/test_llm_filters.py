@@ -231,6 +231,20 @@ def test_sample_is_bounded_by_class(spark):
     assert sum(counts.values()) > 50
 
 
+def test_sample_has_one_row_of_each_id(spark):
+    rows, marks = labelled(spark, 60)
+    docs = documents(spark, rows, repeats=False).select("doc_id", "text")
+    many = docs.unionByName(docs).unionByName(spark.range(500).select(
+        F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("copy "), F.col("id") % 7).alias("text"))).unionByName(
+        spark.createDataFrame([(4, None), (None, "no id")], "doc_id long, text string"))
+    chosen, counts = labels.sample(many, marks, "toxic", 4, 2)
+    got = {(r.doc_id, r.text) for r in chosen.collect()}
+    assert chosen.count() == len(got) == sum(counts.values()) - 1  # the label 10**6 has no document
+    by_hash = {r.doc_id: r.text for r in many.where("doc_id is not null").orderBy(
+        F.xxhash64("text").desc(), F.col("text").desc()).collect()}
+    assert got == {(i, by_hash[i]) for i, _ in got}
+
+
 def test_density_difference_by_the_formula():
     rng = np.random.default_rng(1)
     d = len(quality_classifier.FEATURES)
