@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylab.llm import (chat, decontaminate, html_text, labels, quality_classifier, quality_rules, sentencepiece_codec,
-                           simhash, simple8b, token_counts, toxicity)
+from surveylab.llm import (align, chat, decontaminate, html_text, labels, merkle, quality_classifier, quality_rules,
+                           sentencepiece_codec, simhash, simple8b, spotsigs, token_counts, toxicity)
 from surveylab.llm.common import table
 from surveylab.session import checkpoint_dir
 
@@ -96,6 +96,29 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint("spots").alias("fingerprint"), spotsigs.fingerprint("edited_spots").alias("edited_fingerprint"),
+        spotsigs.likeness("spots", "edited_spots").alias("near_edited"),
+        spotsigs.likeness("spots", "next_spots").alias("near_next"), F.size("spots").cast("long").alias("n_spots"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.verify(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source",
+                          "doc_id", {"text": lowered}, tampered)
+    return found.select(F.col("id").alias("doc_id"), *[merkle.as_hex(c).alias(c) for c in ("leaf", "subroot", "root")],
+                        F.sha2(merkle.as_hex("siblings"), 256).alias("proof_sha256"),
+                        merkle.as_hex("folded").alias("folded_root"), "verified")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the top of the repository, and itself imports this module
 
@@ -113,6 +136,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op11_spotsigs": op11_spotsigs,
+    "op12_merkle": op12_merkle,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 
