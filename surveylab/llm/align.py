@@ -158,7 +158,7 @@ _ARROW = [pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3, pa.list_(pa.string
           pa.list_(pa.int64())]
 
 
-def _chunks(batches, build):
+def _chunks(batches, build, most: int):
     """Chunks of the aligned texts (text, n): texts without tokens are left out."""
     aligner = build()
     rows, sizes, held = [], [], 0
@@ -180,7 +180,7 @@ def _chunks(batches, build):
                 if made is None:
                     continue
                 codes, links = np.unique(np.frombuffer(made[3], "<i4"), return_counts=True)
-                if rows and held + len(codes) > CHUNK_PAIRS:
+                if rows and held + len(codes) > most:
                     yield flush()
                     rows, sizes, held = [], [], 0
                 rows.append((hashlib.sha256(text.encode()).digest(), *made[:3], made[4], codes, links, n))
@@ -190,8 +190,9 @@ def _chunks(batches, build):
         yield flush()
 
 
-def chunks(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """The stored chunks of the distinct aligned texts, each with its number ``chunk``."""
+def chunks(docs: DataFrame, a_path: str, b_path: str, text: str = "text", most: int = CHUNK_PAIRS) -> DataFrame:
+    """The stored chunks of the distinct aligned texts, each with its number ``chunk``, of at most ``most`` distinct pairs
+    of texts unless a single text has more."""
     a, b = common.vocabulary_bytes(a_path), common.vocabulary_bytes(b_path)
 
     def build():
@@ -199,7 +200,7 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Dat
 
     # Copies are counted before the shuffle, so that a text with many rows sends one a task.
     distinct = docs.select(F.col(text).alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
-    made = distinct.mapInArrow(lambda batches: _chunks(batches, build), _CHUNK)
+    made = distinct.mapInArrow(lambda batches: _chunks(batches, build, most), _CHUNK)
     return common.stored(made.withColumn("chunk", F.monotonically_increasing_id()), "aligned")
 
 

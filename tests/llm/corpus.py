@@ -10,7 +10,7 @@ SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", Stri
                      StructField("n_chars", LongType())])
 #: Columns that clash with names that operators use.
 CLASHES = ["fp", "ids", "label", "score", "kept", "span", "hits", "size", "start", "n_tokens", "component_id", "share",
-           "statistics", "shard", "features", "predicted", "text_hash"]
+           "statistics", "shard", "features", "predicted", "text_hash", "spots", "part", "guest", "n_rows", "hash"]
 
 
 def texts(seed=7, n=40):
