@@ -12,9 +12,8 @@ with its links weighted by the texts' multiplicity. Pair counts are sums over
 chunks, the pairs of each chunk look their corpus counts up (one row for a
 pair and chunk), and the measures go to all rows of a text by its SHA-256.
 
-Both tokenizers cut before a single space between other characters (checked
-for the vocabularies at hand), so that texts are aligned by the stretches
-between, which are kept in a bounded table.
+Within a task the tokens of some texts are aligned at once, by marks at the
+bytes where tokens end.
 
 Null and empty texts have no tokens. Nor has a text whose tokens, joined, give
 other bytes than a space and the text (for example one with U+2581). Repeated
@@ -24,12 +23,14 @@ rows are rows of one text. Any further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField,
@@ -38,12 +39,12 @@ from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, IntegerType,
 from surveylab.llm import common
 
 MARK = "▁"
-#: Distinct pairs of texts in one stored chunk (a single text may have more), and bytes of stretches kept by a worker.
+#: Distinct pairs of texts in one stored chunk (a single text may have more).
 CHUNK_PAIRS = 1 << 19
-BYTES_KEPT = 96 << 20
-LONGEST_KEPT = 64
-# A stretch begins at a space between a character other than a space and one that is no white space.
-_STRETCH = re.compile(r"(?s).+?(?=(?<! ) \S|\Z)")
+# Fixed value: how byte-level vocabularies of this kind cut a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONGEST_RUN = 4096
+_LONG_RUN = re.compile(rf"[^ ]{{{LONGEST_RUN}}}|\s{{{LONGEST_RUN}}}")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -55,96 +56,105 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Aligner:
-    """Tokenises texts by both vocabularies and aligns the tokens."""
+    """Tokenises texts by both vocabularies and aligns the tokens of a batch at once."""
 
     def __init__(self, a: bytes, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         chars = _byte_of_char()
-        names = {i: p for p, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = {i: bytes(chars[c] for c in p) for i, p in names.items()}
-        self.b_bytes = {}
-        for i in range(self.b.get_piece_size()):
-            p = self.b.id_to_piece(i)
-            self.b_bytes[i] = (bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode())
-        self.n_b = self.b.get_piece_size()
-        if (max(self.a_bytes) + 1) * self.n_b > 1 << 31:
+        names = {p: i for p, i in self.a.get_vocab(with_added_tokens=False).items()}
+        a_bytes = {i: bytes(chars[c] for c in p) for p, i in names.items()}
+        self.n_a, self.n_b = max(a_bytes) + 1, self.b.get_piece_size()
+        if self.n_a * self.n_b > 1 << 31:
             raise ValueError("pairs of these vocabularies do not fit into 31 bits")
-        probe = [" one two", " one", " two"]
-        a_ids, b_ids = self._encode(probe)
-        cuts = a_ids[0] == a_ids[1] + a_ids[2] and b_ids[0] == b_ids[1] + b_ids[2] and not any(
-            MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.n_b))
-        self.stretches = _STRETCH.findall if cuts else (lambda t: [t])
-        self.known: dict[str, tuple] = {}
-        self.kept = 0
-
-    def _encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of texts that begin with a space; B puts it there itself."""
-        return ([e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)],
-                self.b.encode([s[1:] for s in stretches], num_threads=1))
-
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, links' pair codes as int32 bytes, groups as text); None if the bytes differ."""
-        a_bytes, b_bytes, raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], text.encode()
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        codes, groups, i, j, a_end, b_end, first_a, first_b, n = [], [], 0, 0, 0, 0, 0, 0, self.n_b
-        a_end, b_end = len(a_bytes[0]), len(b_bytes[0])
-        while True:
-            codes.append(a[i] * n + b[j])
-            if a_end == b_end:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                a_end, b_end = a_end + len(a_bytes[i]), b_end + len(b_bytes[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_bytes[i])
+        pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
+                   for i, p in enumerate(pieces)]
+        self.a_bytes = pa.array([a_bytes.get(i, b"") for i in range(self.n_a)], pa.binary())
+        self.b_bytes = pa.array(b_bytes, pa.binary())
+        # Decimal ids with what follows them: within a group, and at the end of its A or B ids.
+        self.a_text = pa.array([f"{i}{c}" for i in range(self.n_a) for c in ",|"])
+        self.b_text = pa.array([f"{i}{c}" for i in range(self.n_b) for c in ",;"])
+        self.texts = pa.concat_arrays([self.a_text, self.b_text])
+        rules = json.loads(a)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in rules["model"]["merges"]]
+        ranks = {v: i for i, v in a_bytes.items()}
+        # If merges come in the order of the ids they make, another library does the same work by ranks, faster.
+        ranked = (rules["pre_tokenizer"].get("type") == "ByteLevel" and rules["pre_tokenizer"].get("use_regex", True)
+                  and not rules["pre_tokenizer"].get("add_prefix_space") and rules.get("normalizer") is None
+                  and len(ranks) == len(a_bytes) and [names.get(x + y) for x, y in merges] == sorted(
+                      i for i, v in a_bytes.items() if len(v) > 1))
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranked else None
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A's ids of the texts with a space before them, and B's ids (B puts the space there itself)."""
+        spaced = [" " + t for t in texts]
+        a: list = [None] * len(texts)
+        slow = []
+        for k, t in enumerate(spaced):
+            # A long run without a space would go beyond the stack of the faster library's pattern search.
+            if self.fast is None or len(t) > LONGEST_RUN and _LONG_RUN.search(t):
+                slow.append(k)
             else:
-                j += 1
-                b_end += len(b_bytes[j])
-        return len(a), len(b), len(groups), np.array(codes, "<i4").tobytes(), ";".join(groups)
-
-    def _add(self, new: list[str]) -> None:
-        for at in range(0, len(new), 1024):
-            some = new[at:at + 1024]
-            for s, a, b in zip(some, *self._encode(some)):
-                made = self.known[s] = self._aligned(s, a, b)
-                self.kept += 300 + 4 * len(s) + (len(made[3]) + len(made[4]) if made else 0)
-
-    def _trim(self) -> None:
-        """Forget long stretches, and the half that was kept first when the table is full."""
-        if self.kept > BYTES_KEPT:
-            for s in [*islice(self.known, len(self.known) // 2)]:
-                made = self.known.pop(s)
-                self.kept -= 300 + 4 * len(s) + (len(made[3]) + len(made[4]) if made else 0)
+                a[k] = self.fast.encode_ordinary(t)
+        for k, e in zip(slow, self.a.encode_batch_fast([spaced[k] for k in slow], add_special_tokens=False)):
+            a[k] = e.ids
+        return a, self.b.encode(texts, num_threads=1)
+
+    @staticmethod
+    def _joined(table: pa.Array, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(flat ids, number of each list, joined bytes of each list)."""
+        sizes = np.fromiter(map(len, lists), "i8", len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), "i4", int(sizes.sum()))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        parts = pa.ListArray.from_arrays(offsets, table.take(pa.array(flat)))
+        return flat, sizes, pc.binary_join(parts, b"").to_pylist()
 
     def align(self, texts: list[str]) -> list[tuple | None]:
-        """For each text (n_a, n_b, n_groups, pair codes of all links as int32 bytes, SHA-256 of the groups)."""
-        cut = [self.stretches(" " + t) if t else [] for t in texts]
-        known = self.known
-        self._add([s for s in set().union(*cut) if s not in known])
-        out = []
-        for t, parts in zip(texts, cut):
-            found = [known[s] for s in parts]
-            if None in found or not found:
-                out.append(None)
-                continue
-            n_a, n_b, n_groups, codes, groups = zip(*found)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), b"".join(codes),
-                        hashlib.sha256(";".join(groups).encode()).hexdigest()))
-        for s in set().union(*cut):
-            if len(s) > LONGEST_KEPT:
-                made = known.pop(s)
-                self.kept -= 300 + 4 * len(s) + (len(made[3]) + len(made[4]) if made else 0)
-        self._trim()
+        """For each text (n_a, n_b, n_groups, pair codes of all links in order, SHA-256 of the groups); None without tokens."""
+        at = [k for k, t in enumerate(texts) if t]
+        out: list[tuple | None] = [None] * len(texts)
+        if not at:
+            return out
+        a, b = self._ids([texts[k] for k in at])
+        raw = [b" " + texts[k].encode() for k in at]
+        a_made, b_made = self._joined(self.a_bytes, a), self._joined(self.b_bytes, b)
+        good = [x == y == z for x, y, z in zip(raw, a_made[2], b_made[2])]
+        if not all(good):
+            at, a, b, raw = ([x for x, g in zip(xs, good) if g] for xs in (at, a, b, raw))
+            if not at:
+                return out
+            a_made, b_made = self._joined(self.a_bytes, a), self._joined(self.b_bytes, b)
+        (a_ids, n_a, _), (b_ids, n_b, _) = a_made, b_made
+        a_ends, b_ends = (np.cumsum(np.asarray(pc.binary_length(t.take(pa.array(i))), "i8")) - 1
+                          for t, i in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
+        size = int(a_ends[-1]) + 1
+        ends = np.cumsum([len(r) for r in raw]) - 1  # last byte of each text
+        is_a, is_b = np.zeros(size, bool), np.zeros(size, bool)
+        is_a[a_ends] = is_b[b_ends] = True
+        # Every place where a token ends closes one link: that of the two tokens over this byte.
+        either, both = np.flatnonzero(is_a | is_b), np.flatnonzero(is_a & is_b)
+        codes = (a_ids[np.searchsorted(a_ends, either)] * np.int32(self.n_b) + b_ids[np.searchsorted(b_ends, either)])
+        n_links = np.diff(np.searchsorted(either, ends, "right"), prepend=0)
+        n_groups = np.diff(np.searchsorted(both, ends, "right"), prepend=0)
+        # The ids in the order of the groups, each group's A ids before its B ids.
+        a_upto = np.searchsorted(a_ends, both, "right")
+        b_before = np.concatenate([[0], np.searchsorted(b_ends, both, "right")[:-1]])
+        order = np.empty(len(a_ids) + len(b_ids), "i4")
+        order[np.arange(len(a_ids)) + b_before[np.searchsorted(both, a_ends)]] = 2 * a_ids + is_b[a_ends]
+        order[np.arange(len(b_ids)) + a_upto[np.searchsorted(both, b_ends)]] = 2 * (self.n_a + b_ids) + is_a[b_ends]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n_a + n_b)]), pa.int32())
+        groups = pc.binary_join(pa.ListArray.from_arrays(offsets, self.texts.take(pa.array(order))), "").to_pylist()
+        cuts = np.cumsum(n_links)
+        for k, i in enumerate(at):
+            out[i] = (int(n_a[k]), int(n_b[k]), int(n_groups[k]), codes[cuts[k] - n_links[k]:cuts[k]],
+                      hashlib.sha256(groups[k][:-1].encode()).hexdigest())
         return out
 
 
@@ -179,7 +189,7 @@ def _chunks(batches, build, most: int):
             for text, n, made in zip(texts, batch.column(1).to_pylist(), aligner.align(texts)):
                 if made is None:
                     continue
-                codes, links = np.unique(np.frombuffer(made[3], "<i4"), return_counts=True)
+                codes, links = np.unique(made[3], return_counts=True)
                 if rows and held + len(codes) > most:
                     yield flush()
                     rows, sizes, held = [], [], 0
