@@ -38,18 +38,19 @@ def ranked(rows: DataFrame, group: str, order: list[Column], rows_a_part: int =
 #: Most parts into which rows are cut for finding their next rows; strides of the search among their borders.
 MOST_PARTS = 1 << 18
 _STRIDES = (1 << 12, 1 << 6, 1)
-_LEAST = -(1 << 63)
+LEAST = -(1 << 63)
 
 
-def _borders(keys: DataFrame, parts: int) -> list[tuple[int, int]]:
+def borders(keys: DataFrame, parts: int) -> list[tuple[int, int]]:
     """The greatest key (id, hash) of each of about ``parts`` ranges of equally many keys, ascending."""
     dealt = keys.repartitionByRange(parts, "id", "hash")
     found = dealt.groupBy(F.spark_partition_id()).agg(F.max(F.struct("id", "hash")).alias("k")).select("k.*")
     return sorted((r[0], r[1]) for r in found.collect())  # a row for each part
 
 
-def _part(borders: list[tuple[int, int]]) -> list[tuple[str, str]]:
-    """SQL steps that find how many borders are less than the key (id, hash): the last one names ``part``."""
+def part_of(borders: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """SQL steps (column, expression) that find how many borders, the last one aside, are less than the key (id, hash):
+    the last step is ``part``. A step looks at no more than 64 borders for a row."""
     ids, hashes = (f"cast(split('{','.join(map(str, x))}', ',') as array<bigint>)" for x in zip(*borders))
     last, below, steps = len(borders) - 2, "0", []
     for stride, wider in zip(_STRIDES, (MOST_PARTS, *_STRIDES)):
@@ -73,7 +74,7 @@ def beside_next(docs: DataFrame, doc_id: str, text: str, part_bytes: int) -> Dat
     are in one task. Null ids count as the least; rows that agree in id and text
     are one document with their number in ``n_rows``.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("id"),
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("id"),
                        F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     keys = stored(rows.groupBy("id", "hash").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes")),
                   "keys")
@@ -84,12 +85,12 @@ def beside_next(docs: DataFrame, doc_id: str, text: str, part_bytes: int) -> Dat
                                               F.count("*").alias("n_rows"))
     else:
         rows = rows.withColumn("n_rows", F.lit(1).cast("long"))
-    borders = _borders(keys, min(MOST_PARTS, 1 + (size or 0) // part_bytes)) or [(_LEAST, 0)]
-    for name, step in _part(borders):
+    ends = borders(keys, min(MOST_PARTS, 1 + (size or 0) // part_bytes)) or [(LEAST, 0)]
+    for name, step in part_of(ends):
         rows = rows.withColumn(name, F.expr(step))
-    ids, hashes = (f"cast(split('{','.join(map(str, x))}', ',') as array<bigint>)" for x in zip(*borders))
+    ids, hashes = (f"cast(split('{','.join(map(str, x))}', ',') as array<bigint>)" for x in zip(*ends))
     places = F.expr(f"""if(id = {ids}[part] and hash = {hashes}[part],
-        array(struct(part, false as guest), struct((part + 1) % {len(borders)} as part, true as guest)),
+        array(struct(part, false as guest), struct((part + 1) % {len(ends)} as part, true as guest)),
         array(struct(part, false as guest)))""")
     dealt = rows.select("id", "hash", "doc_id", "text", "n_rows", F.explode(places).alias("at"))
     return dealt.select("at.part", "at.guest", "id", "hash", "doc_id", "text", "n_rows").repartition("part")

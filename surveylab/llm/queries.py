@@ -61,9 +61,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    ids = simple8b.token_ids(docs, vocabulary("word_bpe_49k.json"), end_id=2, keep=["doc_id"], width=2)
-    simple8b.write(ids, path, simple8b.shard_borders(docs), width=2)
+    docs, shards = simple8b.with_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = simple8b.token_ids(docs, vocabulary("word_bpe_49k.json"), end_id=2, keep=["shard", "place", "doc_id"], width=2)
+    simple8b.write(ids, path, shards, width=2)
     return simple8b.read(spark, path).select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, LongType, StructField, StructType)
 
-from surveylab.llm import common
+from surveylab.llm import common, order
 
 # Fixed values of the coding: ids in a word by selector, and bits of each.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK = 512
 CHUNK_IDS = 1 << 16
+#: Bytes of text in a shard.
+SHARD_BYTES = 16 << 20
 _MAGIC = np.uint64(int.from_bytes(b"S8BLOCK1", "little"))
 _LOW = np.uint64((1 << 60) - 1)
 
@@ -155,7 +157,8 @@ class Tokens:
     white space and left to the library.
     """
 
-    KEPT = 1 << 18
+    #: Bytes of kept pre-tokens after which those not seen since the last time are forgotten.
+    KEPT_BYTES = 24 << 20
     #: How the vocabulary's own rules cut normalised text, as its file states it.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     # ASCII and the letters U+00C0 to U+017F: composed, and lower-cased one by one (but for U+0130).
@@ -181,8 +184,8 @@ class Tokens:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(end) and piece.endswith(end)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = _Kept(self.KEPT_BYTES)
+        self.parts = _Kept(self.KEPT_BYTES)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -198,16 +201,12 @@ class Tokens:
                 raise ValueError("pre-tokens and end-of-word pieces differ in number")
             begin = 0
             for p, stop in zip(some, stops.tolist()):
-                self.parts[p] = raw[begin:stop]
+                self.parts.add(p, raw[begin:stop])
                 begin = stop
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        if len(self.parts) > self.KEPT:
-            self.parts.clear()
-        known, parts, other, cut = self.known, self.parts, self._OTHER.search, self._CUT.findall
+        other, cut = self._OTHER.search, self._CUT.findall
         plain: dict[int, list[str]] = {}
         rest: dict[int, list[bytes]] = {}
         for i, raw in enumerate(texts):
@@ -216,14 +215,42 @@ class Tokens:
                 plain[i] = cut(text.lower())
             else:
                 rest[i] = raw.split()
-        self._add_parts([p for p in set().union(*plain.values()) if p not in parts])
-        new = [p for p in set().union(*rest.values()) if p not in known]
+        self._add_parts(self.parts.missing(set().union(*plain.values())))
+        new = self.known.missing(set().union(*rest.values()))
         for p, ids in zip(new, self._ids([p.decode() for p in new]) if new else ()):
-            known[p] = np.array(ids, "<u4").tobytes()
+            self.known.add(p, np.array(ids, "<u4").tobytes())
+        known, parts = self.known.young, self.parts.young
         return [b"".join(map(parts.__getitem__, plain[i])) if i in plain else b"".join(map(known.__getitem__, rest[i]))
                 for i in range(len(texts))]
 
 
+class _Kept:
+    """A table in two generations: when the young one has grown to ``most`` bytes it becomes the old one, and what is
+    looked up from there on comes back into a new young one."""
+
+    def __init__(self, most: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.most, self.bytes = most, 0
+
+    def add(self, key, value: bytes) -> None:
+        self.young[key] = value
+        self.bytes += 180 + len(key) + len(value)
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not kept; the others are in ``young`` from now on."""
+        if self.bytes > self.most:
+            self.young, self.old, self.bytes = {}, self.young, 0
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    self.add(k, old[k])
+                else:
+                    out.append(k)
+        return out
+
+
 def token_ids(df: DataFrame, vocabulary_path: str, end_id: int | None = None, text: str = "text", ids: str = "ids",
               keep=None, width: int = 4) -> DataFrame:
     """Append the ids of each whole text as little-endian bytes, ``width`` (4 or 2) for each id, followed by ``end_id``
@@ -279,28 +306,34 @@ def _chunks(batches, width: int):
         yield flush()
 
 
-def shard_borders(docs: DataFrame, doc_id: str = "doc_id", shards: int | None = None) -> list[int]:
-    """Ids that part the documents into about equal shards (by default one for each shuffle partition)."""
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / shards for i in range(1, shards)]
-    return sorted({*(docs.select(F.percentile_approx(doc_id, cuts, 10_000)).first()[0] or [])}) if cuts else []
-
-
-def write(df: DataFrame, path: str, borders: list[int], doc_id: str = "doc_id", ids: str = "ids",
-          width: int = 4) -> None:
-    """Write rows (doc_id, ids of ``width`` bytes each) in ascending order of doc_id; null ids of documents come first.
+def with_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """``docs`` with the columns ``shard`` and ``place``, and the number of shards: ranges of ascending ids with about
+    ``shard_bytes`` of text each.
 
-    ``borders`` are those of :func:`shard_borders` over the documents, before
-    their texts are encoded: a sort by range would encode all texts a second
-    time for its sample. Rows with equal ids stand next to each other.
+    Taken before the texts are encoded: a sort by range would encode all texts
+    a second time for its sample. Rows of an id are ordered by ``place`` (a hash
+    of the text, with ten random bits), so that an id, and even a repeated row,
+    that holds many rows is cut into several shards.
     """
-    shards = len(borders) + 1
-    at = F.expr(f"aggregate(array({', '.join(f'{b}L' for b in borders)}), 0, (n, b) -> n + int(`{doc_id}` > b))"
-                ) if borders else F.lit(0)
-    placed = df.select(F.coalesce(at, F.lit(0)).alias("shard"), F.col(doc_id).cast("long").alias("doc_id"),
-                       F.col(ids).alias("ids"))
-    (placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-     .mapInArrow(lambda batches: _chunks(batches, width), _CHUNK).write.option("compression", "none").parquet(path))
+    salted = F.xxhash64(text).bitwiseAND(F.lit(~1023)).bitwiseOR(F.floor(F.rand(7) * 1024).cast("long"))
+    keyed = docs.withColumns({"id": F.coalesce(F.col(doc_id).cast("long"), F.lit(order.LEAST)), "hash": salted})
+    keys = common.stored(keyed.select("id", "hash", F.octet_length(text).alias("bytes")), "keys")
+    size = keys.agg(F.sum("bytes")).first()[0] or 0
+    ends = order.borders(keys, min(order.MOST_PARTS, 1 + size // shard_bytes)) or [(order.LEAST, 0)]
+    for name, step in order.part_of(ends):
+        keyed = keyed.withColumn(name, F.expr(step))
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("shard", "place", "id", "hash", "part")]
+    return keyed.select(*kept, F.col("part").cast("int").alias("shard"), F.col("hash").alias("place")), len(ends)
+
+
+def write(df: DataFrame, path: str, shards: int, doc_id: str = "doc_id", ids: str = "ids", width: int = 4) -> None:
+    """Write rows (shard, place, doc_id, ids of ``width`` bytes each) in ascending order of doc_id; null ids come first.
+    ``shard`` and ``place`` are those of :func:`with_shards`, of which there are ``shards``."""
+    placed = df.select("shard", F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids"), "place")
+    (placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "place")
+     .select("shard", "doc_id", "ids").mapInArrow(lambda batches: _chunks(batches, width), _CHUNK)
+     .write.option("compression", "none").parquet(path))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -321,5 +354,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     schema = StructType([StructField("doc_id", LongType()), StructField("start", LongType()),
                          StructField("ids", BinaryType())])
-    return (chunks.join(bases, F.col("shard") == F.col("s")).select("first", "base", "doc_ids", "sizes", "payload")
+    # A row for each shard: small beside the chunks, whose payload would else be shuffled.
+    return (chunks.join(F.broadcast(bases), F.col("shard") == F.col("s")).select("first", "base", "doc_ids", "sizes", "payload")
             .mapInArrow(rows, schema))

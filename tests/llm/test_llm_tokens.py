@@ -109,8 +109,10 @@ def test_token_files_hold_all_documents_in_order(spark, tmp_path, width):
     t = Tokenizer.from_file(WORDS)
     docs = documents(spark, clash=True)
     path = str(tmp_path / "tokens")
-    ids = simple8b.token_ids(docs, WORDS, end_id=2, keep=["doc_id"], width=width)
-    simple8b.write(ids, path, simple8b.shard_borders(docs, shards=3), width=width)
+    dealt, shards = simple8b.with_shards(docs, shard_bytes=20000)
+    assert shards > 3 and {"source", "lang", "shard"} <= {*dealt.columns}
+    ids = simple8b.token_ids(dealt, WORDS, end_id=2, keep=["shard", "place", "doc_id"], width=width)
+    simple8b.write(ids, path, shards, width=width)
     got = sorted(simple8b.read(spark, path).collect(), key=lambda r: r.start)
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert ids == sorted(ids) and len(ids) == docs.count()
@@ -126,10 +128,35 @@ def test_token_files_hold_all_documents_in_order(spark, tmp_path, width):
 
 def test_token_files_of_no_documents(spark, tmp_path):
     path = str(tmp_path / "none")
-    simple8b.write(simple8b.token_ids(empty(spark), WORDS, keep=["doc_id"]), path, simple8b.shard_borders(empty(spark)))
+    dealt, shards = simple8b.with_shards(empty(spark))
+    simple8b.write(simple8b.token_ids(dealt, WORDS, keep=["shard", "place", "doc_id"]), path, shards)
     assert simple8b.read(spark, path).count() == 0
 
 
+def test_a_repeated_row_is_cut_into_shards_and_bases_are_broadcast(spark, tmp_path):
+    docs = documents(spark, ["some words here"] * 3, repeats=False).withColumn("doc_id", F.lit(5).cast("long")).select(
+        "doc_id", F.explode(F.array_repeat("text", 400)).alias("text"))
+    dealt, shards = simple8b.with_shards(docs, shard_bytes=2000)
+    sizes = [r[1] for r in dealt.groupBy("shard").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 600
+    path = str(tmp_path / "hot")
+    simple8b.write(simple8b.token_ids(dealt, WORDS, keep=["shard", "place", "doc_id"]), path, shards)
+    got = simple8b.read(spark, path)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    starts = sorted(r.start for r in got.collect())
+    assert len(starts) == 1200 and len({b - a for a, b in zip(starts, starts[1:])}) == 1
+
+
+def test_kept_ids_stay_right_when_the_table_turns_over():
+    tok = simple8b.Tokens(open(WORDS, "rb").read())
+    tok.parts.most = tok.known.most = 3000
+    t = Tokenizer.from_file(WORDS)
+    for s in odd_texts(300, 12) + [f"one two w{i}x three" for i in range(200)]:
+        assert np.frombuffer(tok.encode([s.encode()])[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+    assert len(tok.parts.young) + len(tok.parts.old) < 60
+
+
 def best_segmentation(word, counter):
     """Tokens of the best segmentation, each place computed for itself."""
     best = [(0.0, 0)]
