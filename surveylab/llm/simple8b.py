@@ -158,12 +158,15 @@ class Tokens:
     """
 
     #: Bytes of kept pre-tokens after which those not seen since the last time are forgotten.
-    KEPT_BYTES = 24 << 20
+    KEPT_BYTES = 40 << 20
+    #: Bytes of texts that are cut into pre-tokens at once.
+    GROUP_BYTES = 1 << 20
     #: How the vocabulary's own rules cut normalised text, as its file states it.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     # ASCII and the letters U+00C0 to U+017F: composed, and lower-cased one by one (but for U+0130).
     _OTHER = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
-    _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|"
+    # Runs of letters come first: no other alternative begins with a letter.
+    _CUT = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|"
                       "[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
     def __init__(self, data: bytes):
@@ -206,6 +209,16 @@ class Tokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        out: list[bytes] = []
+        begin = size = 0
+        for i, raw in enumerate(texts):
+            size += len(raw)
+            if size >= self.GROUP_BYTES or i == len(texts) - 1:
+                out += self._group(texts[begin:i + 1])
+                begin, size = i + 1, 0
+        return out
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
         other, cut = self._OTHER.search, self._CUT.findall
         plain: dict[int, list[str]] = {}
         rest: dict[int, list[bytes]] = {}
@@ -241,14 +254,11 @@ class _Kept:
         """The keys that are not kept; the others are in ``young`` from now on."""
         if self.bytes > self.most:
             self.young, self.old, self.bytes = {}, self.young, 0
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    self.add(k, old[k])
-                else:
-                    out.append(k)
-        return out
+        new = keys.difference(self.young)
+        again = new.intersection(self.old)
+        for k in again:
+            self.add(k, self.old[k])
+        return [*(new - again)]
 
 
 def token_ids(df: DataFrame, vocabulary_path: str, end_id: int | None = None, text: str = "text", ids: str = "ids",
