@@ -37,6 +37,7 @@ from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, IntegerType,
                                StructType)
 
 from surveylab.llm import common
+from surveylab.llm.simple8b import byte_of_char
 
 MARK = "▁"
 #: Distinct pairs of texts in one stored chunk (a single text may have more).
@@ -47,14 +48,6 @@ LONGEST_RUN = 4096
 _LONG_RUN = re.compile(rf"[^ ]{{{LONGEST_RUN}}}|\s{{{LONGEST_RUN}}}")
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next
-    free one from U+0100 on (the public rule of byte-level BPE)."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Aligner:
     """Tokenises texts by both vocabularies and aligns the tokens of a batch at once."""
 
@@ -67,7 +60,7 @@ class Aligner:
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        chars = _byte_of_char()
+        chars = byte_of_char()
         names = {p: i for p, i in self.a.get_vocab(with_added_tokens=False).items()}
         a_bytes = {i: bytes(chars[c] for c in p) for p, i in names.items()}
         self.n_a, self.n_b = max(a_bytes) + 1, self.b.get_piece_size()

@@ -146,31 +146,80 @@ def decode_block(chunk: bytes, block: int) -> np.ndarray:
     return _unpack(words[a:b], min(size, n - block * size))
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if it is printable, else the next
+    free character from U+0100 on (the public rule of byte-level BPE)."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+#: Ends a pre-token for the ranked merges; texts that hold it are left to the library.
+STOP = "\x01"
+
+
+def word_ranks(data: bytes) -> tuple[dict[bytes, int], list[int]] | None:
+    """(rank of each piece as bytes, id of each rank) of a vocabulary with end-of-word pieces, or None if merging by
+    ranks could differ from merging by its list.
+
+    The end of word is a byte of its own that joins its neighbour before any
+    other merge. Ranks merge any two neighbours that make up a piece, the list
+    only certain ones. The two are the same if the list's merges, run on each
+    piece by itself, lead to that piece: two neighbours that span a piece have
+    come about in that span alone, and the last two there are those of the list.
+    """
+    rules = json.loads(data)
+    end, vocab = rules["model"].get("end_of_word_suffix"), rules["model"]["vocab"]
+    chars = byte_of_char()
+    if not end:
+        return None
+
+    def raw(piece: str) -> bytes:
+        last = piece.endswith(end)
+        return bytes(chars[c] for c in (piece[:-len(end)] if last else piece)) + STOP.encode() * last
+
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in rules["model"]["merges"]]
+    place = {m: k for k, m in enumerate(merges)}
+    for a, b in merges:
+        whole = a + b
+        symbols = [*(whole[:-len(end)] if whole.endswith(end) else whole)]
+        if whole.endswith(end):
+            symbols[-1] += end
+        while len(symbols) > 1:
+            k, at = min((place.get(p, len(merges)), i) for i, p in enumerate(zip(symbols, symbols[1:])))
+            if k == len(merges):
+                return None
+            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+    first = [c for c, _ in sorted(chars.items(), key=lambda x: x[1])]
+    pieces = [*first, *(c + end for c in first), *(a + b for a, b in merges)]
+    ranks = {raw(p): k for k, p in enumerate(pieces)}
+    return (ranks, [vocab[p] for p in pieces]) if len(ranks) == len(pieces) else None
+
+
 class Tokens:
-    """Ids of texts by the tokenizers library, kept for pieces of the texts.
+    """Ids of texts as the tokenizers library gives them.
 
     Only for vocabularies whose pre-tokenizer drops white space (checked): ids
     of a text are then those of its pieces between ASCII white space, one after
     the other. If the vocabulary cuts lower-cased text by PATTERN, texts of
-    plain Latin letters are cut here in the same way and the ids of the
-    pre-tokens are kept, of which there are fewer; all other texts are cut at
-    white space and left to the library.
+    plain Latin letters are cut here in the same way and their pre-tokens
+    merged by ``ranks`` (:func:`word_ranks`); all other texts are cut at white
+    space and left to the library, the ids of such pieces kept in a bounded table.
     """
 
-    #: Bytes of kept pre-tokens after which those not seen since the last time are forgotten.
-    KEPT_BYTES = 40 << 20
-    #: Bytes of texts that are cut into pre-tokens at once.
-    GROUP_BYTES = 1 << 20
+    #: Bytes of kept pieces after which those not seen since the last time are forgotten.
+    KEPT_BYTES = 24 << 20
     #: How the vocabulary's own rules cut normalised text, as its file states it.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    # ASCII and the letters U+00C0 to U+017F: composed, and lower-cased one by one (but for U+0130).
-    _OTHER = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
+    # ASCII but for STOP, and the letters U+00C0 to U+017F: composed, and lower-cased one by one (but for U+0130).
+    _OTHER = re.compile("[^\x00\x02-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
     # Runs of letters come first: no other alternative begins with a letter.
     _CUT = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|"
                       "[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, ranks: tuple[dict[bytes, int], list[int]] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
@@ -181,60 +230,33 @@ class Tokens:
         rules = json.loads(data)
         normal = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
         cuts = [p.get("pattern", {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        end = rules["model"].get("end_of_word_suffix")
-        self.cuts = normal == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [self.PATTERN] and bool(end)
-        # A pre-token ends with a piece that has the end-of-word suffix, and only there.
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = bool(end) and piece.endswith(end)
+        self.ranked = None
+        if ranks and normal == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [self.PATTERN]:
+            self.ranked = tiktoken.Encoding("words", pat_str=rf"[^{STOP}]+{STOP}", mergeable_ranks=ranks[0], special_tokens={})
+            self.id_of_rank = np.array(ranks[1], "<u4")
         self.known = _Kept(self.KEPT_BYTES)
-        self.parts = _Kept(self.KEPT_BYTES)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add_parts(self, new: list[str]) -> None:
-        """Ids of pre-tokens: encoded together, and parted behind the end-of-word pieces."""
-        for at in range(0, len(new), 2048):
-            some = new[at:at + 2048]
-            ids = np.array(self._ids([" ".join(some)])[0], "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            raw = ids.tobytes()
-            if len(stops) != len(some):
-                raise ValueError("pre-tokens and end-of-word pieces differ in number")
-            begin = 0
-            for p, stop in zip(some, stops.tolist()):
-                self.parts.add(p, raw[begin:stop])
-                begin = stop
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out: list[bytes] = []
-        begin = size = 0
-        for i, raw in enumerate(texts):
-            size += len(raw)
-            if size >= self.GROUP_BYTES or i == len(texts) - 1:
-                out += self._group(texts[begin:i + 1])
-                begin, size = i + 1, 0
-        return out
-
-    def _group(self, texts: list[bytes]) -> list[bytes]:
-        other, cut = self._OTHER.search, self._CUT.findall
-        plain: dict[int, list[str]] = {}
+        out: list = [None] * len(texts)
         rest: dict[int, list[bytes]] = {}
         for i, raw in enumerate(texts):
             text = raw.decode()
-            if self.cuts and not other(text) and not any(s in text for s in self.special):
-                plain[i] = cut(text.lower())
+            if self.ranked and not self._OTHER.search(text) and not any(s in text for s in self.special):
+                parts = self._CUT.findall(text.lower())
+                out[i] = (self.id_of_rank[self.ranked.encode_ordinary(STOP.join(parts) + STOP)].tobytes() if parts else b"")
             else:
                 rest[i] = raw.split()
-        self._add_parts(self.parts.missing(set().union(*plain.values())))
         new = self.known.missing(set().union(*rest.values()))
         for p, ids in zip(new, self._ids([p.decode() for p in new]) if new else ()):
             self.known.add(p, np.array(ids, "<u4").tobytes())
-        known, parts = self.known.young, self.parts.young
-        return [b"".join(map(parts.__getitem__, plain[i])) if i in plain else b"".join(map(known.__getitem__, rest[i]))
-                for i in range(len(texts))]
+        known = self.known.young
+        for i, parts in rest.items():
+            out[i] = b"".join(map(known.__getitem__, parts))
+        return out
 
 
 class _Kept:
@@ -276,8 +298,10 @@ def token_ids(df: DataFrame, vocabulary_path: str, end_id: int | None = None, te
             raise ValueError("id too large for two bytes")
         return flat.astype("<u2").tobytes()
 
+    ranks = word_ranks(data)
+
     def task():
-        tokens = common.cached_in_task(("tokens", hash(data)), lambda: Tokens(data))
+        tokens = common.cached_in_task(("tokens", hash(data)), lambda: Tokens(data, ranks))
         return lambda col: [pa.array([narrow(x + end) for x in tokens.encode(common.text_bytes(col))], pa.binary())]
 
     return common.map_columns(df, [text], [StructField(ids, BinaryType())], task, keep)

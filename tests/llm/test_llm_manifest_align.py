@@ -238,7 +238,7 @@ def test_ranks_of_groups_cut_into_parts(spark):
 def plain_align():
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
-    back = align._byte_of_char()
+    back = align.byte_of_char()
 
     def one(text):
         if not text:

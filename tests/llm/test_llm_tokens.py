@@ -98,7 +98,9 @@ def test_simple8b_round_trips():
 
 def test_word_ids_equal_the_library():
     t = Tokenizer.from_file(WORDS)
-    tok = simple8b.Tokens(open(WORDS, "rb").read())
+    data = open(WORDS, "rb").read()
+    tok = simple8b.Tokens(data, simple8b.word_ranks(data))
+    assert tok.ranked
     made = odd_texts(6000, 6) + ["<|endoftext|>x", "a <|startoftext|>", "don't WE'LL 's", "İſḰ \x1c \x85", "á ́b"]
     for s, ids in zip(made, tok.encode([m.encode() for m in made])):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
@@ -150,11 +152,11 @@ def test_a_repeated_row_is_cut_into_shards_and_bases_are_broadcast(spark, tmp_pa
 
 def test_kept_ids_stay_right_when_the_table_turns_over():
     tok = simple8b.Tokens(open(WORDS, "rb").read())
-    tok.parts.most = tok.known.most = 3000
+    tok.known.most = 3000
     t = Tokenizer.from_file(WORDS)
     for s in odd_texts(300, 12) + [f"one two w{i}x three" for i in range(200)]:
         assert np.frombuffer(tok.encode([s.encode()])[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
-    assert len(tok.parts.young) + len(tok.parts.old) < 60
+    assert len(tok.known.young) + len(tok.known.old) < 60
 
 
 def best_segmentation(word, counter):
