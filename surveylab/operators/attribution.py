@@ -1,4 +1,4 @@
-"""Feature attribution (EXP1-EXP8).
+"""Feature attribution (EXP1-EXP7; exact attribution of tree models, EXP8, is in ``tree_attribution``).
 
 EXP1 is a sampled-permutation Shapley estimate computed as one Spark plan:
 rows × permutations × background rows × (features + 1) coalition points are
@@ -73,7 +73,7 @@ def attribute(df: DataFrame, key, features: Sequence[str], scorer, background: D
                             F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("__block"))
           .groupBy("__block").agg(F.collect_list("b").alias("__bs")))
     x = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in feats],
-                  F.array(*[F.col(c).cast("double") for c in feats]).alias("__raw"))
+                  F.array(*[F.col(c).cast("double") for c in feats]).alias("__attr_x"))
     # permutation: features sorted by a seeded draw; pos_j = position of feature j
     x = x.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = F.array_sort(F.array(*[F.struct(uniform(seed, *keys, F.col("perm"), F.lit(j)).alias("u"),
@@ -84,7 +84,7 @@ def attribute(df: DataFrame, key, features: Sequence[str], scorer, background: D
     x = (x.join(bg, "__block").withColumn("b", F.explode("__bs")).drop("__bs", "__block")
          .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nf)))))
     # coalition point t: the first t features of the permutation from x, the rest from b
-    pts = x.select(*keys, "t", "__ord", "__raw",
+    pts = x.select(*keys, "t", "__ord", "__attr_x",
                    *[F.when(F.col(f"pos_{j}") <= F.col("t"), F.col(f"x_{c}")).otherwise(F.col(f"b.{c}")).alias(c)
                      for j, c in enumerate(feats)])
     p = F.col(scorer.prob_col)
@@ -92,9 +92,9 @@ def attribute(df: DataFrame, key, features: Sequence[str], scorer, background: D
     parts = F.array_compact(F.array(F.when(F.col("t") > 0, part(F.greatest(F.col("t"), F.lit(1)), F.lit(1.0))),
                                     F.when(F.col("t") < nf, part(F.least(F.col("t") + 1, F.lit(nf)), F.lit(-1.0)))))
     names = F.array(*[F.lit(c) for c in feats])
-    return (scorer.score(pts).select(*keys, "__raw", F.explode(parts).alias("e"))
+    return (scorer.score(pts).select(*keys, "__attr_x", F.explode(parts).alias("e"))
             .select(*keys, F.col("e.j").alias("j"), F.col("e.d").alias("d"),
-                    F.element_at("__raw", F.col("e.j") + 1).alias("v"))
+                    F.element_at("__attr_x", F.col("e.j") + 1).alias("v"))
             .groupBy(*keys, "j").agg((F.sum("d") / F.lit(float(permutations * nb))).alias("shap_value"),
                                      F.first("v").alias("value"))
             .select(*keys, F.element_at(names, F.col("j") + 1).alias("feature_code"), "value", "shap_value"))

@@ -73,6 +73,8 @@ class ModelScorer:
 
     def score(self, df: DataFrame) -> DataFrame:
         from surveylab.operators.modeling import positive_probability
+        if made := [c for c in df.columns if c.startswith("__model_")]:
+            raise ValueError(f"the model's own columns are in the way: {made}")
         return positive_probability(self.model, df, "__p").select(*df.columns, F.col("__p").alias(self.prob_col))
 
 

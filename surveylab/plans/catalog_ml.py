@@ -19,10 +19,12 @@ from surveylab.operators.neighbors import knn
 from surveylab.operators.sampling import adasyn, smote, stratified_folds, stratified_split
 from surveylab.operators.scoring import ModelScorer
 from surveylab.operators.simulate import counterfactuals, mutable_columns
+from surveylab.operators.tree_attribution import attribute_trees
 from surveylab.plans.catalog_prep import _survey_with_size
 from surveylab.plans.registry import register
 from surveylab.plans.survey import IMMUTABLE, SCORER, derive, survey_frame
 from surveylab.plans.tables import CHILD_KEY, sql_uniform, table
+from surveylab.session import kept
 
 DP = 6
 MODEL_FEATURES = ["child_age_months", "birth_order", "birth_interval", "anc_visits", "mother_age",
@@ -294,15 +296,24 @@ def q_mice(spark, sf):
 
 
 # ------------------------------------------------------------------ sampled attribution / counterfactuals
-@register("attribution_forest_test_rows", ids=("EXP1", "EXP8", "EXP6", "TOP5"))
-def q_attr_rf(spark, sf):
-    d = doc_model_frame(spark, sf)
+def _forest_attribution(spark, sf, how):
+    """Global importance of a forest's features: all test rows against 50 seeded training rows (the original's size)."""
+    d = kept(doc_model_frame(spark, sf))
     s = stratified_split(d, "toxic", "doc_id", test=0.2, seed=42)
     train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     model = fit(ModelSpec("rf", "rf", {"numTrees": 30}), train, DOC_FEATURES, "toxic")
-    bg = stats.sample_n(train, 20, 42, "doc_id")
-    a = attribute(test, "doc_id", DOC_FEATURES, ModelScorer(model), bg, permutations=3, seed=42)
-    return global_importance(a, 15)
+    return global_importance(how(test, model, stats.sample_n(train, 50, 42, "doc_id")), 15)
+
+
+@register("attribution_forest_test_rows", ids=("EXP8", "EXP6", "TOP5"))
+def q_attr_rf(spark, sf):
+    return _forest_attribution(spark, sf, lambda rows, model, bg: attribute_trees(rows, "doc_id", DOC_FEATURES, model, bg))
+
+
+@register("attribution_sampled_test_rows", ids=("EXP1", "EXP6", "TOP5"))
+def q_attr_sampled(spark, sf):
+    return _forest_attribution(spark, sf, lambda rows, model, bg: attribute(
+        rows, "doc_id", DOC_FEATURES, ModelScorer(model), bg, permutations=3, seed=42))
 
 
 def _cf_sql():

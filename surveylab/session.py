@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,15 +79,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Truncate lineage with a reliable checkpoint in the shared folder.
+def kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder of ``spark.checkpoint.dir`` and read it back.
 
-    Used between rounds of iterative work (chained imputation, stacking,
-    searches) so a lost executor re-reads the checkpoint instead of replaying
-    every round. Never a node-local checkpoint.
+    Cuts the lineage like a reliable checkpoint (a lost executor re-reads the
+    files instead of replaying the plan), but later readers fetch only the
+    columns they need, in vectorised form, and Spark knows the table's size.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Truncate lineage between rounds of iterative work (stacking, searches, folds): see :func:`kept`."""
+    return kept(df)
 
 
 def sf_path(sf_dir: str, table: str) -> str:
