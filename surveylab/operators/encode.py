@@ -13,11 +13,12 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveylab.functions.expr import map_values, nan_to_null, ratio
+from surveylab.session import kept
 
 OTHER = "other"
 
@@ -157,22 +158,44 @@ class OneHotColumnsModel(Model, _LevelsParams, DefaultParamsReadable, DefaultPar
 
 
 # ---------------------------------------------------------------- ENC6
+#: About so many distinct levels are numbered by one task.
+LEVELS_A_PART = 1 << 17
+
+
+def dense_codes(df: DataFrame, col: str, null_level: str = "nan", levels_a_part: int = LEVELS_A_PART) -> DataFrame:
+    """(level, code): the distinct levels of a column as text, numbered from 0 in alphabetical (byte) order.
+
+    Levels are dealt by range; each part numbers its own from the number of
+    levels in the parts before it, so that neither the driver nor one task ever
+    holds the vocabulary. NULL is the level ``null_level``.
+    """
+    levels = df.select(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(null_level)).alias("level")).distinct()
+    levels = kept(levels)
+    parts = max(1, -(-levels.count() // levels_a_part))
+    dealt = kept(levels.repartitionByRange(parts, "level").withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("here"))  # a row for each part
+    before = counts.select("part", (F.sum("here").over(Window.orderBy("part")) - F.col("here")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("level"))
+    return dealt.join(F.broadcast(before), "part").select("level", (F.col("before") + number - 1).alias("code"))
+
+
 def label_codes(df: DataFrame, cols: Sequence[str], null_level: str = "nan",
-                suffix: str = "") -> tuple[DataFrame, object]:
+                suffix: str = "") -> tuple[DataFrame, dict[str, DataFrame]]:
     """ENC6: alphabetical integer codes for strings; NULL is a level of its own.
 
-    Uses ``StringIndexer(stringOrderType='alphabetAsc')`` (distributed
-    fit) after NULL is mapped to ``null_level``. Returns (frame, model).
+    Returns (frame, {column: its table of levels and codes}). The codes are
+    joined back by level; Spark broadcasts the table only where it measures it
+    as small, and splits a level that holds many rows otherwise.
     """
-    from pyspark.ml.feature import StringIndexer
-    tmp = {c: f"__lc_{i}" for i, c in enumerate(cols)}
-    src = df.withColumns({t: F.coalesce(F.col(c).cast("string"), F.lit(null_level)) for c, t in tmp.items()})
-    si = StringIndexer(inputCols=list(tmp.values()), outputCols=[t + "_i" for t in tmp.values()],
-                       stringOrderType="alphabetAsc", handleInvalid="keep")
-    model = si.fit(src)
-    out = model.transform(src)
-    out = out.withColumns({c + suffix: F.col(t + "_i").cast("int") for c, t in tmp.items()})
-    return out.drop(*tmp.values(), *[t + "_i" for t in tmp.values()]), model
+    out, tables = df, {}
+    for i, c in enumerate(cols):
+        tables[c] = kept(dense_codes(df, c, null_level))
+        found = tables[c].select(F.col("level").alias(f"__lc_{i}"), F.col("code").cast("int").alias(f"__code_{i}"))
+        out = (out.withColumn(f"__lv_{i}", F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null_level)))
+               .join(found, F.col(f"__lv_{i}") == F.col(f"__lc_{i}"), "left"))
+    codes = {c + suffix: F.col(f"__code_{i}") for i, c in enumerate(cols)}
+    own = [F.col(f"`{c}`") if c not in codes else codes[c].alias(c) for c in df.columns]
+    return out.select(*own, *[e.alias(c) for c, e in codes.items() if c not in df.columns]), tables
 
 
 # ---------------------------------------------------------------- ENC7

@@ -107,9 +107,9 @@ def imputation_plan(df: DataFrame, continuous: Sequence[str] = (), ordinal: Sequ
                     exact: bool = True) -> list[dict]:
     """IMP7: per column (group, null share, method, fill value).
 
-    The columns concerned are kept once (checkpoint), so that the input's own
-    plan (a join, say) runs once; shares, medians and modes are passes over the
-    kept columns. Absent columns are skipped; columns without NULLs get method
+    The columns concerned are kept once (as Parquet in the shared folder), so
+    that the input's own plan (a join, say) runs once; shares, medians and modes
+    are passes over the columns they need. Absent columns are skipped; columns without NULLs get method
     'none'.
     """
     groups = {"continuous": continuous, "ordinal": ordinal, "nominal": nominal, "binary": binary}
@@ -210,54 +210,94 @@ def impute_by_kind(df: DataFrame, exclude: Sequence[str] = (), exact: bool = Tru
 
 
 # ---------------------------------------------------------------- IMP4 MICE
-def _ols(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[float, list[float]]:
-    """Least squares y ~ xs from one aggregate pass (means and population
-    covariances, numerically stable), solved on the driver (len(xs)² numbers)."""
+def _pattern(cols: Sequence[str]):
+    """Bits of the columns that are missing in a row."""
+    e = F.lit(0).cast("long")
+    for i, c in enumerate(cols):
+        e = e.bitwiseOR(F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return e
+
+
+def _pattern_moments(src: DataFrame, cols: Sequence[str]) -> dict[int, tuple]:
+    """{pattern: (rows, means, population covariances)} of the observed columns, from one aggregate (0 where missing)."""
+    import numpy as np
+    k = len(cols)
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]]
+    aggs += [F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    out = {}
+    for r in src.groupBy(_pattern(cols).alias("p")).agg(*aggs).collect():  # a row for each pattern that occurs
+        mean = np.array([r[f"m{i}"] or 0.0 for i in range(k)])
+        cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        out[r["p"]] = (r["n"], mean, cov)
+    return out
+
+
+def chained_predictions(moments: dict[int, tuple], k: int, rounds: int) -> dict[int, tuple]:
+    """{pattern: (matrix, constant)}: what chained equations fill in is an affine function of the row's observed columns.
+
+    A regression needs only the mean and covariance of the filled columns over
+    the rows where its target was observed, and these follow from the moments
+    of each pattern and its current affine fill.
+    """
     import numpy as np
-    cols = list(xs) + [y]
-    aggs = [F.avg(F.col(c)).alias(f"m{i}") for i, c in enumerate(cols)]
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            aggs.append(F.covar_pop(F.col(cols[i]), F.col(cols[j])).alias(f"c{i}_{j}"))
-    r = df.agg(*aggs).first()
-    k = len(xs)
-    cov = np.zeros((k + 1, k + 1))
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
-    beta = np.linalg.lstsq(cov[:k, :k], cov[:k, k], rcond=None)[0]
-    means = [r[f"m{i}"] or 0.0 for i in range(k + 1)]
-    intercept = means[k] - float(np.dot(beta, means[:k]))
-    return float(intercept), [float(b) for b in beta]
-
-
-def mice(df: DataFrame, cols: Sequence[str], rounds: int = 10, checkpoint_every: int = 1) -> DataFrame:
+    bits = lambda p: np.array([bool(p >> i & 1) for i in range(k)])
+    seen = [sum(n for p, (n, _, _) in moments.items() if not p >> i & 1) for i in range(k)]
+    means = [sum(n * m[i] for p, (n, m, _) in moments.items() if not p >> i & 1) / seen[i] if seen[i] else 0.0
+             for i in range(k)]
+    fill = {p: (np.diag((~bits(p)).astype(float)), np.where(bits(p), means, 0.0)) for p in moments}
+    usable = [i for i in range(k) if seen[i]]
+    for _ in range(rounds if len(usable) > 1 else 0):
+        for c in usable:
+            others = [i for i in usable if i != c]
+            rows = [(n, a @ m + d, a @ v @ a.T) for p, (n, m, v) in moments.items() if not p >> c & 1 for a, d in [fill[p]]]
+            total = sum(n for n, _, _ in rows)
+            mean = sum(n * m for n, m, _ in rows) / total
+            cov = sum(n * (v + np.outer(m - mean, m - mean)) for n, m, v in rows) / total
+            beta = np.linalg.lstsq(cov[np.ix_(others, others)], cov[others, c], rcond=None)[0]
+            base = mean[c] - beta @ mean[others]
+            for p, (a, d) in fill.items():
+                if p >> c & 1:
+                    a[c], d[c] = beta @ a[others], base + beta @ d[others]
+    return fill
+
+
+def mice(df: DataFrame, cols: Sequence[str], rounds: int = 10) -> DataFrame:
     """IMP4: chained equations over the high-missing columns.
 
     Start from the column means; each round regresses every column on the
-    others (least squares on the rows where it was observed, from one
-    aggregate pass) and refills only its originally missing cells with the
-    prediction. With one column there is no predictor, so the mean is the
-    answer. Lineage is cut with a reliable checkpoint after every round.
+    others (least squares on the rows where it was observed) and refills only
+    its originally missing cells with the prediction. With one column there is
+    no predictor, so the mean is the answer. A column without any value stays
+    NULL and predicts nothing.
+
+    The data are read once, for the moments of each missing pattern; all rounds
+    run on matrices of ``len(cols)`` rows for each pattern, and the result is
+    one projection (patterns that occur, at most ``2 ** len(cols)``, travel as a table).
     """
     cols = list(cols)
-    miss = {c: f"__miss_{i}" for i, c in enumerate(cols)}
-    means = df.agg(*[F.avg(nan_to_null(F.col(c).cast("double"))).alias(c) for c in cols]).first()
-    cur = df.withColumns({m: is_missing(df, c) for c, m in miss.items()})
-    cur = cur.withColumns({c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(means[c])) for c in cols})
-    if len(cols) == 1:
-        return cur.drop(*miss.values())
-    for r in range(rounds):
-        for c in cols:
-            others = [o for o in cols if o != c]
-            b0, bs = _ols(cur.filter(~F.col(miss[c])), c, others)
-            pred = F.lit(b0)
-            for o, b in zip(others, bs):
-                pred = pred + F.lit(b) * F.col(o)
-            cur = cur.withColumn(c, F.when(F.col(miss[c]), pred).otherwise(F.col(c)))
-        if checkpoint_every and (r + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-    return cur.drop(*miss.values())
+    k = len(cols)
+    if k > 60:
+        raise ValueError("at most 60 columns")
+    clean = df.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in cols})
+    moments = _pattern_moments(clean.select(*cols), cols)
+    gaps = {p: f for p, f in chained_predictions(moments, k, rounds).items() if p}
+    if not gaps:
+        return clean
+    empty = {i for i in range(k) if all(p >> i & 1 for p in moments)}
+    rows = [(int(p), [None if i in empty else float(d[i]) for i in range(k)], [[float(x) for x in r] for r in a])
+            for p, (a, d) in gaps.items()]
+    table = df.sparkSession.createDataFrame(rows, "__pattern long, __const array<double>, __coef array<array<double>>")
+    marked = clean.withColumn("__p", _pattern(cols)).join(F.broadcast(table), F.col("__p") == F.col("__pattern"), "left")
+    known = [F.coalesce(F.col(c), F.lit(0.0)) for c in cols]
+
+    def filled(i: int):
+        e = F.col("__const")[i]
+        for j, x in enumerate(known):
+            if j != i:
+                e = e + F.col("__coef")[i][j] * x
+        return F.coalesce(F.col(cols[i]), e)
+
+    return marked.select(*[filled(cols.index(c)).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
 # ---------------------------------------------------------------- IMP5 Estimator

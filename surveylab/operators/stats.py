@@ -170,23 +170,60 @@ def _pair_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(xa, xb), F.when(den > 0, den))
 
 
+#: A variance below this share of the mean square is rounding: the column counts as constant.
+_FLAT = 1e-12
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str]):
+    """(n, sx, sxx, sxy): k x k arrays over the rows where both columns of a pair have a value, from one Gram matrix.
+
+    Each row becomes a vector of three blocks (values, 0 where missing; whether
+    there is a value; squares), whose sum of outer products has all counts, sums
+    and products of pairs. The state of that aggregate has a fixed size of
+    (3k)^2 / 2 numbers whatever the rows. ``n[i, j]`` counts the pair,
+    ``sx[i, j]`` and ``sxx[i, j]`` sum column i and its square in it. Values are
+    taken from the column's least value (one aggregate before), so that sums
+    stay close to the spread of the data.
+    """
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    k = len(cols)
+    src = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    least = src.agg(F.count(F.lit(1)).alias("n"), *[F.min(f"x{i}").alias(f"x{i}") for i in range(k)]).first()
+    if not least["n"]:
+        return (np.zeros((k, k)),) * 4
+    moved = [F.coalesce(F.col(f"x{i}") - F.lit(least[f"x{i}"] or 0.0), F.lit(0.0)) for i in range(k)]
+    blocks = src.select(*[m.alias(f"v{i}") for i, m in enumerate(moved)],
+                        *[F.col(f"x{i}").isNotNull().cast("double").alias(f"m{i}") for i in range(k)],
+                        *[(m * m).alias(f"s{i}") for i, m in enumerate(moved)])
+    rows = VectorAssembler(inputCols=blocks.columns, outputCol="row").transform(blocks).select("row")
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "row")).computeGramianMatrix().toArray()
+    value, mask, square = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+    return gram[mask, mask], gram[value, mask], gram[square, mask], gram[value, value]
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], dp: int | None = None) -> DataFrame:
-    """AGG10: long Pearson matrix (a, b, r), pairwise-complete, one pass.
+    """AGG10: long Pearson matrix (a, b, r), pairwise-complete.
 
-    Each unordered pair is aggregated once and mirrored; the diagonal is
-    r(a, a) (1, or NULL for a constant column).
+    Two passes at any number of columns (:func:`pair_moments`); the diagonal is
+    r(a, a). NULL where a column is constant, or has no value, in the pair's rows.
     """
+    import math
+
     cols = list(cols)
-    src = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    exprs, structs = [], []
+    n, sx, sxx, sxy = pair_moments(df, cols)
+    rows = []
     for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            exprs.append(_maybe_round(_pair_corr(a, b), dp).alias(f"r{i}_{j}"))
-            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}_{j}").alias("r")))
-            if i != j:
-                structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"r{i}_{j}").alias("r")))
-    return _rows_from_struct_array(src.agg(*exprs), structs).orderBy("a", "b")
+        for j, b in enumerate(cols):
+            va, vb = n[i, j] * sxx[i, j] - sx[i, j] ** 2, n[i, j] * sxx[j, i] - sx[j, i] ** 2
+            flat = va <= _FLAT * n[i, j] * sxx[i, j] or vb <= _FLAT * n[i, j] * sxx[j, i]
+            r = None if flat else (n[i, j] * sxy[i, j] - sx[i, j] * sx[j, i]) / (math.sqrt(va) * math.sqrt(vb))
+            rows.append((a, b, None if r is None else float(max(-1.0, min(1.0, r)))))
+    out = df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    return out.withColumn("r", _maybe_round(F.col("r"), dp)).orderBy("a", "b")
 
 
 def correlation_with(df: DataFrame, target: str, cols: Sequence[str], dp: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveylab.operators import stats
+from surveylab.operators import clean, link, stats
 from surveylab.operators.attribution import attribute, global_importance
 from surveylab.operators.features import CentredPCA, KMeansDistance
 from surveylab.operators.impute import mice
@@ -21,9 +21,10 @@ from surveylab.operators.scoring import ModelScorer
 from surveylab.operators.simulate import counterfactuals, mutable_columns
 from surveylab.operators.tree_attribution import attribute_trees
 from surveylab.plans.catalog_prep import _survey_with_size
+from surveylab.plans.linked import linked_frame
 from surveylab.plans.registry import register
 from surveylab.plans.survey import IMMUTABLE, SCORER, derive, survey_frame
-from surveylab.plans.tables import CHILD_KEY, sql_uniform, table
+from surveylab.plans.tables import CHILD_KEY, SENTINELS, sql_uniform, table
 from surveylab.session import kept
 
 DP = 6
@@ -296,6 +297,40 @@ def q_mice(spark, sf):
 
 
 # ------------------------------------------------------------------ sampled attribution / counterfactuals
+def _mice3_sql(rounds: int = 10) -> str:
+    """Chained equations over three columns of the linked table, two predictors each, by their normal equations."""
+    from surveylab.plans.catalog_prep import P_SIZE_SQL
+    from surveylab.plans.linked import linked_sql
+    keys, cols = ", ".join(CHILD_KEY), ["l_quantity", "c_acctbal", "p_size"]
+    q = [f"WITH linked AS ({linked_sql()}), t AS (SELECT {keys}, CAST(l_quantity AS DOUBLE) AS l_quantity,"
+         f" CAST(c_acctbal AS DOUBLE) AS c_acctbal, CAST({P_SIZE_SQL} AS DOUBLE) AS p_size"
+         " FROM linked JOIN part ON l_partkey = p_partkey)",
+         f"s0 AS (SELECT {keys}, " + ", ".join(f"{c} IS NULL AS m_{c}, coalesce({c}, (SELECT avg({c}) FROM t)) AS {c}"
+                                               for c in cols) + " FROM t)"]
+    prev = "s0"
+    for r in range(1, rounds + 1):
+        for c in cols:
+            a, b = (x for x in cols if x != c)
+            name = f"{c}_{r}"
+            q.append(f"g_{name} AS (SELECT avg({c}) AS my, avg({a}) AS ma, avg({b}) AS mb, covar_pop({a}, {a}) AS aa,"
+                     f" covar_pop({b}, {b}) AS bb, covar_pop({a}, {b}) AS ab, covar_pop({a}, {c}) AS ay,"
+                     f" covar_pop({b}, {c}) AS yb FROM {prev} WHERE NOT m_{c})")
+            q.append(f"k_{name} AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ka,"
+                     f" (yb * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM g_{name})")
+            q.append(f"s_{name} AS (SELECT s.* REPLACE (CASE WHEN m_{c} THEN k.my + k.ka * (s.{a} - k.ma) + k.kb * (s.{b} - k.mb)"
+                     f" ELSE s.{c} END AS {c}) FROM {prev} s, k_{name} k)")
+            prev = f"s_{name}"
+    return ",\n".join(q) + f"\nSELECT {keys}, " + ", ".join(f"round({c}, {DP}) AS {c}" for c in cols) + f" FROM {prev}"
+
+
+@register("mice_three_columns", ids=("IMP4",), sql=_mice3_sql())
+def q_mice3(spark, sf):
+    p = clean.null_sentinels(table(spark, sf, "part").select("p_partkey", "p_size"), SENTINELS)
+    df = link.link_records(linked_frame(spark, sf), p, [("l_partkey", "p_partkey")])
+    cols = ["l_quantity", "c_acctbal", "p_size"]
+    return mice(df.select(*CHILD_KEY, *cols), cols).select(*CHILD_KEY, *[F.round(c, DP).alias(c) for c in cols])
+
+
 def _forest_attribution(spark, sf, how):
     """Global importance of a forest's features: all test rows against 50 seeded training rows (the original's size)."""
     d = kept(doc_model_frame(spark, sf))

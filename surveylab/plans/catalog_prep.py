@@ -11,8 +11,9 @@ from surveylab.operators.features import FEATURE_NAMES, age_group
 from surveylab.operators.impute import apply_plan, impute_by_kind, impute_mode, imputation_plan, plan_frame
 from surveylab.operators.sampling import class_weights, repeated_folds, stratified_folds, stratified_split
 from surveylab.plans.registry import register
-from surveylab.plans.survey import derive, features_sql_exprs, survey_frame, survey_sql
+from surveylab.plans.survey import ROLE_EXPRS, derive, features_sql_exprs, survey_frame, survey_sql
 from surveylab.plans.tables import CHILD_KEY, SENTINELS, sql_uniform, table
+from surveylab.session import kept
 
 DP = 6
 KEYS = ", ".join(CHILD_KEY)
@@ -172,6 +173,55 @@ def q_label_codes(spark, sf):
     return out.select("p_partkey", "p_brand")
 
 
+_TYPE_SQL = "CASE WHEN p_size BETWEEN 41 AND 50 THEN NULL ELSE p_type END"
+
+
+@register("label_codes_with_null_level", ids=("ENC6",), sql=f"""
+WITH p AS (SELECT p_partkey, {_TYPE_SQL} AS p_type, p_name FROM part)
+SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY coalesce(p_type, 'nan')) - 1 AS INTEGER) AS p_type,
+       CAST(dense_rank() OVER (ORDER BY coalesce(p_name, 'nan')) - 1 AS INTEGER) AS p_name FROM p
+""")
+def q_label_codes_null(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.expr(_TYPE_SQL).alias("p_type"), "p_name")
+    return label_codes(p, ["p_type", "p_name"])[0]
+
+
+#: The correlation matrix at the original's width: survey roles, derived features and indicators of five categories.
+_WIDE_ROLES = [r for r in ROLE_EXPRS if r not in ("area", "toilet_type", "water_source", "delivery_place")]
+_WIDE_LEVELS = {"toilet_type": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+                "water_source": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+                "delivery_place": ["F", "O", "P"], "order_level": [str(i) for i in range(1, 8)],
+                "anemia_level": [str(i) for i in range(4)]}
+_WIDE_COLS = _WIDE_ROLES + FEATURE_NAMES + [f"{c}_{v}" for c, lv in _WIDE_LEVELS.items() for v in lv]
+
+
+def _wide_sql() -> str:
+    feats = ", ".join(f"{e} AS {n}" for n, e in features_sql_exprs().items())
+    marks = ", ".join(f"CAST(coalesce(CAST({c} AS VARCHAR) = '{v}', false) AS INTEGER) AS \"{c}_{v}\""
+                      for c, lv in _WIDE_LEVELS.items() for v in lv)
+    cols = ", ".join(f'CAST("{c}" AS DOUBLE) AS x{i}' for i, c in enumerate(_WIDE_COLS))
+    pair = lambda i, j: (f"round(covar_pop(x{i}, x{j}) / nullif(stddev_pop(CASE WHEN x{j} IS NOT NULL THEN x{i} END)"
+                         f" * stddev_pop(CASE WHEN x{i} IS NOT NULL THEN x{j} END), 0), {DP})")
+    k = range(len(_WIDE_COLS))
+    aggs = ", ".join(f"{pair(i, j)} AS r{i}_{j}" for i in k for j in k if i <= j)
+    rows = ", ".join(f"{{'a': '{_WIDE_COLS[i]}', 'b': '{_WIDE_COLS[j]}', 'r': r{min(i, j)}_{max(i, j)}}}" for i in k for j in k)
+    return f"""
+{survey_sql()}, f AS (SELECT survey.*, CAST(birth_order AS INTEGER) AS order_level,
+    CAST(mother_anemia AS INTEGER) AS anemia_level, {feats} FROM survey),
+m AS (SELECT *, {marks} FROM f), x AS (SELECT {cols} FROM m), agg AS (SELECT {aggs} FROM x),
+u AS (SELECT unnest([{rows}]) AS p FROM agg)
+SELECT p.a AS a, p.b AS b, p.r AS r FROM u"""
+
+
+@register("correlation_matrix_wide", ids=("AGG10", "ENC4"), sql=_wide_sql())
+def q_corr_wide(spark, sf):
+    f = derive(survey_frame(spark, sf)).withColumns({"order_level": F.col("birth_order").cast("int"),
+                                                     "anemia_level": F.col("mother_anemia").cast("int")})
+    f = kept(f.select(*_WIDE_COLS[:len(_WIDE_ROLES) + len(FEATURE_NAMES)], *_WIDE_LEVELS))
+    wide = OneHotColumns(inputCols=list(_WIDE_LEVELS)).fit(f).transform(f)
+    return stats.correlation_matrix(wide, _WIDE_COLS, dp=DP)
+
+
 @register("threshold_label_haz", ids=("ENC7", "CLN2"), sql="""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_discount * 10000 - 400) / 100.0 AS haz,
        CAST(coalesce((l_discount * 10000 - 400) / 100.0 < -2.0, false) AS INTEGER) AS stunting_label
