@@ -110,14 +110,24 @@ def _refuse_missing(df: DataFrame, features: Sequence[str]) -> None:
 
 
 # ---------------------------------------------------------------- IMB3 / IMB4
+def _neighbours(queries: DataFrame, targets: DataFrame, q_key: str, t_key: str, feats, k: int, seed: int,
+                pivots: int | None, search: str) -> DataFrame:
+    """k nearest targets: ``search`` is 'exact' or 'hashed' (approximate, by an index)."""
+    if search == "hashed":
+        from surveylab.operators.hash_index import knn_hashed
+        return knn_hashed(queries, targets, q_key, t_key, feats, k=k, seed=seed)
+    if search != "exact":
+        raise ValueError(f"unknown search {search}")
+    from surveylab.operators.neighbors import knn
+    return knn(queries, targets, q_key, t_key, feats, k=k, exclude_self=True, pivots=pivots, seed=seed)
+
+
 def _interpolate(minority: DataFrame, quotas: DataFrame, key: str, features, k: int, seed: int,
-                 pivots: int | None = None) -> DataFrame:
+                 pivots: int | None = None, search: str = "exact") -> DataFrame:
     """Synthetic rows: for each minority row and j in 1..quota, a point on the
     segment to one of its k minority neighbours (md5-seeded choice and gap)."""
-    from surveylab.operators.neighbors import knn
     feats = list(features)
-    nn = knn(minority, minority.withColumnRenamed(key, "__nb"), key, "__nb", feats, k=k,
-             exclude_self=True, pivots=pivots, seed=seed)
+    nn = _neighbours(minority, minority.withColumnRenamed(key, "__nb"), key, "__nb", feats, k, seed, pivots, search)
     n_nb = nn.groupBy(key).agg(F.count(F.lit(1)).alias("__nn"))
     q = (quotas.filter(F.col("quota") > 0).join(n_nb, key, "inner")
          .withColumn("syn_index", F.explode(F.sequence(F.lit(1), F.col("quota"))))
@@ -141,14 +151,14 @@ def _with_synthetic(df: DataFrame, syn: DataFrame, label: str, key: str, feature
 
 
 def smote(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int = 42,
-          minority=1, pivots: int | None = None) -> DataFrame:
+          minority=1, pivots: int | None = None, search: str = "exact") -> DataFrame:
     """IMB3: oversample the minority class until both classes have equal counts.
 
     Each minority row gets floor(G / n_min) synthetic rows, and the first
     G mod n_min rows in md5(seed:key) order one more (G = n_maj - n_min),
     so the total is exact. Each synthetic row lies on the segment between
     its parent and one of the parent's k nearest minority neighbours
-    (exact search, no cross join). Output: original rows plus synthetic
+    (``search``: exact, or by a hash index; no cross join). Output: original rows plus synthetic
     rows (``is_synthetic``, ``syn_index``; ``key`` = parent key).
     """
     _refuse_missing(df, features)
@@ -163,19 +173,18 @@ def smote(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int =
     base, rem = divmod(G, n_min)
     ranked = class_rank(minority_df.select(key, label), label, key, seed)
     quotas = ranked.select(key, (F.lit(base) + (F.col("class_rank") <= rem).cast("int")).alias("quota"))
-    syn = _interpolate(minority_df, quotas, key, features, k, seed, pivots)
+    syn = _interpolate(minority_df, quotas, key, features, k, seed, pivots, search)
     return _with_synthetic(df, syn, label, key, features, minority)
 
 
 def adasyn(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int = 42,
-           minority=1, pivots: int | None = None) -> DataFrame:
+           minority=1, pivots: int | None = None, search: str = "exact") -> DataFrame:
     """IMB4: ADASYN - quota per minority row proportional to the share of
     majority rows among its k nearest neighbours in all data.
 
     quota_i = rint(r_i / Σr · G) (G = n_maj - n_min), then interpolation as in
     SMOTE. With no majority neighbour anywhere nothing is synthesised.
     """
-    from surveylab.operators.neighbors import knn
     _refuse_missing(df, features)
     y = F.col(label)
     n_min = df.filter(y == minority).count()
@@ -185,13 +194,12 @@ def adasyn(df: DataFrame, label: str, features, key: str, k: int = 5, seed: int
     empty = df.limit(0).select(key, *features, F.lit(0).alias("syn_index"))
     if G <= 0 or n_min < 2:
         return _with_synthetic(df, empty, label, key, features, minority)
-    nn = knn(minority_df, df.withColumnRenamed(key, "__t"), key, "__t", list(features), k=k,
-             exclude_self=True, pivots=pivots, seed=seed)
+    nn = _neighbours(minority_df, df.withColumnRenamed(key, "__t"), key, "__t", list(features), k, seed, pivots, search)
     lab = df.select(F.col(key).alias("__t"), (F.col(label) != minority).cast("double").alias("__maj"))
     r = nn.join(lab, "__t").groupBy(key).agg((F.sum("__maj") / k).alias("__r"))
     total = r.select(F.sum("__r")).first()[0] or 0.0
     if total <= 0:
         return _with_synthetic(df, empty, label, key, features, minority)
     quotas = r.select(key, F.rint(F.col("__r") / F.lit(total) * F.lit(G)).cast("int").alias("quota"))
-    syn = _interpolate(minority_df, quotas, key, features, k, seed, pivots)
+    syn = _interpolate(minority_df, quotas, key, features, k, seed, pivots, search)
     return _with_synthetic(df, syn, label, key, features, minority)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from surveylab.operators import clean, link, stats
 from surveylab.operators.attribution import attribute, global_importance
 from surveylab.operators.features import CentredPCA, KMeansDistance
+from surveylab.operators.hash_index import knn_hashed
 from surveylab.operators.impute import mice
 from surveylab.operators.modeling import (ModelSpec, ablation, cv_benchmark, evaluate, fit, knn_classify, quality_gate,
                                           random_search, stack, summarize_cv)
@@ -71,6 +72,15 @@ def q_knn(spark, sf):
     return nn.select("vec_id", "neighbor_id", F.round("distance", DP).alias("distance"), "rank")
 
 
+@register("knn_hashed_embeddings", ids=("IMB2",))
+def q_knn_hashed(spark, sf):
+    """Approximate neighbours of every 20th vector among all vectors (recall measured in tests)."""
+    e = table(spark, sf, "embeddings")
+    nn = knn_hashed(e.filter("vec_id % 20 = 0"), e.withColumnRenamed("vec_id", "neighbor_id"), "vec_id", "neighbor_id",
+                    "embedding", k=5)
+    return nn.select("vec_id", "neighbor_id", F.round("distance", DP).alias("distance"), "rank")
+
+
 _EMB_SPLIT = f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label >= 5 AS INTEGER) AS y FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {sql_uniform(3, ['vec_id'])}, vec_id) AS rk,
