@@ -15,10 +15,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveylab.functions.expr import clamp, flag, nan_to_null
+from surveylab.functions.expr import clamp, flag, nan_to_null, uniform
+from surveylab.session import kept
 
 # Role defaults used when a role column is absent (as the
 # reference's feature builder does), and its risk cut points.
@@ -232,38 +233,85 @@ class CentredPCAModel(Model, _VecParams, DefaultParamsReadable, DefaultParamsWri
         return dataset.withColumns(out)
 
 
+def _draw(seed: int, restart: Column, keys: Sequence[str], cols: Sequence[str]) -> Column:
+    """Seeded draw of a row, by its key columns or else by its values."""
+    own = [F.col(k) for k in keys] if keys else [F.xxhash64(*cols)]
+    return uniform(seed, *own, restart)
+
+
 class KMeansDistance(Estimator, _VecParams, DefaultParamsReadable, DefaultParamsWritable):
     """FEA12: Euclidean distance to each of k k-means centres (unscaled columns).
 
-    ``restarts`` fits with seeds seed, seed+1, ... and keeps the lowest
-    training cost. Rows with NULL inputs are skipped at fit time.
+    ``restarts`` sets of centres start at the k rows with the least seeded draws
+    each and are advanced together: one aggregate a round assigns every row to
+    its nearest centre of every set and gives the new centres (k x restarts
+    rows) and costs. Rounds end after ``maxIter``, or when no centre has moved
+    by more than ``tol``. The set with the least cost is kept (the first of
+    equal ones). A centre without rows stays where it is. Rows with NULL inputs
+    are skipped at fit time. ``keyCols`` name the rows in the draws (default: their values).
     """
 
+    maxIter = Param(Params._dummy(), "maxIter", "most rounds", typeConverter=TypeConverters.toInt)
+    tol = Param(Params._dummy(), "tol", "greatest move of a centre that ends the rounds", typeConverter=TypeConverters.toFloat)
+    keyCols = Param(Params._dummy(), "keyCols", "columns that name a row", typeConverter=TypeConverters.toListString)
+
     @keyword_only
-    def __init__(self, *, inputCols=None, k=5, seed=42, restarts=10, prefix="kmeans_dist_"):
+    def __init__(self, *, inputCols=None, k=5, seed=42, restarts=10, prefix="kmeans_dist_", maxIter=20, tol=1e-4, keyCols=()):
         super().__init__()
-        self._setDefault(k=5, seed=42, restarts=10, prefix="kmeans_dist_")
+        self._setDefault(k=5, seed=42, restarts=10, prefix="kmeans_dist_", maxIter=20, tol=1e-4, keyCols=[])
+        self._input_kwargs["keyCols"] = list(keyCols)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "KMeansDistanceModel":
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.feature import VectorAssembler
+        import numpy as np
+        get = self.getOrDefault
         cols = _present(self.getInputCols(), dataset)
-        k = self.getOrDefault(self.k)
+        k, seed, sets, d = get(self.k), get(self.seed), get(self.restarts), len(cols)
         if not cols:
-            return KMeansDistanceModel(inputCols=[], k=k, centre=[], prefix=self.getOrDefault(self.prefix))
-        vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip") \
-            .transform(dataset.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("__v").cache()
-        best, best_cost = None, None
-        for r in range(self.getOrDefault(self.restarts)):
-            m = KMeans(k=k, seed=self.getOrDefault(self.seed) + r, featuresCol="__v").fit(vec)
-            cost = m.summary.trainingCost
-            if best_cost is None or cost < best_cost:
-                best, best_cost = m, cost
-        vec.unpersist()
-        centres = [float(x) for c in best.clusterCenters() for x in c]
-        return KMeansDistanceModel(inputCols=cols, k=len(best.clusterCenters()), centre=centres,
-                                   prefix=self.getOrDefault(self.prefix))
+            return KMeansDistanceModel(inputCols=[], k=k, centre=[], prefix=get(self.prefix))
+        keys = [c for c in get(self.keyCols) if c not in cols]
+        rows = kept(dataset.select(*keys, *[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]).na.drop(subset=cols))
+        fan = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+        order = Window.partitionBy("__r").orderBy(_draw(seed, F.col("__r"), get(self.keyCols), cols), *keys, *cols)
+        # Every task keeps k rows a set before the shuffle.
+        first = fan.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).select("__r", "__n", *cols).collect()
+        if not first:
+            return KMeansDistanceModel(inputCols=cols, k=0, centre=[], prefix=get(self.prefix))
+        k = max(r["__n"] for r in first)  # fewer rows than centres: as many centres as rows
+        centres = np.zeros((sets, k, d))
+        for r in first:
+            centres[r["__r"], r["__n"] - 1] = [r[c] for c in cols]
+        for _ in range(get(self.maxIter)):
+            _, counts, sums = self._advance(rows, cols, centres)
+            moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres)
+            step, centres = np.sqrt(((moved - centres) ** 2).sum(2)).max(), moved
+            if step <= get(self.tol):
+                break
+        cost = self._advance(rows, cols, centres)[0]
+        best = centres[int(np.argmin(cost))]
+        return KMeansDistanceModel(inputCols=cols, k=k, centre=[float(x) for x in best.ravel()], prefix=get(self.prefix))
+
+    @staticmethod
+    def _advance(rows: DataFrame, cols: Sequence[str], centres):
+        """(cost of each set, rows of each centre, their sums) of one pass."""
+        import numpy as np
+        sets, k, d = centres.shape
+
+        # One array literal, so that Spark compiles the round's code once, whatever the centres are.
+        held = F.lit([[[float(x) for x in c] for c in own] for own in centres])
+        point = F.array(*[F.col(c) for c in cols])
+        away = lambda c: F.aggregate(F.zip_with(c, point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        nearest = F.transform(held, lambda own: F.array_min(F.transform(
+            own, lambda c, j: F.struct(away(c).alias("away"), j.alias("j")))))
+        near = rows.select(*cols, F.posexplode(nearest).alias("r", "near"))
+        got = near.groupBy("r", "near.j").agg(F.sum("near.away").alias("cost"), F.count(F.lit(1)).alias("n"),
+                                              *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]).collect()
+        cost, counts, sums = np.zeros(sets), np.zeros((sets, k)), np.zeros((sets, k, d))
+        for g in got:  # a row for each centre
+            cost[g["r"]] += g["cost"]
+            counts[g["r"], g["j"]] = g["n"]
+            sums[g["r"], g["j"]] = [g[f"s{i}"] for i in range(d)]
+        return cost, counts, sums
 
 
 class KMeansDistanceModel(Model, _VecParams, DefaultParamsReadable, DefaultParamsWritable):

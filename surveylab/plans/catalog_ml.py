@@ -275,6 +275,42 @@ def q_pca_km(spark, sf):
     return out.select(*CHILD_KEY, "split", *[F.round(c, DP).alias(c) for c in cols])
 
 
+_KM_COLS, _KM_K, _KM_SETS, _KM_ROUNDS = ["mother_age", "mother_bmi", "child_age_months"], 3, 2, 3
+
+
+def _km_sql() -> str:
+    from surveylab.plans.survey import survey_sql
+    keys, d = ", ".join(CHILD_KEY), range(len(_KM_COLS))
+    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_KM_COLS))
+    away = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in d)
+    q = [survey_sql() + f", pts AS (SELECT {keys}, {xs} FROM survey WHERE "
+         + " AND ".join(f"{c} IS NOT NULL" for c in _KM_COLS) + ")",
+         f"c0 AS (SELECT r, n, x0, x1, x2 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY "
+         f"{sql_uniform(42, CHILD_KEY, 'CAST(r AS VARCHAR)')}, {keys}) AS n FROM pts, (SELECT unnest(range(0, {_KM_SETS})) AS r))"
+         f" WHERE n <= {_KM_K})"]
+    for t in range(1, _KM_ROUNDS + 2):
+        q.append(f"a{t} AS (SELECT * FROM (SELECT {', '.join(f'p.x{i}' for i in d)}, c.r, c.n, {away} AS away, row_number() OVER"
+                 f" (PARTITION BY {', '.join('p.' + k for k in CHILD_KEY)}, c.r ORDER BY {away}, c.n) AS rk"
+                 f" FROM pts p, c{t - 1} c) WHERE rk = 1)")
+        if t <= _KM_ROUNDS:
+            q.append(f"c{t} AS (SELECT c.r, c.n, " + ", ".join(f"coalesce(m.x{i}, c.x{i}) AS x{i}" for i in d) + f" FROM c{t - 1} c"
+                     f" LEFT JOIN (SELECT r, n, " + ", ".join(f"avg(x{i}) AS x{i}" for i in d) + f" FROM a{t} GROUP BY r, n) m"
+                     " ON c.r = m.r AND c.n = m.n)")
+    q.append(f"best AS (SELECT r FROM (SELECT r, sum(away) AS cost FROM a{_KM_ROUNDS + 1} GROUP BY r) ORDER BY cost, r LIMIT 1)")
+    q.append(f"o AS (SELECT c.* FROM c{_KM_ROUNDS} c JOIN best USING (r))")
+    dist = ", ".join("round(sqrt(" + " + ".join(f"pow({c} - (SELECT x{i} FROM o WHERE n = {j + 1}), 2)"
+                                                 for i, c in enumerate(_KM_COLS)) + f"), 4) AS kmeans_dist_{j}" for j in range(_KM_K))
+    return ",\n".join(q) + f"\nSELECT {keys}, {dist} FROM survey"
+
+
+@register("kmeans_distances_survey", ids=("FEA12",), sql=_km_sql())
+def q_kmeans(spark, sf):
+    f = survey_frame(spark, sf)
+    km = KMeansDistance(inputCols=_KM_COLS, k=_KM_K, seed=42, restarts=_KM_SETS, maxIter=_KM_ROUNDS, tol=0.0,
+                        keyCols=CHILD_KEY).fit(f)
+    return km.transform(f).select(*CHILD_KEY, *[F.round(f"kmeans_dist_{j}", 4).alias(f"kmeans_dist_{j}") for j in range(_KM_K)])
+
+
 def _mice_sql(rounds: int = 10) -> str:
     from surveylab.plans.catalog_prep import SURVEY_SIZE_SQL
     keys = ", ".join(CHILD_KEY)
