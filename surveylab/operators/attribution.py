@@ -110,6 +110,11 @@ def label_direction(attr: DataFrame, eps: float = NEUTRAL_EPS) -> DataFrame:
         "shap_value": round_half_away(s, 4)})
 
 
+def _size_order():
+    """Descending |shap| (equal to nine decimals: a tie), then name."""
+    return F.desc(F.round(F.abs("shap_value"), 9)), F.col("feature_code")
+
+
 def explain(attr: DataFrame, key, top: int = 10, side: int = 5) -> DataFrame:
     """EXP5: per row top features by |shap|, top raising and top lowering ones.
 
@@ -120,7 +125,7 @@ def explain(attr: DataFrame, key, top: int = 10, side: int = 5) -> DataFrame:
     |shap| order.
     """
     keys = _keys(key)
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature_code")
+    w = Window.partitionBy(*keys).orderBy(*_size_order())
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     s = F.col("shap_value")
     r = attr.withColumns({"__rt": F.row_number().over(w),
@@ -181,7 +186,7 @@ def waterfall(attr: DataFrame, key, base: float | None = None, base_df: DataFram
     """EXP7: ordered contributions with running total from the base value."""
     keys = _keys(key)
     b = F.lit(base) if base is not None else base_df.select(F.first("base_value")).scalar()
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap_value")), "feature_code")
+    w = Window.partitionBy(*keys).orderBy(*_size_order())
     return (attr.withColumn("step", F.row_number().over(w))
             .withColumn("running_total", b + F.sum("shap_value").over(w.rowsBetween(Window.unboundedPreceding, 0))))
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveylab.operators import metrics
-from surveylab.operators.attribution import (attribute_linear, base_value, explain_arrays,
-                                             global_importance_arrays, label_direction, waterfall_arrays)
+from surveylab.operators.attribution import (attribute_linear, base_value, explain, global_importance_arrays,
+                                             label_direction, waterfall)
 from surveylab.operators.features import FEATURE_NAMES, feature_labels
 from surveylab.operators.scoring import (BASE_RATE, KNEE_INDEX, REQUEST_CATEGORICAL, REQUEST_DEFAULTS,
                                          SHORT_FORM_FIELDS, SHORT_FORM_FIXED, TIERS, TOP_PROB, build_features, risk_worklist,
                                          score_and_tier)
-from surveylab.operators.simulate import best_scenario_in_row, diff_rows, mutable_columns, simulate, tier_shift, _apply_sequential
+from surveylab.operators.simulate import best_scenario, diff_rows, mutable_columns, simulate, tier_shift, _apply_sequential
 from surveylab.plans.registry import register
 from surveylab.plans.survey import (IMMUTABLE, PACKAGES, SCORE_FEATURES, SCORER, derive, features_sql_exprs,
                                     package_sql_overrides, survey_frame, survey_sql)
@@ -305,7 +305,10 @@ SELECT {KEYS}, arg_min(package_id, struct_pack(a := -risk_reduction_pct, b := pa
        max(risk_reduction_pct) AS best_reduction_pct FROM sim GROUP BY {KEYS}, rid
 """)
 def q_best(spark, sf):
-    return best_scenario_in_row(survey_frame(spark, sf), CHILD_KEY, PACKAGES, SCORER, derive=derive)
+    # A child key may repeat: every row is ranked by itself.
+    rows = survey_frame(spark, sf).withColumn("row_id", F.monotonically_increasing_id())
+    sim = simulate(rows, [*CHILD_KEY, "row_id"], PACKAGES, SCORER, derive=derive)
+    return best_scenario(sim, [*CHILD_KEY, "row_id"]).drop("row_id")
 
 
 @register("tier_shift_by_package", ids=("SIM4",), sql=SIM_SQL + f"""
@@ -373,10 +376,13 @@ FEAT_SQL = survey_sql() + f",\nfeat AS (SELECT row_number() OVER () AS rid, z.*
     " round(shap_value * 100.0, 2) AS impact_pct FROM att LEFT JOIN dict ON att.feature_code = dict.feature_code)")
 
 
-def _attr(spark, sf, wide=False):
-    """Contributions against the means of the whole table."""
+def _attr(spark, sf, wide=False, rows=False):
+    """Contributions against the means of the whole table; with ``rows`` each row, as a child key may repeat, has an own
+    ``row_id`` in its key."""
     f = _features_frame(spark, sf)
-    return attribute_linear(f, CHILD_KEY, SCORE_FEATURES, SCORER, f, wide=wide)
+    if rows:
+        f = f.withColumn("row_id", F.monotonically_increasing_id())
+    return attribute_linear(f, [*CHILD_KEY, "row_id"] if rows else CHILD_KEY, SCORE_FEATURES, SCORER, f, wide=wide)
 
 
 def _dict(spark):
@@ -411,7 +417,7 @@ UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'risk' FROM
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'protective' FROM n WHERE rk <= 5
 """)
 def q_explain(spark, sf):
-    e = explain_arrays(_attr(spark, sf, wide=True), CHILD_KEY)
+    e = explain(_attr(spark, sf, rows=True), [*CHILD_KEY, "row_id"])
     return e.select(*CHILD_KEY, "feature_code", F.round("shap_value", DP).alias("shap_value"),
                     F.col("rank").cast("bigint").alias("rank"), "list")
 
@@ -433,7 +439,7 @@ FROM att WINDOW w AS (PARTITION BY rid ORDER BY round(abs(shap_value), 9) DESC,
 def q_waterfall(spark, sf):
     f = _features_frame(spark, sf)
     base = f.select(F.avg(SCORER.margin(f))).first()[0]
-    w = waterfall_arrays(_attr(spark, sf, wide=True), CHILD_KEY, base)
+    w = waterfall(_attr(spark, sf, rows=True), [*CHILD_KEY, "row_id"], base)
     return w.select(*CHILD_KEY, "feature_code", F.col("step").cast("bigint").alias("step"),
                     F.round("running_total", DP).alias("running_total"))
 
