@@ -14,8 +14,9 @@ from surveylab.operators.attribution import attribute, global_importance
 from surveylab.operators.features import CentredPCA, KMeansDistance
 from surveylab.operators.hash_index import knn_hashed
 from surveylab.operators.impute import mice
-from surveylab.operators.modeling import (ModelSpec, ablation, cv_benchmark, evaluate, fit, knn_classify, quality_gate,
-                                          random_search, stack, summarize_cv)
+from surveylab.operators.modeling import (ModelSpec, ablation, cv_benchmark, fit, knn_classify, quality_gate,
+                                          random_search, resampled, split_report, stack, summarize_cv,
+                                          with_balanced_weights)
 from surveylab.operators.neighbors import knn
 from surveylab.operators.sampling import adasyn, smote, stratified_folds, stratified_split
 from surveylab.operators.scoring import ModelScorer
@@ -209,15 +210,12 @@ def q_cv(spark, sf):
 @register("train_test_report", ids=("SPL1", "MOD3", "MET1", "MET2", "MET5", "MOD12", "TOP1", "SET2"))
 def q_train_test(spark, sf):
     f = derive(survey_frame(spark, sf)).select(*CHILD_KEY, *MODEL_FEATURES, "stunting_label")
+    # The split is one fold: prepared once, scored into one table, its metrics one plan.
     s = stratified_split(f, "stunting_label", CHILD_KEY, test=0.2, seed=42)
-    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
-    rows = []
-    for spec in SURVEY_SPECS:
-        m = fit(spec, train, MODEL_FEATURES, "stunting_label")
-        r = evaluate(m, test, "stunting_label")
-        rows.append((spec.name, r["auc"], r["recall"], r["precision"], r["f1"], r["accuracy"], r["brier"]))
-    res = spark.createDataFrame(rows, "model string, test_auc double, test_recall double, test_precision double, "
-                                      "test_f1 double, test_accuracy double, brier double")
+    report = split_report(s, SURVEY_SPECS, MODEL_FEATURES, "stunting_label")
+    res = report.select("model", F.col("auc").alias("test_auc"), F.col("recall").alias("test_recall"),
+                        F.col("precision").alias("test_precision"), F.col("f1").alias("test_f1"),
+                        F.col("accuracy").alias("test_accuracy"), "brier")
     return quality_gate(stats.leaderboard(res, "test_auc"), "test_auc")
 
 
@@ -233,6 +231,32 @@ def q_cv_docs(spark, sf):
     return stats.leaderboard(summarize_cv(cv), "auc_mean")
 
 
+@register("cv_weighted_network_documents", ids=("MOD7", "IMB1", "MOD10"))
+def q_cv_mlp(spark, sf):
+    d = stratified_folds(doc_model_frame(spark, sf), "toxic", "doc_id", k=3, seed=42)
+    cv = cv_benchmark(d, [ModelSpec("mlp_weighted", "mlp", {"hidden": (16, 8), "maxIter": 40}, scale=True, balanced=True),
+                          ModelSpec("mlp_plain", "mlp", {"hidden": (16, 8), "maxIter": 40}, scale=True)],
+                      DOC_FEATURES, "toxic", parallelism=2)
+    return stats.leaderboard(summarize_cv(cv), "auc_mean")
+
+
+_RESAMPLED_KEY = "'42:' || CAST(doc_id AS VARCHAR)"
+
+
+@register("resampled_class_counts", ids=("MOD7", "IMB1"), sql=f"""
+WITH k AS (SELECT toxic, count(*) AS m FROM labels GROUP BY toxic),
+w AS (SELECT l.doc_id, l.toxic, (SELECT sum(m) FROM k) / ((SELECT count(*) FROM k) * k.m) AS w
+      FROM labels l JOIN k ON l.toxic = k.toxic),
+t AS (SELECT toxic, floor(w) + CASE WHEN {_u(_RESAMPLED_KEY)} < w - floor(w) THEN 1 ELSE 0 END AS times FROM w)
+SELECT toxic, count(*)::BIGINT AS n_rows, CAST(sum(times) AS BIGINT) AS n_resampled FROM t GROUP BY toxic
+""")
+def q_resampled(spark, sf):
+    rows = with_balanced_weights(table(spark, sf, "labels").select("doc_id", "toxic"), "toxic")
+    got = resampled(rows, "__w", 42, ["doc_id"]).groupBy("toxic").agg(F.count(F.lit(1)).alias("n_resampled"))
+    return rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n_rows")).join(got, "toxic", "left").select(
+        "toxic", "n_rows", F.coalesce("n_resampled", F.lit(0)).cast("long").alias("n_resampled"))
+
+
 @register("stacking_documents", ids=("MOD8", "SCO2"))
 def q_stack(spark, sf):
     d = stratified_folds(doc_model_frame(spark, sf), "toxic", "doc_id", k=5, seed=42)

@@ -184,6 +184,24 @@ def q_auc(spark, sf):
     return metrics.roc_auc(scored(spark, sf), "probability", "stunting_label").select(F.round("auc", DP).alias("auc"))
 
 
+@register("metrics_by_group_linear", ids=("MET1", "MET2", "MET5", "MOD10"), sql=f"""
+{SCORED_SQL},
+m AS (SELECT toilet_type, probability AS p, stunting_label AS y, CAST(probability >= 0.5 AS INTEGER) AS h FROM sc),
+g AS (SELECT toilet_type, p AS s, sum(y) AS pos, sum(1 - y) AS neg FROM m GROUP BY toilet_type, p),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY toilet_type ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS nb FROM g),
+a AS (SELECT toilet_type, (sum(pos * nb) + 0.5 * sum(pos * neg)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY toilet_type),
+k AS (SELECT toilet_type, sum(h * y) AS tp, sum(h * (1 - y)) AS fp, sum((1 - h) * y) AS fn, count(*) AS n,
+             avg(pow(p - y, 2)) AS brier FROM m GROUP BY toilet_type)
+SELECT toilet_type, round(auc, {DP}) AS auc, round(coalesce(tp / nullif(tp + fn, 0), 0.0), {DP}) AS recall,
+       round(coalesce(tp / nullif(tp + fp, 0), 0.0), {DP}) AS precision, round(brier, {DP}) AS brier, n::BIGINT AS n
+FROM k JOIN a USING (toilet_type)
+""")
+def q_metrics_by(spark, sf):
+    m = metrics.grouped_metrics(scored(spark, sf), ["toilet_type"], "probability", "stunting_label")
+    return m.select("toilet_type", *[F.round(c, DP).alias(c) for c in ("auc", "recall", "precision", "brier")], "n")
+
+
 _COUNTS_SQL = f"""
 {SCORED_SQL},
 k AS (SELECT sum(CASE WHEN {_PRED} = 1 AND stunting_label = 1 THEN 1 ELSE 0 END) AS tp,
