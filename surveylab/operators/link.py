@@ -9,9 +9,10 @@ AQE skew-join splits a hot key (one household holding many children).
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -85,6 +86,31 @@ def link_audit(stages: Mapping[str, DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+class LinkAudit:
+    """JN4 in one pass: the rows of every stage of a linkage are counted while the linked rows are computed.
+
+    ``watch`` puts a counter (``DataFrame.observe``) on a stage's output; the
+    stages that are built on it carry the counter along, and ``rows`` runs the
+    last stage once. If nothing is linked Spark may leave out some stages' work,
+    so that they are then counted by themselves.
+    """
+
+    def __init__(self):
+        self.stages: dict[str, tuple[DataFrame, Observation]] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        self.stages[name] = (df, seen)
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self, linked: DataFrame) -> DataFrame:
+        """(stage, step, rows) of the watched stages in their order; ``linked`` is the last one, built on all others."""
+        if linked.count() == 0:
+            return link_audit({name: df for name, (df, _) in self.stages.items()})
+        found = [(name, i, int(seen.get["rows"])) for i, (name, (_, seen)) in enumerate(self.stages.items())]
+        return linked.sparkSession.createDataFrame(found, "stage string, step int, rows long")
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """JN4: keys that occur more than once with their multiplicity."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -12,7 +12,7 @@ from surveylab.operators import clean, link, stats
 from surveylab.operators.impute import imputation_plan, apply_plan
 from surveylab.plans.linked import SQL_LABEL, linked_frame, linked_sql, with_label
 from surveylab.plans.registry import register
-from surveylab.plans.tables import CHILD_KEY, SENTINELS, sql_uniform, table
+from surveylab.plans.tables import CHILD_KEY, SENTINELS, household_key, sql_uniform, table
 from surveylab.sources import io
 
 DP = 6
@@ -94,10 +94,15 @@ UNION ALL SELECT 'child_mother', 3, (SELECT count(*) FROM lineitem l JOIN orders
 UNION ALL SELECT 'linked', 4, (SELECT count(*) FROM linked)::BIGINT
 """)
 def q_link_audit(spark, sf):
-    li, o, c = table(spark, sf, "lineitem"), table(spark, sf, "orders"), table(spark, sf, "customer")
-    return link.link_audit({"child": li, "mother": o, "household": c,
-                            "child_mother": link.link_records(li, o, [("l_orderkey", "o_orderkey")]),
-                            "linked": linked_frame(spark, sf, sentinels=False)})
+    audit = link.LinkAudit()
+    li = audit.watch("child", table(spark, sf, "lineitem").select("l_orderkey"))
+    o = audit.watch("mother", table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    c = audit.watch("household", table(spark, sf, "customer").select("c_custkey"))
+    both = audit.watch("child_mother", link.link_records(li, o, [("l_orderkey", "o_orderkey")]))
+    linked = audit.watch("linked", link.link_records(
+        household_key(both, "o_custkey", "hh"), household_key(c, "c_custkey", "c"),
+        [("hh_cluster", "c_cluster"), ("hh_number", "c_number")]))
+    return audit.rows(linked)
 
 
 @register("duplicate_keys_orders_per_customer", ids=("JN4",), sql="""

@@ -84,16 +84,24 @@ def q_metadata(spark, sf):
         "model", "fold", F.round("auc", DP).alias("auc"), "n")
 
 
+_LIST_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
+_RETURNED = "CAST(l_returnflag = 'R' AS DOUBLE)"
+
+
 @register("feature_list_of_lineitem", ids=("SNK4", "PRJ1"), sql="""
-SELECT 'lineitem' AS model, CAST(i AS BIGINT) AS position, name AS feature
-FROM (SELECT unnest(range(0, 3)) AS i, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS name)
-WHERE (SELECT count(*) FROM lineitem) > 0
+WITH c AS (""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(abs(corr(CAST({c} AS DOUBLE), {_RETURNED})), {DP}) AS r FROM lineitem" for c in _LIST_COLS) + """)
+SELECT 'lineitem' AS model, CAST(row_number() OVER (ORDER BY r DESC, feature) - 1 AS BIGINT) AS position, feature
+FROM c WHERE r IS NOT NULL
 """)
 def q_features(spark, sf):
-    wanted = ["l_quantity", "l_extendedprice", "l_discount"]
-    df = require_columns(table(spark, sf, "lineitem"), wanted, "lineitem").select(*wanted)
+    """The columns in order of their correlation with the returned flag, over the whole table."""
+    df = require_columns(table(spark, sf, "lineitem"), _LIST_COLS, "lineitem").select(
+        *_LIST_COLS, F.expr(_RETURNED).alias("returned"))
+    found = stats.correlation_with(df, "returned", _LIST_COLS, dp=DP).where("r is not null")
+    ranked = [r["feature"] for r in found.orderBy(F.abs("r").desc(), "feature").collect()]  # a row for each column
     path = _scratch(spark, "features")
-    write_table(feature_list(spark, df.columns, "lineitem"), path)
+    write_table(feature_list(spark, ranked, "lineitem"), path)
     return spark.read.parquet(path).select("model", F.posexplode("features").alias("position", "feature")).select(
         "model", F.col("position").cast("long").alias("position"), "feature")
 
@@ -157,8 +165,8 @@ _SHAP_COEFS = {"s_nationkey": 0.7, "s_acctbal": -0.002, "s_digits": 0.3}
 @register("attribution_margin_supplier", ids=("EXP1", "EXP8", "EXP2"), sql=f"""
 WITH f AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS s_nationkey, CAST(s_acctbal AS DOUBLE) AS s_acctbal,
                   CAST(s_suppkey % 10 AS DOUBLE) AS s_digits FROM supplier),
-b AS (SELECT avg(s_nationkey) AS s_nationkey, avg(s_acctbal) AS s_acctbal, avg(s_digits) AS s_digits FROM f
-      WHERE s_suppkey % 3 = 0)
+b AS (SELECT avg(s_nationkey) AS s_nationkey, avg(s_acctbal) AS s_acctbal, avg(s_digits) AS s_digits
+      FROM (SELECT * FROM f ORDER BY """ + sql_uniform(42, ["s_suppkey"]) + """, s_suppkey LIMIT 50))
 """ + "\nUNION ALL ".join(
     f"SELECT f.s_suppkey, '{c}' AS feature_code, round(f.{c}, {DP}) AS value, round({w} * (f.{c} - b.{c}), 4) AS shap_value FROM f, b"
     for c, w in _SHAP_COEFS.items()))
@@ -167,5 +175,5 @@ def q_margin(spark, sf):
         "s_suppkey", F.col("s_nationkey").cast("double").alias("s_nationkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"),
         (F.col("s_suppkey") % 10).cast("double").alias("s_digits"))
     a = attribute(f, "s_suppkey", list(_SHAP_COEFS), _Margin(LinearScorer(_SHAP_COEFS, intercept=0.1)),
-                  f.filter(F.col("s_suppkey") % 3 == 0), permutations=2)
+                  stats.sample_n(f, 50, 42, "s_suppkey"), permutations=2)
     return a.select("s_suppkey", "feature_code", F.round("value", DP).alias("value"), F.round("shap_value", 4).alias("shap_value"))

@@ -136,3 +136,18 @@ def test_nan_counts_as_missing(spark):
     rep = {r["column"]: r.missing_count for r in stats.missingness_report(df).collect()}
     assert rep == {"x": 2, "t": 1} and stats.null_total(df).first()[0] == 3
 
+
+
+def test_link_audit_counts_all_stages_in_one_pass(spark):
+    from surveylab.operators import link
+
+    def audit(child, mother):
+        a = link.LinkAudit()
+        left, right = a.watch("child", child), a.watch("mother", mother)
+        return {r.stage: (r.step, r.rows) for r in a.rows(a.watch("linked", link.link_records(left, right, "k"))).collect()}
+
+    child = spark.createDataFrame([(i % 4, i) for i in range(40)] + [(None, 99)], "k int, v int")
+    mother = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "k int, m string")
+    assert audit(child, mother) == {"child": (0, 41), "mother": (1, 3), "linked": (2, 20)}
+    assert audit(child, mother.limit(0)) == {"child": (0, 41), "mother": (1, 0), "linked": (2, 0)}
+    assert audit(child.where("k = 3"), mother) == {"child": (0, 10), "mother": (1, 3), "linked": (2, 0)}

@@ -9,7 +9,7 @@ from conftest import SF001
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FORBIDDEN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
-                   "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+                   "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow", "PythonUDF")
 
 
 def _sql_names():
