@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveylab.operators import clean, link, stats
+from surveylab.operators import clean, counterfactual, link, stats
 from surveylab.operators.attribution import attribute, global_importance
 from surveylab.operators.features import CentredPCA, KMeansDistance
 from surveylab.operators.hash_index import knn_hashed
@@ -299,6 +299,63 @@ def q_pca_km(spark, sf):
     return out.select(*CHILD_KEY, "split", *[F.round(c, DP).alias(c) for c in cols])
 
 
+_CF_LEVELS = ["anc_visits", "diarrhea_recent", "fever_recent", "mother_education", "wealth_index", "mother_anemia",
+              "share_toilet", "electricity"]
+_CF_TEXT = ["toilet_type", "water_source", "delivery_place"]
+_CF_PLAYERS = ["anc_visits", "diarrhea_recent", "fever_recent", "mother_education", "wealth_index", "mother_anemia", "mother_bmi",
+               "share_toilet", "electricity", *_CF_TEXT]
+
+
+def _cf_all_sql() -> str:
+    from surveylab.operators.features import FEATURE_NAMES
+    from surveylab.plans.catalog_score import _feat_cols_sql
+    from surveylab.plans.survey import survey_sql
+    keys = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in CHILD_KEY)
+    number = lambda i: (f"(('0x' || substr(md5('42:' || {keys} || ':' || CAST(cf_id AS VARCHAR) || ':{i // 8}'),"
+                        f" {4 * (i % 8) + 1}, 4))::INTEGER / 65536.0)")
+    tables, new, orig, moved, dist = [], [], [], [], []
+    for c in _CF_LEVELS + _CF_TEXT:
+        v = f"CAST({c} AS DOUBLE)" if c in _CF_LEVELS else c
+        tables.append(f"l_{c} AS (SELECT list(v ORDER BY v) AS v, list(u ORDER BY v) AS u FROM (SELECT v, sum(n) OVER (ORDER BY v"
+                      f" ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS u FROM (SELECT {v} AS v, count(*) AS n FROM survey"
+                      f" WHERE {c} IS NOT NULL GROUP BY 1)))")
+    grid = ", ".join(str(i / 20) for i in range(21))
+    tables.append(f"l_mother_bmi AS (SELECT quantile_cont(mother_bmi, [{grid}]) AS v,"
+                  " list_transform(range(1, 22), lambda i: i / 21.0) AS u FROM survey)")
+    for i, c in enumerate(_CF_PLAYERS):
+        was = c if c in _CF_TEXT else f"CAST({c} AS DOUBLE)"
+        at = f"len(list_filter((SELECT u FROM l_{c}), lambda x: x <= {number(2 * i + 1)})) + 1"
+        new.append(f"CASE WHEN {number(2 * i)} < 0.5 THEN (SELECT v FROM l_{c})[{at}] ELSE {was} END AS {c}")
+        orig.append(f"{was.replace(c, 'fan.' + c)} AS o_{c}")
+        moved.append(f"CAST({c} IS DISTINCT FROM o_{c} AS INTEGER)")
+        step = "1.0" if c in _CF_TEXT else f"coalesce(abs({c} - o_{c}), 1.0)"
+        dist.append(f"CASE WHEN {c} IS DISTINCT FROM o_{c} THEN {step} ELSE 0.0 END")
+    return (survey_sql() + ",\n" + ",\n".join(tables) + f""",
+f0 AS ({_feat_cols_sql()}),
+hot AS (SELECT * EXCLUDE ({", ".join(FEATURE_NAMES)}, p0) FROM (SELECT f0.*, {SCORER.sql_prob()} AS p0 FROM f0) WHERE p0 > 0.45),
+fan AS (SELECT hot.*, unnest(range(1, 11)) AS cf_id FROM hot),
+cand0 AS (SELECT fan.* REPLACE ({", ".join(new)}), {", ".join(orig)} FROM fan),
+cand AS (SELECT cand0.*, {" + ".join(moved)} AS n_changed, {" + ".join(dist)} AS distance FROM cand0),
+cf AS ({_feat_cols_sql('cand')}),
+sc AS (SELECT cf.*, {SCORER.sql_prob()} AS probability FROM cf),
+ok AS (SELECT *, CASE WHEN probability < 0.40 AND n_changed > 0 THEN 'found' ELSE 'none' END AS status FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(CHILD_KEY)} ORDER BY status, n_changed, distance, cf_id) AS cf_rank
+       FROM ok)
+SELECT {", ".join(CHILD_KEY)}, CAST(cf_id AS INTEGER) AS cf_id, CAST(cf_rank AS INTEGER) AS cf_rank, n_changed, toilet_type,
+       water_source, round(distance, {DP}) AS distance, round(probability, {DP}) AS probability, status
+FROM rk WHERE cf_rank <= 2 AND (status = 'found' OR cf_rank = 1)
+""")
+
+
+@register("counterfactuals_all_columns", ids=("SIM5", "SIM7"), sql=_cf_all_sql())
+def q_cf_all(spark, sf):
+    s = survey_frame(spark, sf)
+    cf = counterfactual.search(s, CHILD_KEY, SCORER, [*IMMUTABLE, "area", "stunting_label"], n=2, draws=10, seed=42,
+                               p_min=0.45, p_target=0.40, derive=derive)
+    return cf.select(*CHILD_KEY, "cf_id", "cf_rank", "n_changed", "toilet_type", "water_source",
+                     F.round("distance", DP).alias("distance"), F.round("probability", DP).alias("probability"), "status")
+
+
 _KM_COLS, _KM_K, _KM_SETS, _KM_ROUNDS = ["mother_age", "mother_bmi", "child_age_months"], 3, 2, 3
 
 
