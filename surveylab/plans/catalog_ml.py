@@ -364,14 +364,15 @@ def _km_sql() -> str:
     keys, d = ", ".join(CHILD_KEY), range(len(_KM_COLS))
     xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_KM_COLS))
     away = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in d)
-    q = [survey_sql() + f", pts AS (SELECT {keys}, {xs} FROM survey WHERE "
+    # A child key may repeat, so that rows are numbered.
+    q = [survey_sql() + f", pts AS (SELECT row_number() OVER () AS rid, {keys}, {xs} FROM survey WHERE "
          + " AND ".join(f"{c} IS NOT NULL" for c in _KM_COLS) + ")",
          f"c0 AS (SELECT r, n, x0, x1, x2 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY "
-         f"{sql_uniform(42, CHILD_KEY, 'CAST(r AS VARCHAR)')}, {keys}) AS n FROM pts, (SELECT unnest(range(0, {_KM_SETS})) AS r))"
+         f"{sql_uniform(42, CHILD_KEY, 'CAST(r AS VARCHAR)')}, {keys}, x0, x1, x2) AS n FROM pts, (SELECT unnest(range(0, {_KM_SETS})) AS r))"
          f" WHERE n <= {_KM_K})"]
     for t in range(1, _KM_ROUNDS + 2):
         q.append(f"a{t} AS (SELECT * FROM (SELECT {', '.join(f'p.x{i}' for i in d)}, c.r, c.n, {away} AS away, row_number() OVER"
-                 f" (PARTITION BY {', '.join('p.' + k for k in CHILD_KEY)}, c.r ORDER BY {away}, c.n) AS rk"
+                 f" (PARTITION BY p.rid, c.r ORDER BY {away}, c.n) AS rk"
                  f" FROM pts p, c{t - 1} c) WHERE rk = 1)")
         if t <= _KM_ROUNDS:
             q.append(f"c{t} AS (SELECT c.r, c.n, " + ", ".join(f"coalesce(m.x{i}, c.x{i}) AS x{i}" for i in d) + f" FROM c{t - 1} c"
