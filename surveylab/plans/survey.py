@@ -135,6 +135,7 @@ SCORER_COEFS = {
 SCORER = LinearScorer(SCORER_COEFS, intercept=-0.9)
 SCORE_FEATURES = list(SCORER_COEFS)
 
+# Ids and display names of the scenario packages.
 PACKAGES = [
     Package("wash_package", "Sanitation & Clean Water (WASH)", [
         Override.set("toilet_type", SAFE_TOILET_LEVEL), Override.set("share_toilet", 0.0),

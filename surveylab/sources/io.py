@@ -118,14 +118,15 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """SNK3: load a saved ``PipelineModel`` or stacked model."""
+    """SNK3: load a saved ``PipelineModel`` or stacked model (which has a table of its parts' names); a damaged one raises."""
     from pyspark.ml import PipelineModel
+    from pyspark.sql import SparkSession
 
     from surveylab.operators.modeling import StackedModel
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001  a stacked model has parts, but no pipeline metadata of its own
-        return StackedModel.load(path)
+    spark = SparkSession.active()
+    names = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/names")
+    stacked = names.getFileSystem(spark._jsc.hadoopConfiguration()).exists(names)
+    return StackedModel.load(path) if stacked else PipelineModel.load(path)
 
 
 def write_run_metadata(df: DataFrame, path: str) -> None:
