@@ -16,8 +16,9 @@ join itself is left to Spark, which broadcasts the items' table only if what
 was written is small.
 
 Null and empty texts have no words, and are neither contaminated nor do they
-contaminate. Rows that agree in id and text are one document. Items with equal
-ids are one item; an item without an id makes hits but is not counted.
+contaminate. Rows that agree in id and text are judged once and returned as
+often as they stand in the table. Items with equal ids are one item; an item
+without an id makes hits but is not counted.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most bits of the table that passes by windows without a match, and bits for each fingerprint below that.
 MOST_BITS = 1 << 20
 BITS_EACH = 32
+#: Repeated rows are put out in runs of that many.
+REPEATS = 1 << 16
 
 
 def words(text: Column | str) -> Column:
@@ -106,8 +109,8 @@ def _bit_table(fps: DataFrame) -> tuple[str, int]:
 
 
 def hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_words, size, start, span): a row for every document, and one for each window of an
-    item that occurs in it (size, start and span are null without one)."""
+    """(doc_id, text_hash, n_words, size, start, span, one): a row for every document, and one for each window of an
+    item that occurs in it (size, start and span are null without one); ``one`` is 1 in one row of each document, else 0."""
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
     table, last = _bit_table(windows.select("fp"))
     # The windows of documents whose fingerprint may be one of an item's.
@@ -122,15 +125,15 @@ def hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
                      f"i -> named_struct('size', {n}, 'start', i, 'fp', fp_{n}[i], 'span', span_{n}[i]))")
     entry = "array<struct<size:int,start:int,fp:bigint,span:bigint>>"
     entries = F.expr(f"cast(concat({', '.join(found)}) as {entry})" if found else f"cast(array() as {entry})")
-    rows = df.select("doc_id", "text_hash", "n_words", F.explode_outer(entries).alias("e")).select(
-        "doc_id", "text_hash", "n_words", "e.*")
+    rows = df.select("doc_id", "text_hash", "n_words", F.posexplode_outer(entries).alias("at", "e")).select(
+        "doc_id", "text_hash", "n_words", "e.*", F.expr("if(coalesce(at, 0) = 0, 1, 0)").alias("one"))
     items = windows.select(F.col("size").alias("i_size"), F.col("fp").alias("i_fp"),
                            F.col("span").alias("i_span")).distinct()
     joined = rows.join(items, (F.col("fp") == F.col("i_fp")) & (F.col("span") == F.col("i_span"))
                        & (F.col("size") == F.col("i_size")), "left")
     hit = F.col("i_span").isNotNull()
     return joined.select("doc_id", "text_hash", "n_words", F.when(hit, F.col("size")).alias("size"),
-                         F.when(hit, F.col("start")).alias("start"), F.when(hit, F.col("span")).alias("span"))
+                         F.when(hit, F.col("start")).alias("start"), F.when(hit, F.col("span")).alias("span"), "one")
 
 
 _COVERED = """aggregate(array_sort(collect_set(if(start is null, null, struct(start, start + size as upto)))),
@@ -139,14 +142,15 @@ _COVERED = """aggregate(array_sort(collect_set(if(start is null, null, struct(st
     a -> a.n)"""
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 13, doc_id: str = "doc_id", text: str = "text",
-                  item_text: str = "text", item_id: str = "item_id", percent: int = 5) -> DataFrame:
-    """Per document: doc_id, text_hash, n_words, n_hit (words inside occurring windows), items (their ids as
-    sorted strings) and ``contaminated`` (hit, and at least ``percent`` of the words are)."""
+def judged(docs: DataFrame, items: DataFrame, size: int = 13, doc_id: str = "doc_id", text: str = "text",
+           item_text: str = "text", item_id: str = "item_id", percent: int = 5) -> DataFrame:
+    """Per distinct id and text: doc_id, text_hash, n_words, n_hit (words inside occurring windows), items (their ids as
+    sorted strings), ``contaminated`` (hit, and at least ``percent`` of the words are) and n_copies (rows of it)."""
     windows = item_windows(items, size, item_text, item_id)
     found = stored(hits(docs, windows, doc_id, text), "hits")
     key = ["doc_id", "text_hash"]
-    counts = found.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.expr(_COVERED).alias("n_hit"))
+    counts = found.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.expr(_COVERED).alias("n_hit"),
+                                     F.sum("one").alias("n_copies"))
     owners = windows.select("size", "span", F.col("item_id").cast("string").alias("item_id")).where(
         "item_id is not null")
     items_of = (found.where("span is not null").select(*key, "size", "span").distinct()
@@ -156,13 +160,22 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, doc_id: str
                                    & (F.col("c.text_hash") == F.col("o.text_hash")), "left")
             .select("c.doc_id", "c.text_hash", "n_words", "n_hit",
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-                    ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated")))
+                    ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
+                    "n_copies"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, *args, **settings) -> DataFrame:
+    """The columns of ``judged`` but n_copies, a row for each row of ``docs``."""
+    rows = judged(docs, items, *args, **settings)
+    runs = rows.withColumn("run", F.explode(F.expr(f"sequence(0L, (n_copies - 1) div {REPEATS})")))
+    each = F.expr(f"array_repeat(0, int(least({REPEATS}, n_copies - {REPEATS} * run)))")
+    return runs.withColumn("copy", F.explode(each)).drop("run", "copy", "n_copies")
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, size: int = 13, doc_id: str = "doc_id", text: str = "text",
                **settings) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns as they are."""
-    bad = stored(contamination(docs, items, size, doc_id, text, **settings).where("contaminated")
+    bad = stored(judged(docs, items, size, doc_id, text, **settings).where("contaminated")
                  .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "contaminated")
     return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")),
                      "left_anti")
