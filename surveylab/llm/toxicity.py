@@ -1,14 +1,16 @@
 """Toxicity by compression distance: is a text told more shortly by what toxic texts or by what ordinary texts say?
 
-Two zstandard dictionaries are trained from windows of labelled texts, one on
-ordinary windows, one on what sets toxic windows apart: their words that stand
-in many different places there and hardly in ordinary windows (copies of one
-text repeat their neighbours, so that they don't count as places). Each window
-of a text is compressed twice, with the ordinary dictionary alone and with the
-toxic one before it; the bytes saved are the window's distance. A document's
-distances (mean, share and number of windows over two thresholds, largest ones)
-go into a logistic calibration that is fitted on labelled rows the
-dictionaries have not seen.
+Two zstandard dictionaries are trained from windows of labelled texts: one on
+the ordinary windows, one on the spans of toxic windows that set them apart.
+Those are runs of bytes, of any script and without a notion of words, that
+stand between many different bytes in toxic text (copies of one text repeat
+their surroundings, so that they don't count as places) and hardly in ordinary
+text. Each window of a text is compressed twice, with the ordinary dictionary
+alone and with the toxic one before it; the bytes saved are the window's
+distance. A document's distances (mean, share and number of windows over two
+thresholds, largest ones) go into a logistic calibration; it and the two
+thresholds are fitted on labelled rows the dictionaries have not seen. The
+sizes of both dictionaries follow the samples.
 
 Null texts are scored like empty ones (no window: the calibration's value for no
 distance). Repeated rows get equal scores. Without labelled rows of either
@@ -17,10 +19,8 @@ class the score is the share of toxic rows, or 0 if there are none.
 
 from __future__ import annotations
 
-import random
-import re
-from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +35,22 @@ WINDOW_WORDS = 6
 TRAIN_WORDS = 16
 WINDOW_BYTES = 512
 LEVEL = 9
-ORDINARY_BYTES = 4096
-TOXIC_BYTES = 4096
+#: Bytes of a sample for each byte of its dictionary, and the least size of a dictionary.
+ORDINARY_PART, ORDINARY_LEAST = 1024, 4096
+TOXIC_PART, TOXIC_LEAST = 24, 256
 #: Most training windows of each class (a documented sample, by hash).
 MOST_WINDOWS = 60_000
-#: A toxic word stands after that many different words, is that many times as frequent as in ordinary windows, and
+#: Bytes of a telling run, and of what is looked at before and after it (both fit into 64 bits).
+RUN, BESIDE = 7, 6
+#: A telling run stands between that many different bytes, is that many times as frequent as in ordinary windows, and
 #: its places are that unlikely by chance (log-likelihood ratio).
-PLACES, TIMES, SURPRISE = 4, 6.0, 20.0
-THRESHOLDS = (3, 5)
+PLACES, TIMES, SURPRISE = 12, 6.0, 60.0
+#: A run that stands in less than this share of the places of one overlapping it is chance beside that one.
+SHARE = 0.5
+#: Thresholds to calibrate: saved bytes that a window may be asked for.
+THRESHOLDS = tuple(range(2, 9))
 PREDICT_FROM = 0.3
 
-_WORD = re.compile(r"[^\W\d_]+")
-
 
 def windows(text: str, words: int) -> list[bytes]:
     """The text in windows of words, each with a space before and after; long ones cut by bytes."""
@@ -58,31 +62,69 @@ def windows(text: str, words: int) -> list[bytes]:
     return out
 
 
-def _places(sample: list[bytes]) -> tuple[Counter, dict[str, int], int]:
-    """How often each word stands in the windows, after how many different words, and how many words there are."""
-    seen, before = Counter(), defaultdict(set)
-    for w in sample:
-        tokens = _WORD.findall(w.decode(errors="ignore"))
-        seen.update(tokens)
-        for a, b in zip(["", *tokens], tokens):
-            before[b].add(a)
-    return seen, {w: len(x) for w, x in before.items()}, max(1, seen.total())
+def _packed(text: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes from each place on, as a number."""
+    out = np.zeros(len(text) - size + 1, "uint64")
+    for i in range(size):
+        out <<= np.uint64(8)
+        out |= text[i:i + len(out)]
+    return out
 
 
-def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> dict[str, int]:
-    """Words of the toxic windows that set them apart, with how often they stand there."""
-    t_seen, t_places, t_all = _places(toxic)
-    o_seen, o_places, o_all = _places(ordinary)
+def _runs(sample: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined windows; for each place the run there, what stands before and after it, and if it is in a window."""
+    gap = b"\n" * max(RUN, BESIDE)  # windows have no line ends
+    joined = gap + gap.join(sample) + gap + gap
+    text = np.frombuffer(joined, "uint8")
+    runs, beside = _packed(text, RUN), _packed(text, BESIDE)
+    before, after = np.zeros(len(runs), "uint64"), np.zeros(len(runs), "uint64")
+    before[BESIDE:] = beside[:len(runs) - BESIDE]
+    after[:len(beside) - RUN] = beside[RUN:]
+    gaps = np.concatenate([[0], np.cumsum(text == 10, dtype="int32")])
+    return joined, runs, before, after, gaps[RUN:] == gaps[:-RUN]
+
+
+def _places(runs: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs in order, and beside how many different bytes each stands."""
+    order = np.lexsort((beside, runs))
+    r, b = runs[order], beside[order]
+    first = np.ones(len(r), bool)
+    first[1:] = (r[1:] != r[:-1]) | (b[1:] != b[:-1])
+    return np.unique(r[first], return_counts=True)
+
+
+def telling_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The spans of the toxic windows that set them apart from ordinary ones, each as often as it stands there."""
+    joined, runs, before, after, inside = _runs(toxic)
+    kinds, a = _places(runs[inside], before[inside])
+    a = np.minimum(a, _places(runs[inside], after[inside])[1])
+    kinds, a = kinds[a >= PLACES], a[a >= PLACES].astype(float)
+    if not len(kinds):
+        return []
+    _, o_runs, o_before, o_after, o_inside = _runs(ordinary)
+    t_all, o_all = inside.sum(), max(1, o_inside.sum())
+    known = o_inside & np.isin(o_runs, kinds)
+    b = np.zeros(len(kinds))
+    for beside in (o_before, o_after):
+        found, n = _places(o_runs[known], beside[known])
+        at = np.searchsorted(kinds, found)
+        b[at] = np.maximum(b[at], n)
     share = t_all / (t_all + o_all)
-    out = {}
-    for w, n in t_seen.items():
-        a, b = t_places[w], o_places.get(w, 0)
-        if a < PLACES or n / t_all <= TIMES * (o_seen.get(w, 0) + 1) / o_all or a <= (a + b) * share:
-            continue
-        rest = b * np.log(b / ((a + b) * (1 - share))) if b else 0.0
-        if 2 * (a * np.log(a / ((a + b) * share)) + rest) >= SURPRISE:
-            out[w] = n
-    return out
+    rest = b * np.log(np.maximum(b, 1) / ((a + b) * (1 - share)))
+    telling = (a / t_all > TIMES * (b + 1) / o_all) & (2 * (a * np.log(a / ((a + b) * share)) + rest) >= SURPRISE)
+    kinds, a = kinds[telling], a[telling]
+    if not len(kinds):
+        return []
+    at = np.minimum(np.searchsorted(kinds, runs), len(kinds) - 1)
+    places = np.where(inside & (kinds[at] == runs), a[at], 0)
+    most = np.lib.stride_tricks.sliding_window_view(np.pad(places, RUN - 1), 2 * RUN - 1).max(1)
+    starts = np.flatnonzero((places > 0) & (places >= SHARE * most))
+    edges = np.zeros(len(joined) + 1, int)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + RUN, -1)
+    covered = np.concatenate([[False], np.cumsum(edges) > 0])
+    turns = np.flatnonzero(covered[1:] != covered[:-1])
+    return [joined[i:j] for i, j in zip(turns[::2], turns[1::2])]
 
 
 def _dictionary(size: int, sample: list[bytes], **settings) -> bytes:
@@ -93,19 +135,17 @@ def _dictionary(size: int, sample: list[bytes], **settings) -> bytes:
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionaries of two window samples; telling words that training has cut off are added."""
-    telling = telling_words(toxic, ordinary)
-    spans = [f" {w} ".encode() for w in sorted(telling) for _ in range(min(telling[w], 50))]
-    random.Random(0).shuffle(spans)
-    trained = _dictionary(TOXIC_BYTES, spans, k=32, d=6) if spans else b""
-    cut_off = [s for s in sorted(dict.fromkeys(spans), key=lambda s: telling[s.decode().strip()]) if s not in trained]
-    return _dictionary(ORDINARY_BYTES, ordinary), trained + b"".join(cut_off)[-TOXIC_BYTES:]
+    """(ordinary, toxic) dictionaries of two window samples."""
+    spans = telling_spans(toxic, ordinary)
+    return (_dictionary(max(ORDINARY_LEAST, sum(map(len, ordinary)) // ORDINARY_PART), ordinary),
+            _dictionary(max(TOXIC_LEAST, sum(map(len, spans)) // TOXIC_PART), spans, k=16, d=6) if spans else b"")
 
 
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
     toxic: bytes
+    thresholds: tuple[int, int] = THRESHOLDS[:2]
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
@@ -133,14 +173,21 @@ class Distances:
         return (plain - paired).astype(float)
 
 
-def features(saved: np.ndarray) -> list[float]:
+def features(saved: np.ndarray, thresholds=THRESHOLDS) -> list[float]:
+    """Statistics of a text's distances; two of them for each threshold, at the end."""
     n = len(saved)
     if not n:
-        return [0.0] * 9
+        return [0.0] * (5 + 2 * len(thresholds))
     top = np.sort(saved)[-2:]
-    over = [int((saved >= t).sum()) for t in THRESHOLDS]
-    return [float(saved.mean()), over[0] / n, over[1] / n, float(np.log1p(over[0])), float(np.log1p(over[1])),
-            float(top[-1]), float(top.mean()), float(np.maximum(saved - 2, 0).sum() / n), float(np.log1p(n))]
+    over = [int((saved >= t).sum()) for t in thresholds]
+    return [float(saved.mean()), float(top[-1]), float(top.mean()), float(np.maximum(saved - 2, 0).sum() / n),
+            float(np.log1p(n)), *[k / n for k in over], *[float(np.log1p(k)) for k in over]]
+
+
+def _columns(thresholds: tuple[int, int]) -> list[int]:
+    """Where the features of two thresholds stand among those of all."""
+    at = [5 + THRESHOLDS.index(t) for t in thresholds]
+    return [*range(5), *at, *[k + len(THRESHOLDS) for k in at]]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
@@ -156,11 +203,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
+def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, tuple, tuple, tuple]:
+    """(log-likelihood, means, scales, weights) of the logistic curve over some features."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(y)), (x - mean) / scale])
+    w = _logistic(z, y, weight)
+    odds = np.clip(z @ w, -30, 30)
+    return float((weight * (y * odds - np.log1p(np.exp(odds)))).sum()), tuple(mean), tuple(scale), tuple(w)
+
+
 def fit(labelled: DataFrame, counts: dict[int, int], text: str = "text", label: str = "label",
-        doc_id: str = "doc_id") -> Model:
-    """The model of labelled rows (a bounded sample; ``counts``: rows of each class that it stands for)."""
+        doc_id: str = "doc_id", most_windows: int = MOST_WINDOWS) -> Model:
+    """The model of labelled rows (a bounded sample; ``counts``: rows of each class that it stands for). The dictionaries
+    learn from at most ``most_windows`` windows of each class in two thirds of the rows, the rest calibrates."""
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    rows = labelled.withColumn("__fit", F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(3)) != 0)
+    rows = common.stored(labelled.select(F.col(text).alias(text), F.col(label).alias(label), (
+        F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(3)) != 0).alias("__fit")), "labelled")
 
     def cut():
         return lambda col: [pa.array([[w.decode(errors="ignore") for w in windows(t, TRAIN_WORDS)]
@@ -169,20 +227,20 @@ def fit(labelled: DataFrame, counts: dict[int, int], text: str = "text", label:
     cuts = common.map_columns(rows.where("__fit"), [text], [StructField("w", ArrayType(StringType()))], cut, [label])
     parts = cuts.select(label, F.explode("w").alias("w")).distinct()
     sample = {c: [r[0].encode() for r in parts.where(F.col(label) == c).select("w")
-                  .orderBy(F.xxhash64("w"), "w").limit(MOST_WINDOWS).collect()] for c in (0, 1)}
+                  .orderBy(F.xxhash64("w"), "w").limit(most_windows).collect()] for c in (0, 1)}
     if not sample[0] or not sample[1]:
         return Model(b"", b"", prior=prior)
     model = Model(*train(sample[1], sample[0]))
-    seen = [r for r in _with_features(rows.where("not __fit"), model, text, [label]).collect()]
-    x = np.array([r["features"] for r in seen], float).reshape(len(seen), 9)
+    seen = _with_features(rows.where("not __fit"), model, text, [label]).collect()
+    x = np.array([r["features"] for r in seen], float).reshape(len(seen), 5 + 2 * len(THRESHOLDS))
     y = np.array([r[label] for r in seen], float)
     if len({*y}) < 2:
         return Model(b"", b"", prior=prior)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
     # Each class weighs as much as it does among all labelled rows.
     share = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    w = _logistic(np.column_stack([np.ones(len(y)), (x - mean) / scale]), y, share)
-    return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(w), prior)
+    found = [(*_calibrated(x[:, _columns(pair)], y, share), pair) for pair in combinations(THRESHOLDS, 2)]
+    _, mean, scale, w, pair = max(found, key=lambda f: f[0])
+    return Model(model.ordinary, model.toxic, pair, mean, scale, w, prior)
 
 
 def _with_features(df: DataFrame, model: Model, text: str, keep) -> DataFrame:
@@ -203,7 +261,8 @@ def score(df: DataFrame, model: Model, text: str = "text", keep=None) -> DataFra
             mean, scale, w = map(np.array, (model.mean, model.scale, model.weights))
 
             def made(texts):
-                x = (np.array([features(distances.of(t)) for t in texts]).reshape(len(texts), 9) - mean) / scale
+                x = np.array([features(distances.of(t), model.thresholds) for t in texts]).reshape(len(texts), len(mean))
+                x = (x - mean) / scale
                 return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
         def batch(col):

@@ -64,6 +64,17 @@ def test_clean_rows_and_odd_tables(spark):
     assert decontaminate.contamination(empty(spark), items(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_returned_as_often_as_they_stand(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = documents(spark, [passage, "x " * 30 + passage + " y " * 9 + passage, None, "", "other words"], clash=True)
+    docs = docs.unionByName(docs).unionByName(docs.where("doc_id = 1"))
+    for run in (decontaminate.REPEATS, 2):
+        monkeypatch.setattr(decontaminate, "REPEATS", run)
+        got = decontaminate.contamination(docs, items(spark, [(1, passage), (2, "w3")])).collect()
+        want = [(r.doc_id, *plain_hits(r.text, [(1, passage), (2, "w3")])) for r in docs.collect()]
+        assert sorted(map(str, [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got])) == sorted(map(str, want))
+
+
 def test_no_python_in_the_plan(spark):
     docs = documents(spark, ["a b c"], repeats=False)
     plan = decontaminate.contamination(docs, items(spark, [(1, "a b")]))._jdf.queryExecution().toString()
@@ -267,3 +278,76 @@ def test_windows_hold_every_word():
     cut = b"".join(toxicity.windows(text, 6)).decode()
     assert cut.split() == text.lower().split()
     assert max(map(len, toxicity.windows(text, 6))) <= toxicity.WINDOW_BYTES
+
+
+def plain_spans(toxic, ordinary):
+    """Bytes of toxic windows covered by telling runs, run by run."""
+    def beside(sample, side):
+        found, total = collections.defaultdict(set), 0
+        for w in sample:
+            p = b"\n" * toxicity.BESIDE + w + b"\n" * toxicity.BESIDE
+            for i in range(toxicity.BESIDE, toxicity.BESIDE + len(w) - toxicity.RUN + 1):
+                j = i + toxicity.RUN
+                found[p[i:j]].add(p[i - toxicity.BESIDE:i] if side else p[j:j + toxicity.BESIDE])
+                total += 1
+        return {r: len(x) for r, x in found.items()}, total
+
+    (t0, n), (t1, _), (o0, m), (o1, _) = (beside(s, side) for s in (toxic, ordinary) for side in (1, 0))
+    share, telling = n / (n + m), {}
+    for r in t0:
+        a, b = min(t0[r], t1[r]), max(o0.get(r, 0), o1.get(r, 0))
+        if a >= toxicity.PLACES and a / n > toxicity.TIMES * (b + 1) / m:
+            rest = b * np.log(b / ((a + b) * (1 - share))) if b else 0
+            if 2 * (a * np.log(a / ((a + b) * share)) + rest) >= toxicity.SURPRISE:
+                telling[r] = a
+    out = []
+    for w in toxic:
+        at = [telling.get(w[i:i + toxicity.RUN], 0) for i in range(len(w))]
+        on = bytearray(len(w) + 1)
+        for i, a in enumerate(at):
+            if a and a >= toxicity.SHARE * max(at[max(0, i - toxicity.RUN + 1):i + toxicity.RUN]):
+                on[i:i + toxicity.RUN] = b"\x01" * toxicity.RUN
+        out += [w[m.start():m.end()] for m in re.finditer(b"\x01+", bytes(on))]
+    return out
+
+
+def test_telling_spans_equal_a_plain_search(spark):
+    rows, marks = labelled(spark)
+    toxic = {r.doc_id for r in marks.where("toxic = 1").collect()}
+    cut = [list(dict.fromkeys(w for i, t in enumerate(rows) if (i in toxic) == c for w in toxicity.windows(t, 16)))
+           for c in (True, False)]
+    got = toxicity.telling_spans(*cut)
+    assert got == plain_spans(*cut) and any(b"scoundrel" in s for s in got)
+    assert toxicity.telling_spans([b" a "], [b" b "]) == toxicity.telling_spans(cut[1], cut[1]) == []
+    # Copies of one text are one place.
+    assert toxicity.telling_spans([b" the same long text " + bytes([97 + k]) for k in range(26)], cut[1]) == []
+
+
+def test_toxicity_score_equals_a_plain_one(spark):
+    import zstandard
+
+    rows, marks = labelled(spark)
+    docs = documents(spark, rows, clash=True)
+    model = toxicity.fit(*labels.sample(docs, marks, "toxic", 4, 2))
+    assert model.weights and model.thresholds[0] < model.thresholds[1]
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False)
+    plain, both = (zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(
+        d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (model.ordinary, model.toxic + model.ordinary))
+
+    def plain_score(text):
+        words = (text or "").lower().split()
+        cut = [f" {' '.join(words[i:i + toxicity.WINDOW_WORDS])} ".encode() for i in range(0, len(words), toxicity.WINDOW_WORDS)]
+        cut = [w[k:k + toxicity.WINDOW_BYTES] for w in cut for k in range(0, len(w), toxicity.WINDOW_BYTES)]
+        saved = sorted(len(plain.compress(w)) - len(both.compress(w)) for w in cut)
+        n, x = len(cut), [0.0] * 9
+        if n:
+            over = [sum(s >= t for s in saved) for t in model.thresholds]
+            x = [sum(saved) / n, saved[-1], sum(saved[-2:]) / len(saved[-2:]), sum(max(s - 2, 0) for s in saved) / n,
+                 np.log1p(n), over[0] / n, over[1] / n, np.log1p(over[0]), np.log1p(over[1])]
+        odds = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+    for r in toxicity.score(docs, model).sample(0.3, seed=1).collect():
+        assert r.score == pytest.approx(plain_score(r.text), abs=1e-9)
+        assert r.predicted == (r.score >= 0.3)
