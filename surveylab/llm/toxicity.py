@@ -19,6 +19,7 @@ class the score is the share of toxic rows, or 0 if there are none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -47,6 +48,8 @@ RUN, BESIDE = 7, 6
 PLACES, TIMES, SURPRISE = 12, 6.0, 60.0
 #: A run that stands in less than this share of the places of one overlapping it is chance beside that one.
 SHARE = 0.5
+#: Windows and share of the runs that are looked at together.
+SLICE_WINDOWS, PARTS = 4096, 8
 #: Thresholds to calibrate: saved bytes that a window may be asked for.
 THRESHOLDS = tuple(range(2, 9))
 PREDICT_FROM = 0.3
@@ -71,17 +74,28 @@ def _packed(text: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _runs(sample: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined windows; for each place the run there, what stands before and after it, and if it is in a window."""
+def _runs(sample: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the joined windows; for each place the run there, what stands before and after it, and if it is in a
+    window."""
     gap = b"\n" * max(RUN, BESIDE)  # windows have no line ends
-    joined = gap + gap.join(sample) + gap + gap
-    text = np.frombuffer(joined, "uint8")
-    runs, beside = _packed(text, RUN), _packed(text, BESIDE)
-    before, after = np.zeros(len(runs), "uint64"), np.zeros(len(runs), "uint64")
-    before[BESIDE:] = beside[:len(runs) - BESIDE]
-    after[:len(beside) - RUN] = beside[RUN:]
-    gaps = np.concatenate([[0], np.cumsum(text == 10, dtype="int32")])
-    return joined, runs, before, after, gaps[RUN:] == gaps[:-RUN]
+    for k in range(0, len(sample), SLICE_WINDOWS):
+        joined = gap + gap.join(sample[k:k + SLICE_WINDOWS]) + gap + gap
+        text = np.frombuffer(joined, "uint8")
+        runs, beside = _packed(text, RUN), _packed(text, BESIDE)
+        before, after = np.zeros(len(runs), "uint64"), np.zeros(len(runs), "uint64")
+        before[BESIDE:] = beside[:len(runs) - BESIDE]
+        after[:len(beside) - RUN] = beside[RUN:]
+        gaps = np.concatenate([[0], np.cumsum(text == 10, dtype="int32")])
+        yield joined, runs, before, after, gaps[RUN:] == gaps[:-RUN]
+
+
+def _standing(sample: list[bytes], chosen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs inside of windows that ``chosen`` picks, with what stands before and after them."""
+    found = []
+    for _, runs, before, after, inside in _runs(sample):
+        at = np.flatnonzero(inside & chosen(runs))
+        found.append((runs[at], before[at], after[at]))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _places(runs: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,18 +109,23 @@ def _places(runs: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def telling_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """The spans of the toxic windows that set them apart from ordinary ones, each as often as it stands there."""
-    joined, runs, before, after, inside = _runs(toxic)
-    kinds, a = _places(runs[inside], before[inside])
-    a = np.minimum(a, _places(runs[inside], after[inside])[1])
-    kinds, a = kinds[a >= PLACES], a[a >= PLACES].astype(float)
+    # Part by part and slice by slice, so that the driver holds a few arrays of a part of the sample's size.
+    parts = []
+    for part in range(PARTS):
+        runs, before, after = _standing(toxic, lambda r: r % np.uint64(PARTS) == part)
+        found, n = _places(runs, before)
+        n = np.minimum(n, _places(runs, after)[1])
+        parts.append((found[n >= PLACES], n[n >= PLACES]))
+    kinds, a = map(np.concatenate, zip(*parts))
+    order = np.argsort(kinds)
+    kinds, a = kinds[order], a[order].astype(float)
     if not len(kinds):
         return []
-    _, o_runs, o_before, o_after, o_inside = _runs(ordinary)
-    t_all, o_all = inside.sum(), max(1, o_inside.sum())
-    known = o_inside & np.isin(o_runs, kinds)
+    t_all, o_all = (max(1, sum(int(w[4].sum()) for w in _runs(sample))) for sample in (toxic, ordinary))
+    runs, *sides = _standing(ordinary, lambda r: np.isin(r, kinds))
     b = np.zeros(len(kinds))
-    for beside in (o_before, o_after):
-        found, n = _places(o_runs[known], beside[known])
+    for beside in sides:
+        found, n = _places(runs, beside)
         at = np.searchsorted(kinds, found)
         b[at] = np.maximum(b[at], n)
     share = t_all / (t_all + o_all)
@@ -115,16 +134,19 @@ def telling_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     kinds, a = kinds[telling], a[telling]
     if not len(kinds):
         return []
-    at = np.minimum(np.searchsorted(kinds, runs), len(kinds) - 1)
-    places = np.where(inside & (kinds[at] == runs), a[at], 0)
-    most = np.lib.stride_tricks.sliding_window_view(np.pad(places, RUN - 1), 2 * RUN - 1).max(1)
-    starts = np.flatnonzero((places > 0) & (places >= SHARE * most))
-    edges = np.zeros(len(joined) + 1, int)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + RUN, -1)
-    covered = np.concatenate([[False], np.cumsum(edges) > 0])
-    turns = np.flatnonzero(covered[1:] != covered[:-1])
-    return [joined[i:j] for i, j in zip(turns[::2], turns[1::2])]
+    spans = []
+    for joined, runs, _, _, inside in _runs(toxic):
+        at = np.minimum(np.searchsorted(kinds, runs), len(kinds) - 1)
+        places = np.where(inside & (kinds[at] == runs), a[at], 0)
+        most = np.lib.stride_tricks.sliding_window_view(np.pad(places, RUN - 1), 2 * RUN - 1).max(1)
+        starts = np.flatnonzero((places > 0) & (places >= SHARE * most))
+        edges = np.zeros(len(joined) + 1, int)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + RUN, -1)
+        covered = np.concatenate([[False], np.cumsum(edges) > 0])
+        turns = np.flatnonzero(covered[1:] != covered[:-1])
+        spans += [joined[i:j] for i, j in zip(turns[::2], turns[1::2])]
+    return spans
 
 
 def _dictionary(size: int, sample: list[bytes], **settings) -> bytes:

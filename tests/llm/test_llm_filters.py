@@ -311,13 +311,15 @@ def plain_spans(toxic, ordinary):
     return out
 
 
-def test_telling_spans_equal_a_plain_search(spark):
+def test_telling_spans_equal_a_plain_search(spark, monkeypatch):
     rows, marks = labelled(spark)
     toxic = {r.doc_id for r in marks.where("toxic = 1").collect()}
     cut = [list(dict.fromkeys(w for i, t in enumerate(rows) if (i in toxic) == c for w in toxicity.windows(t, 16)))
            for c in (True, False)]
     got = toxicity.telling_spans(*cut)
     assert got == plain_spans(*cut) and any(b"scoundrel" in s for s in got)
+    monkeypatch.setattr(toxicity, "SLICE_WINDOWS", 7)
+    assert toxicity.telling_spans(*cut) == got
     assert toxicity.telling_spans([b" a "], [b" b "]) == toxicity.telling_spans(cut[1], cut[1]) == []
     # Copies of one text are one place.
     assert toxicity.telling_spans([b" the same long text " + bytes([97 + k]) for k in range(26)], cut[1]) == []
