@@ -37,3 +37,19 @@ def test_small_groups_nulls_and_infinities(spark):
 def test_all_null_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
+
+
+def test_rows_are_not_dealt_by_group(spark):
+    """Few groups: the brackets go to the rows, so that no task gets a whole group."""
+    from surveylab.operators.stats import boxplot_stats
+    df = spark.range(30_000).selectExpr("id % 3 AS g", "CAST(id * 7919 % 30011 AS DOUBLE) AS v")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        # Plans as at size: the rows themselves are too many to be sent, a row per group is not.
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+        for out in (quantiles_by(df, ["g"], "v", [0.5]), boxplot_stats(df, "v", "g")):
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
