@@ -189,12 +189,17 @@ def tier_shift(sim: DataFrame, threshold: float = 35.0, by: str = "package_id")
 def diff_rows(orig: DataFrame, new: DataFrame, key, cols: Sequence[str], labels: dict | None = None) -> DataFrame:
     """SIM6: (key, feature, from, to) for every changed column (NULL-safe)."""
     keys = [key] if isinstance(key, str) else list(key)
-    a = orig.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot(keys, list(cols), "feature", "from")
+    cols = list(cols)
+    # The rows are joined as they are and their columns laid out afterwards: a long table would be dealt by key and feature.
+    a = orig.select(*keys, *[F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(cols)])
     extra = [k for k in new.columns if k == "cf_id"]
-    b = new.select(*keys, *extra, *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot(keys + extra, list(cols), "feature", "to")
-    j = a.join(b, on=keys + ["feature"], how="inner").filter(~F.col("from").eqNullSafe(F.col("to")))
+    b = new.select(*keys, *extra, *[F.col(c).cast("double").alias(f"__t{i}") for i, c in enumerate(cols)])
+    pairs = F.array_compact(F.array(*[
+        F.when(~F.col(f"__f{i}").eqNullSafe(F.col(f"__t{i}")),
+               F.struct(F.lit(c).alias("feature"), F.col(f"__f{i}").alias("from"), F.col(f"__t{i}").alias("to")))
+        for i, c in enumerate(cols)]))
+    j = (a.join(b, on=keys, how="inner").select(*keys, *extra, F.explode(pairs).alias("__p"))
+         .select(*keys, F.col("__p.feature"), F.col("__p.from"), *extra, F.col("__p.to")))
     if labels:
         m = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
         j = j.withColumn("feature", F.coalesce(F.element_at(m, F.col("feature")), F.col("feature")))
