@@ -34,3 +34,11 @@ def test_differences_are_joined_by_key_alone(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(
         [(1, "second", None, 7, 4.0), (1, "x", 2.0, 7, 1.0), (1, "second", 5.0, 7, 4.0), (2, "second", 3.0, 8, None)], key=repr)
     assert "feature" not in "".join(x for x in _plan(out).splitlines() if "Join" in x or "Exchange" in x)
+def test_scores_are_cut_by_range_without_a_list_of_borders_in_each_row(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.random(), rnd.randrange(2)) for _ in range(600)] + [(0.5, 1), (0.5, 0), (None, 1)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    pos, neg = ([s for s, y in rows if y == k and s is not None] for k in (1, 0))
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert metrics.roc_auc(df, "p", "y", per_bucket=20).first()["auc"] == pytest.approx(want)
+    assert "aggregate(" not in _plan(metrics._score_counts(df, "p", "y", per_bucket=20))
