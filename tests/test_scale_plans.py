@@ -42,3 +42,15 @@ def test_scores_are_cut_by_range_without_a_list_of_borders_in_each_row(spark):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert metrics.roc_auc(df, "p", "y", per_bucket=20).first()["auc"] == pytest.approx(want)
     assert "aggregate(" not in _plan(metrics._score_counts(df, "p", "y", per_bucket=20))
+
+
+def test_names_are_sent_to_the_rows(spark, table):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = spark.createDataFrame([("a", "first")], "feature_code string, feature_name string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = feature_labels(attribute_linear(table, "id", _FEATURES, _SCORER, table), names)
+        assert "BroadcastHashJoin" in _plan(out) and "SortMergeJoin" not in _plan(out)
+        assert {r.feature_code: r.feature_name for r in out.collect()} == {"a": "first", "b": "b", "c": "c", "d": "d"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
