@@ -44,3 +44,15 @@ def test_few_rows_repeated_rows_and_no_rows(spark):
     m = KMeansDistance(inputCols=["a", "absent"], k=5, restarts=2).fit(df)
     assert m.getOrDefault(m.k) == 3 and set(m.getOrDefault(m.centre)) == {1.0, 4.0}
     assert KMeansDistance(inputCols=["a"], k=2).fit(df.limit(0)).transform(df).columns == ["a"]
+
+
+def test_rounds_need_no_sort_of_the_rows_and_no_expression_for_each_centre(spark, monkeypatch):
+    """A round is one pass in numpy over a task's rows, the starts are the least rows of each task."""
+    import pyspark.sql.classic.dataframe as frames
+    plans = []
+    collect = frames.DataFrame.collect
+    monkeypatch.setattr(frames.DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    df = spark.range(500).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b").repartition(4)
+    KMeansDistance(inputCols=["a", "b"], k=3, restarts=2, maxIter=2).fit(df)
+    assert plans and not [p for p in plans if "lambdafunction" in p or "WindowGroupLimit" in p]
+    assert sum("TakeOrderedAndProject" in p for p in plans) == 1 and any("MapInArrow" in p for p in plans)
