@@ -74,6 +74,8 @@ def attribute(df: DataFrame, key, features: Sequence[str], scorer, background: D
           .groupBy("__block").agg(F.collect_list("b").alias("__bs")))
     x = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in feats],
                   F.array(*[F.col(c).cast("double") for c in feats]).alias("__attr_x"))
+    if blocks > 1:  # the work follows rows x background: few rows in one file are more than one task's work
+        x = x.repartition(min(blocks, 1000), *keys)
     # permutation: features sorted by a seeded draw; pos_j = position of feature j
     x = x.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = F.array_sort(F.array(*[F.struct(uniform(seed, *keys, F.col("perm"), F.lit(j)).alias("u"),

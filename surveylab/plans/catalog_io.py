@@ -165,8 +165,7 @@ _SHAP_COEFS = {"s_nationkey": 0.7, "s_acctbal": -0.002, "s_digits": 0.3}
 @register("attribution_margin_supplier", ids=("EXP1", "EXP8", "EXP2"), sql=f"""
 WITH f AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS s_nationkey, CAST(s_acctbal AS DOUBLE) AS s_acctbal,
                   CAST(s_suppkey % 10 AS DOUBLE) AS s_digits FROM supplier),
-b AS (SELECT avg(s_nationkey) AS s_nationkey, avg(s_acctbal) AS s_acctbal, avg(s_digits) AS s_digits
-      FROM (SELECT * FROM f ORDER BY """ + sql_uniform(42, ["s_suppkey"]) + """, s_suppkey LIMIT 50))
+b AS (SELECT avg(s_nationkey) AS s_nationkey, avg(s_acctbal) AS s_acctbal, avg(s_digits) AS s_digits FROM f)
 """ + "\nUNION ALL ".join(
     f"SELECT f.s_suppkey, '{c}' AS feature_code, round(f.{c}, {DP}) AS value, round({w} * (f.{c} - b.{c}), 4) AS shap_value FROM f, b"
     for c, w in _SHAP_COEFS.items()))
@@ -174,6 +173,7 @@ def q_margin(spark, sf):
     f = table(spark, sf, "supplier").select(
         "s_suppkey", F.col("s_nationkey").cast("double").alias("s_nationkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"),
         (F.col("s_suppkey") % 10).cast("double").alias("s_digits"))
+    # The background is the whole table: every row against every row.
     a = attribute(f, "s_suppkey", list(_SHAP_COEFS), _Margin(LinearScorer(_SHAP_COEFS, intercept=0.1)),
-                  stats.sample_n(f, 50, 42, "s_suppkey"), permutations=2)
+                  f, permutations=2)
     return a.select("s_suppkey", "feature_code", F.round("value", DP).alias("value"), F.round("shap_value", 4).alias("shap_value"))

@@ -54,3 +54,17 @@ def test_names_are_sent_to_the_rows(spark, table):
         assert {r.feature_code: r.feature_name for r in out.collect()} == {"a": "first", "b": "b", "c": "c", "d": "d"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_margin_attribution_is_against_the_whole_supplier_table(spark, tmp_path):
+    from surveylab.plans.catalog_io import _SHAP_COEFS, q_margin
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(25), round(rnd.uniform(-900, 9000), 2)) for i in range(1, 121)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    values = [{"s_nationkey": float(n), "s_acctbal": a, "s_digits": float(k % 10)} for k, n, a in rows]
+    mean = {c: sum(v[c] for v in values) / len(values) for c in _SHAP_COEFS}
+    got = {(r.s_suppkey, r.feature_code): r.shap_value for r in q_margin(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 * len(rows)
+    for (key, _, _), v in zip(rows, values):
+        for c, w in _SHAP_COEFS.items():
+            assert got[key, c] == pytest.approx(w * (v[c] - mean[c]), abs=1e-4)
