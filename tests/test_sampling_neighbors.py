@@ -71,6 +71,26 @@ def test_knn_exact_with_hot_duplicate_group(spark):
     assert got2 == exp
 
 
+def test_knn_by_columns_in_blocks_equals_plain_search(spark):
+    """More dimensions than columns, cells that a query passes over, ids that repeat, vectors without a number."""
+    rng = np.random.default_rng(3)
+    for dims, block in ((70, 16), (3, 8)):
+        x = np.repeat(rng.normal(0, 9, (12, dims)), 15, axis=0) + rng.normal(0, 1, (180, dims))
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+        odd = spark.createDataFrame([(900, None), (901, [float("nan")] * dims), (902, [None] * dims)], df.schema)
+        nn = knn(df, df.union(odd).withColumnRenamed("id", "t"), "id", "t", "v", k=4, block=block, pivots=60)
+        got = {}
+        for r in nn.orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.t)
+            assert math.isclose(r.distance, float(np.linalg.norm(x[r.id] - x[r.t])), rel_tol=1e-12)
+        assert got == _brute([(i, r.tolist()) for i, r in enumerate(x)], 4)
+        # an id that stands twice counts twice, the query's own id for nothing
+        twice = knn(df.where("id = 0"), df.union(df).withColumnRenamed("id", "t"), "id", "t", "v", k=4, block=block)
+        assert [r.t for r in twice.orderBy("rank").collect()] == [t for t in got[0][:2] for _ in range(2)]
+    plan = nn._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with(" not in plan  # distances are compiled
+
+
 def test_knn_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [3.0])], "id long, v array<double>")
     nn = knn(df, df.withColumnRenamed("id", "t"), "id", "t", "v", k=5, pivots=2)
