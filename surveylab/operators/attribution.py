@@ -148,9 +148,42 @@ def _by_size(arr: str):
         a["shap_value"].alias("shap_value"), a["value"].alias("value"))))
 
 
-def explain_arrays(wide: DataFrame, key, top: int = 10, side: int = 5, arr: str = "attribution") -> DataFrame:
-    """EXP5 from one row per key with an attribution array: ranked inside the row, no shuffle."""
+def _ordered(wide: DataFrame, keys: list[str], n: int, arr: str) -> DataFrame:
+    """keys, the n attributions of a row as struct columns ``__a0``… in the order of :func:`_size_order` and their sizes
+    ``__s0``…: the native array sort and plain columns, no function called for each element."""
+    order = F.sort_array(F.array(*[F.struct(
+        F.col(arr)[i]["shap_value"].isNull().alias("last"), (-F.round(F.abs(F.col(arr)[i]["shap_value"]), 9)).alias("o"),
+        F.col(arr)[i]["feature_code"].alias("feature_code"), F.lit(i).alias("i"), F.col(arr)[i]["value"].alias("value"),
+        F.col(arr)[i]["shap_value"].alias("shap_value")) for i in range(n)]))
+    return (wide.select(*keys, order.alias("__s"))
+            .select(*keys, *[F.col("__s")[i].alias(f"__a{i}") for i in range(n)])
+            .select("*", *[F.col(f"__a{i}.shap_value").alias(f"__s{i}") for i in range(n)]))
+
+
+def explain_arrays(wide: DataFrame, key, top: int = 10, side: int = 5, arr: str = "attribution",
+                   features: Sequence[str] | None = None) -> DataFrame:
+    """EXP5 from one row per key with an attribution array: ranked inside the row, no shuffle.
+
+    With the ``features`` of the array (their number is what counts) the ranks are plain columns, which Spark compiles.
+    """
     keys = _keys(key)
+    if features is not None:
+        n = len(features)
+        rows = _ordered(wide, keys, n, arr)
+        up = [F.coalesce((F.col(f"__s{i}") > 0).cast("int"), F.lit(0)) for i in range(n)]
+        down = [F.coalesce((F.col(f"__s{i}") < 0).cast("int"), F.lit(0)) for i in range(n)]
+        rows = rows.select("*", *[sum(x[1:i + 1], x[0]).alias(f"__{name}{i}") for name, x in (("up", up), ("down", down)) for i in range(n)])
+
+        entries = [F.struct(*[F.col(f"__a{i}")[c].alias(c) for c in ("feature_code", "value", "shap_value")], F.lit(i + 1).alias("t"),
+                            F.col(f"__up{i}").alias("p"), F.col(f"__down{i}").alias("n")) for i in range(n)]
+        item = lambda name, rk: F.struct(F.lit(name).alias("list"), rk.alias("rank"))
+        s = F.col("shap_value")
+        lists = F.array(F.when(F.col("t") <= top, item("top", F.col("t"))),
+                        F.when((s > 0) & (F.col("p") <= side), item("risk", F.col("p"))),
+                        F.when((s < 0) & (F.col("n") <= side), item("protective", F.col("n"))))
+        own = [*keys, "feature_code", "value", "shap_value"]
+        return (rows.select(*keys, F.explode(F.array(*entries)).alias("x")).select(*keys, "x.*")
+                .select(*own, F.explode(lists).alias("l")).filter(F.col("l").isNotNull()).select(*own, "l.list", "l.rank"))
     sides = {"top": (lambda x: x["o"].isNotNull(), top), "risk": (lambda x: x["shap_value"] > 0, side),
              "protective": (lambda x: x["shap_value"] < 0, side)}
 
@@ -193,9 +226,19 @@ def waterfall(attr: DataFrame, key, base: float | None = None, base_df: DataFram
             .withColumn("running_total", b + F.sum("shap_value").over(w.rowsBetween(Window.unboundedPreceding, 0))))
 
 
-def waterfall_arrays(wide: DataFrame, key, base, arr: str = "attribution") -> DataFrame:
-    """EXP7 from one row per key with an attribution array: running totals inside the row, no shuffle."""
+def waterfall_arrays(wide: DataFrame, key, base, arr: str = "attribution", features: Sequence[str] | None = None) -> DataFrame:
+    """EXP7 from one row per key with an attribution array: running totals inside the row, no shuffle (``features`` as in
+    :func:`explain_arrays`)."""
     keys = _keys(key)
+    if features is not None:
+        n = len(features)
+        rows = _ordered(wide, keys, n, arr).withColumn("__t0", F.col("__s0"))
+        for i in range(1, n):  # a sum passes by nulls, which come last
+            rows = rows.withColumn(f"__t{i}", F.col(f"__t{i - 1}") + F.coalesce(F.col(f"__s{i}"), F.lit(0.0)))
+        entries = [F.struct(F.col(f"__a{i}.feature_code").alias("feature_code"), F.col(f"__a{i}.value").alias("value"),
+                            F.col(f"__a{i}.shap_value").alias("shap_value"), F.lit(i + 1).alias("step"),
+                            (F.lit(base) + F.col(f"__t{i}")).alias("running_total")) for i in range(n)]
+        return rows.select(*keys, F.explode(F.array(*entries)).alias("x")).select(*keys, "x.*")
     steps = F.transform("__s", lambda x, i: F.struct(
         x["feature_code"].alias("feature_code"), x["value"].alias("value"), x["shap_value"].alias("shap_value"),
         (i + 1).alias("step"),

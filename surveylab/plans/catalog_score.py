@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveylab.operators import metrics
-from surveylab.operators.attribution import (attribute_linear, base_value, explain, global_importance_arrays,
-                                             label_direction, waterfall)
+from surveylab.operators.attribution import (attribute_linear, base_value, explain_arrays, global_importance_arrays,
+                                             label_direction, waterfall_arrays)
 from surveylab.operators.features import FEATURE_NAMES, feature_labels
 from surveylab.operators.scoring import (BASE_RATE, KNEE_INDEX, REQUEST_CATEGORICAL, REQUEST_DEFAULTS,
                                          SHORT_FORM_FIELDS, SHORT_FORM_FIXED, TIERS, TOP_PROB, build_features, risk_worklist,
@@ -435,7 +435,7 @@ UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'risk' FROM
 UNION ALL SELECT {KEYS}, feature_code, round(shap_value, {DP}), rk, 'protective' FROM n WHERE rk <= 5
 """)
 def q_explain(spark, sf):
-    e = explain(_attr(spark, sf, rows=True), [*CHILD_KEY, "row_id"])
+    e = explain_arrays(_attr(spark, sf, wide=True), CHILD_KEY, features=SCORE_FEATURES)
     return e.select(*CHILD_KEY, "feature_code", F.round("shap_value", DP).alias("shap_value"),
                     F.col("rank").cast("bigint").alias("rank"), "list")
 
@@ -457,7 +457,7 @@ FROM att WINDOW w AS (PARTITION BY rid ORDER BY round(abs(shap_value), 9) DESC,
 def q_waterfall(spark, sf):
     f = _features_frame(spark, sf)
     base = f.select(F.avg(SCORER.margin(f))).first()[0]
-    w = waterfall(_attr(spark, sf, rows=True), [*CHILD_KEY, "row_id"], base)
+    w = waterfall_arrays(_attr(spark, sf, wide=True), CHILD_KEY, base, features=SCORE_FEATURES)
     return w.select(*CHILD_KEY, "feature_code", F.col("step").cast("bigint").alias("step"),
                     F.round("running_total", DP).alias("running_total"))
 

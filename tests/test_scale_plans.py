@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from conftest import SF001
 from surveylab.operators import metrics
 from surveylab.operators.attribution import attribute_linear
 from surveylab.operators.features import feature_labels
@@ -68,3 +71,19 @@ def test_margin_attribution_is_against_the_whole_supplier_table(spark, tmp_path)
     for (key, _, _), v in zip(rows, values):
         for c, w in _SHAP_COEFS.items():
             assert got[key, c] == pytest.approx(w * (v[c] - mean[c]), abs=1e-4)
+
+
+def test_explanations_and_waterfalls_are_ranked_in_the_row_by_columns(spark, table):
+    from surveylab.operators.attribution import explain, explain_arrays, waterfall, waterfall_arrays
+    rows = table.withColumn("row_id", F.monotonically_increasing_id()).localCheckpoint()
+    long, wide = (attribute_linear(rows, ["id", "row_id"], _FEATURES, _SCORER, rows, wide=w) for w in (False, True))
+    key = ["id", "row_id"]
+    got = explain_arrays(wide, key, top=3, side=1, features=_FEATURES)
+    want = explain(long, key, top=3, side=1)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    steps, plain = waterfall_arrays(wide, key, 0.25, features=_FEATURES), waterfall(long, key, 0.25)
+    assert sorted(map(tuple, steps.select(plain.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    for name in ("explain_top_features", "waterfall_linear"):
+        import __spark_entry__ as E
+        plan = _plan(E.queries()[name](spark, SF001))
+        assert "Window" not in plan and "lambda" not in plan.split("attribution")[0], name
