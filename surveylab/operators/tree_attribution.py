@@ -13,7 +13,8 @@ leaves instead of one scoring for every coalition.
 The fitted trees are read as node tables, merged to one interval for each
 feature of a leaf's path. The background is reduced to the numbers of rows
 with the same conditions met, leaf by leaf. Both are bounded by the model
-(trees x leaves) and the background, and are joined to the rows by tree.
+(trees x leaves) and the background, and go to the rows; a batch of rows
+passes each leaf as arrays.
 """
 
 from __future__ import annotations
@@ -22,12 +23,17 @@ import math
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveylab.session import checkpoint_dir
 
+#: Leaves that one task goes through for its rows, and most tasks.
+TASK_LEAVES, MOST_TASKS = 20_000_000, 512
 #: Spark's tree learners: the trees' share in the model's output.
 _KINDS = {"DecisionTreeClassificationModel": "one", "RandomForestClassificationModel": "mean",
           "GBTClassificationModel": "sum"}
@@ -105,6 +111,50 @@ def _placed(df: DataFrame, cols: list, order: list[str], prep: PipelineModel, pa
     return rows.join(F.broadcast(paths), "tree").withColumn("met", F.expr(_MET)).drop("v", "above", "upto", "tree")
 
 
+def _shares(known: list[tuple], dims: int):
+    """Per row and feature, the sum over all leaves of the feature's share in the leaf's value; the background rows with the
+    same conditions met count together, and so do the rows of a batch."""
+    fact = math.factorial
+    most = max(2, dims) + 1
+    # By n1 and n0: the weight of a feature that must come from the row, and of one that must come from the background.
+    own, other = ([[fact(a - mine) * fact(c - 1 + mine) / fact(a + c) if (a if mine else c) else 0.0 for c in range(most)]
+                   for a in range(most)] for mine in (1, 0))
+
+    def run(batches):
+        from_row, from_background = np.array(own), np.array(other)
+        leaves_ = [(fs, lo, hi, value, np.array(met, "i8"), np.array(n, "f8")) for fs, lo, hi, value, met, n in known]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("v").flatten()
+            x = flat.to_numpy(zero_copy_only=False).reshape(-1, dims).T.copy()
+            nan = np.isnan(x) & flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, dims).T
+            total = np.zeros((dims, batch.num_rows))
+            for fs, lo, hi, value, others, n in leaves_:
+                met = np.zeros(batch.num_rows, "i8")
+                for i, f in enumerate(fs):
+                    # NaN comes last
+                    inside = (x[f] > lo[i]) | nan[f] if math.isnan(hi[i]) else (x[f] > lo[i]) & (x[f] <= hi[i])
+                    met |= inside.astype("i8") << i
+                kinds, at = np.unique(met, return_inverse=True)
+                m, o = kinds[:, None], others[None, :]
+                mine, theirs = m & ~o, o & ~m
+                bits = np.arange(len(fs))[:, None, None]
+                mine, theirs = (mine >> bits & 1).astype(bool), (theirs >> bits & 1).astype(bool)
+                n1, n0 = mine.sum(0), theirs.sum(0)
+                live = ((m | o) == (1 << len(fs)) - 1) * n
+                part = value * (mine * (from_row[n1, n0] * live) - theirs * (from_background[n1, n0] * live)).sum(2)
+                for i, f in enumerate(fs):
+                    total[f] += part[i][at]
+            take = np.repeat(np.arange(batch.num_rows), dims)
+            codes = np.tile(np.arange(dims, dtype="i4"), batch.num_rows)
+            keys = [batch.column(c).take(pa.array(take)) for c in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(codes), pa.array(total.T.ravel())],
+                                             names=[*batch.schema.names[:-1], "j", "d"])
+
+    return run
+
+
 def attribute_trees(df: DataFrame, key, features: Sequence[str], model: PipelineModel, background: DataFrame) -> DataFrame:
     """EXP8: exact Shapley values of a fitted tree model against a background (a bounded sample).
 
@@ -123,22 +173,16 @@ def attribute_trees(df: DataFrame, key, features: Sequence[str], model: Pipeline
         raise ValueError("the background has no rows")
     seen = (_placed(background, [], order, prep, paths).groupBy("leaf", "met").agg(F.count("*").alias("n"))
             .groupBy("leaf").agg(F.collect_list(F.struct("met", "n")).alias("others")))
-    known = paths.join(seen, "leaf")
-    full = "(shiftleft(1L, size(features)) - 1)"
-    live = f"filter(others, o -> (met | o.met) = {full} and met <> o.met)"
-    most = max(2, len(order)) + 1
-    fact = math.factorial
-    # By n1 and n0: the weight of a feature that must come from the row, and of one that must come from the background.
-    own, other = ([f"{(fact(a - 1) * fact(c) if mine else fact(a) * fact(c - 1)) / fact(a + c)}D" if (a if mine else c) else "0D"
-                   for a in range(most) for c in range(most)] for mine in (True, False))
-    place = f"bit_count(met & ~o.met) * {most} + bit_count(o.met & ~met)"
-    part = f"""transform(features, (f, i) -> named_struct('j', f, 'd', value * aggregate(others, 0D, (s, o) -> s + o.n * case
-        when (met & ~o.met & shiftleft(1L, i)) <> 0 then array({', '.join(own)})[{place}]
-        when (o.met & ~met & shiftleft(1L, i)) <> 0 then -array({', '.join(other)})[{place}] else 0D end)))"""
-    reached = (_placed(df, keys, order, prep, known.where("value <> 0"))
-               .withColumn("others", F.expr(live)).where(F.size("others") > 0))
-    sums = (reached.select(*keys, F.explode(F.expr(part)).alias("e")).groupBy(*keys, "e.j")
-            .agg((F.sum("e.d") / F.lit(float(n))).alias("shap_value")))
+    # As many rows as the model has leaves; they travel with the function below.
+    known = [(r["features"], r["above"], r["upto"], r["value"], [o["met"] for o in r["others"]], [o["n"] for o in r["others"]])
+             for r in paths.where("value <> 0").join(seen, "leaf").orderBy("leaf").collect()]
+    vector = F.array(*[F.col(f"`{c}`").cast("double") for c in order])
+    rows = prep.transform(df).select(*keys, vector.alias("v"))
+    tasks = int(min(MOST_TASKS, max(1, df.count() * len(known) // TASK_LEAVES)))
+    # The few bytes of the rows are much work: they are dealt by it.
+    reached = rows.repartition(tasks).mapInArrow(_shares(known, len(order)), T.StructType(
+        [*rows.schema.fields[:-1], T.StructField("j", T.IntegerType()), T.StructField("d", T.DoubleType())]))
+    sums = reached.groupBy(*keys, "j").agg((F.sum("d") / F.lit(float(n))).alias("shap_value"))
     every = df.select(*keys, F.posexplode(F.array(*[F.struct(F.lit(c).alias("feature_code"),
                                                              F.col(f"`{c}`").cast("double").alias("value"))
                                                     for c in order])).alias("j", "x")).select(*keys, "j", "x.*")

@@ -1,5 +1,6 @@
 """Exact attribution of tree models against full enumeration of the coalitions."""
 
+import re
 from itertools import combinations
 from math import factorial
 
@@ -87,3 +88,18 @@ def test_sampled_attribution_takes_a_fitted_pipeline(spark, data):
     assert got.count() == 3
     with pytest.raises(ValueError, match="in the way"):
         ModelScorer(model).score(rows.withColumn("__model_vector", F.lit(1)))
+
+
+def test_rows_are_dealt_by_the_leaves_they_pass(spark, data, monkeypatch):
+    """A table of few bytes is many rows times leaves: it goes to several tasks, and repeated keys still count together."""
+    from surveylab.operators import tree_attribution
+
+    model = fit(ModelSpec("rf", "rf", {"numTrees": 4, "maxDepth": 4}), data, FEATURES, "y")
+    rows, bg = data.where("id < 40").coalesce(1), data.where("id % 57 = 0")
+    one = {(r["id"], r["feature_code"]): r["shap_value"] for r in attribute_trees(rows, "id", FEATURES, model, bg).collect()}
+    monkeypatch.setattr(tree_attribution, "TASK_LEAVES", 100)
+    got = attribute_trees(rows.unionByName(rows.where("id = 3")), "id", FEATURES, model, bg)
+    tasks = re.findall(r"RoundRobinPartitioning\((\d+)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert tasks and int(tasks[0]) > 5
+    for r in got.collect():
+        assert r["shap_value"] == pytest.approx(one[r["id"], r["feature_code"]] * (2 if r["id"] == 3 else 1), abs=1e-12)
