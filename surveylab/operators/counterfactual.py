@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from surveylab.functions.expr import nan_to_null
 from surveylab.operators.quantiles import exact_quantiles
+from surveylab.session import kept
 
 #: A column with more distinct values than this is drawn from its quantiles (numbers) or its most frequent levels (text).
 MOST_LEVELS = 64
@@ -121,17 +122,25 @@ def search(df: DataFrame, key, scorer, immutable: Sequence[str], n: int = 2, dra
     :func:`players` of ``df``; a NULL that is changed counts 1.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if learnt is None:
+        df = kept(df)  # read several times: the input's own plan (a join, say) runs once
     own = players(df, keys, immutable) if learnt is None else learnt
     base = scorer.score(derive(df) if derive is not None else df)
     hot = base.filter(F.col(scorer.prob_col) > p_min).select(*[f"`{c}`" for c in df.columns])
     fan = hot.withColumn("cf_id", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in keys], F.col("cf_id").cast("string"))
     fan = fan.withColumns({f"__h{b}": F.md5(F.concat(text, F.lit(f":{b}"))) for b in range(-(-2 * len(own) // _NUMBERS))})
+    fan = fan.withColumns({f"__u{i}": _number(2 * i + 1) for i in range(len(own))})
     new, changed, distance = {}, F.lit(0), F.lit(0.0)
     for i, p in enumerate(own):
         pick = _number(2 * i) < 0.5
-        at = F.size(F.filter(F.lit([u / p.upto[-1] for u in p.upto]), lambda u: u <= _number(2 * i + 1)))
-        level = F.element_at(F.lit(p.levels), at + 1)
+        # The first level whose share is above the number, as compiled comparisons.
+        level = F.lit(p.levels[-1])
+        if len(p.levels) > 1:
+            level = F.when(F.col(f"__u{i}") < p.upto[0] / p.upto[-1], F.lit(p.levels[0]))
+            for u, v in zip(p.upto[1:-1], p.levels[1:-1]):
+                level = level.when(F.col(f"__u{i}") < u / p.upto[-1], F.lit(v))
+            level = level.otherwise(F.lit(p.levels[-1]))
         if len(p.columns) > 1 or p.columns[0] != p.name:
             was = [F.col(f"`{c}`").cast("double") for c in p.columns]
             to = [F.when(pick, (level == F.lit(c)).cast("double")).otherwise(w) for c, w in zip(p.columns, was)]

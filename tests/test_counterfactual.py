@@ -1,7 +1,10 @@
 """Counterfactuals over all mutable columns: what may change is learnt, groups move as one."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from conftest import SF001
 from surveylab.operators import counterfactual
 from surveylab.operators.scoring import LinearScorer
 
@@ -47,3 +50,30 @@ def test_found_rows_change_only_what_they_may(spark):
     again = counterfactual.search(df.repartition(7), "id", scorer, ["fixed"], n=3, draws=30, p_min=0.5, p_target=0.4).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert counterfactual.search(df.limit(0), "id", scorer, ["fixed"]).count() == 0
+
+
+def test_the_input_runs_once_and_no_method_is_too_long(spark):
+    """The players, the scores and the candidates read kept rows, not the input's join again; plans with many features run
+    operator by operator where Java would not compile them as one method."""
+    from surveylab.plans.survey import IMMUTABLE, SCORER, derive, survey_frame
+    from surveylab.plans.tables import CHILD_KEY
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    s = survey_frame(spark, SF001)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert "Join" in s._jdf.queryExecution().executedPlan().toString()
+    cf = counterfactual.search(s, CHILD_KEY, SCORER, [*IMMUTABLE, "area", "stunting_label"], draws=3, derive=derive)
+    assert "Join" not in cf._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_are_drawn_by_their_shares(spark):
+    c = counterfactual
+    df = spark.range(50).select("id", F.lit(1.0).alias("x"), F.lit("a").alias("t"))
+    learnt = [c.Player("x", ["x"], [1.0, 2.0, 3.0], [2.0, 3.0, 8.0]), c.Player("t", ["t"], ["b"], [4.0])]
+    rows = c.search(df, "id", LinearScorer({"x": 0.0}), [], n=10, draws=10, p_target=0.6, learnt=learnt).collect()
+    assert {r["t"] for r in rows} == {"a", "b"} and {r["x"] for r in rows} == {1.0, 2.0, 3.0}
+    for r in rows:
+        hashed = hashlib.md5(f"42:{r['id']}:{r['cf_id']}:0".encode()).hexdigest()
+        pick, at = (int(hashed[4 * i:4 * i + 4], 16) / 65536 for i in (0, 1))
+        want = 1.0 if pick >= 0.5 or at < 2 / 8 else 2.0 if at < 3 / 8 else 3.0
+        assert r["x"] == want
