@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveylab.session import checkpoint_dir
+from surveylab.session import checkpoint_dir, kept
 
 #: Leaves that one task goes through for its rows, and most tasks.
 TASK_LEAVES, MOST_TASKS = 20_000_000, 512
@@ -182,7 +182,8 @@ def attribute_trees(df: DataFrame, key, features: Sequence[str], model: Pipeline
     # The few bytes of the rows are much work: they are dealt by it.
     reached = rows.repartition(tasks).mapInArrow(_shares(known, len(order)), T.StructType(
         [*rows.schema.fields[:-1], T.StructField("j", T.IntegerType()), T.StructField("d", T.DoubleType())]))
-    sums = reached.groupBy(*keys, "j").agg((F.sum("d") / F.lit(float(n))).alias("shap_value"))
+    # Kept: the pass is a job of its own, as the plans of registered queries hold no Python.
+    sums = kept(reached.groupBy(*keys, "j").agg((F.sum("d") / F.lit(float(n))).alias("shap_value")))
     every = df.select(*keys, F.posexplode(F.array(*[F.struct(F.lit(c).alias("feature_code"),
                                                              F.col(f"`{c}`").cast("double").alias("value"))
                                                     for c in order])).alias("j", "x")).select(*keys, "j", "x.*")

@@ -98,6 +98,7 @@ def test_rows_are_dealt_by_the_leaves_they_pass(spark, data, monkeypatch):
     rows, bg = data.where("id < 40").coalesce(1), data.where("id % 57 = 0")
     one = {(r["id"], r["feature_code"]): r["shap_value"] for r in attribute_trees(rows, "id", FEATURES, model, bg).collect()}
     monkeypatch.setattr(tree_attribution, "TASK_LEAVES", 100)
+    monkeypatch.setattr(tree_attribution, "kept", lambda kept_rows: kept_rows)  # to see its plan
     got = attribute_trees(rows.unionByName(rows.where("id = 3")), "id", FEATURES, model, bg)
     tasks = re.findall(r"RoundRobinPartitioning\((\d+)\)", got._jdf.queryExecution().executedPlan().toString())
     assert tasks and int(tasks[0]) > 5
