@@ -53,3 +53,11 @@ def test_rows_are_not_dealt_by_group(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_brackets_are_compared_by_compiled_code(spark):
+    """Functions over arrays run interpreted, for each row of the table."""
+    df = spark.range(2_000).selectExpr("id % 3 AS g", "CAST(id * 7919 % 2003 AS DOUBLE) AS v")
+    for probs in ([0.5], [0.1, 0.5, 0.9]):
+        plan = quantiles_by(df, ["g"], "v", probs)._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan

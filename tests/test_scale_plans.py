@@ -87,3 +87,16 @@ def test_explanations_and_waterfalls_are_ranked_in_the_row_by_columns(spark, tab
         import __spark_entry__ as E
         plan = _plan(E.queries()[name](spark, SF001))
         assert "Window" not in plan and "lambda" not in plan.split("attribution")[0], name
+
+
+def test_a_joins_tasks_get_parts_of_bounded_size(spark):
+    from surveylab.session import PART_MB, plan_settings
+    part = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(part)
+    try:
+        for had, want in (("64m", f"{PART_MB}m"), ("67108864b", f"{PART_MB}m"), ("64MB", f"{PART_MB}m"), ("1g", f"{PART_MB}m"),
+                          ("8m", "8m"), ("4096", "4096")):
+            spark.conf.set(part, had)
+            assert plan_settings(spark).conf.get(part) == want
+    finally:
+        spark.conf.set(part, before)
