@@ -91,6 +91,28 @@ def test_knn_by_columns_in_blocks_equals_plain_search(spark):
     assert "aggregate(" not in plan and "zip_with(" not in plan  # distances are compiled
 
 
+def test_knn_plans_do_not_grow_with_the_vectors_and_tiles_find_all(spark, monkeypatch):
+    """64 columns for each side of a pair once filled the driver's memory; parts of queries meet all blocks of targets."""
+    from surveylab.operators import neighbors
+    plans = []
+
+    def seen(df, keep=neighbors.kept):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(neighbors, "kept", seen)
+    monkeypatch.setattr(neighbors, "PART", 40)
+    x = np.random.default_rng(7).normal(0, 1, (90, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+    nn = knn(df, df.withColumnRenamed("id", "t"), "id", "t", "v", k=4, block=16)
+    got = {}
+    for r in nn.orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.t)
+    assert got == _brute([(i, r.tolist()) for i, r in enumerate(x)], 4)
+    plans.append(nn._jdf.queryExecution().optimizedPlan().toString())
+    assert max(map(len, plans)) < 15_000
+
+
 def test_knn_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [3.0])], "id long, v array<double>")
     nn = knn(df, df.withColumnRenamed("id", "t"), "id", "t", "v", k=5, pivots=2)
