@@ -113,6 +113,19 @@ def test_knn_plans_do_not_grow_with_the_vectors_and_tiles_find_all(spark, monkey
     assert max(map(len, plans)) < 15_000
 
 
+def test_knn_classes_of_long_vectors_without_a_long_plan(spark):
+    from surveylab.operators.modeling import knn_classify
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (80, 64)), rng.integers(0, 2, 80)
+    df = spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, v array<double>, y int")
+    out = knn_classify(df.where("id >= 20"), df.where("id < 20"), "id", "id", "v", "y", k=5)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 15_000
+    got = {r.id: r.p for r in out.collect()}
+    for i in range(20):
+        near = np.argsort(np.linalg.norm(x[20:] - x[i], axis=1))[:5] + 20
+        assert math.isclose(got[i], y[near].mean())
+
+
 def test_knn_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [3.0])], "id long, v array<double>")
     nn = knn(df, df.withColumnRenamed("id", "t"), "id", "t", "v", k=5, pivots=2)
