@@ -1,11 +1,10 @@
 """Feature attribution (EXP1-EXP7; exact attribution of tree models, EXP8, is in ``tree_attribution``).
 
-EXP1 is a sampled-permutation Shapley estimate computed as one Spark plan:
-rows × permutations × background rows × (features + 1) coalition points are
-generated with ``explode`` (the background is joined in blocks of rows), scored
-in one batch, and the marginal contributions summed with one ``groupBy``. For every
-(row, permutation, background row) the contributions telescope, so the
-attributions sum exactly to score(x) − mean background score.
+EXP1 is a sampled-permutation Shapley estimate: the coalition points of all
+rows and permutations (each distinct one once) meet the whole background in
+blocks, are scored in one batch, and the marginal contributions are summed with
+one ``groupBy``. For every (row, permutation) the contributions telescope, so
+the attributions sum to score(x) − mean background score.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveylab.functions.expr import round_half_away, uniform
+from surveylab.session import kept
 
 NEUTRAL_EPS = 0.01  # fixed value: |contribution| above this is 'increases'/'reduces'
 
@@ -50,54 +50,79 @@ def attribute_linear(df: DataFrame, key, features: Sequence[str], scorer, backgr
     return df.select(*keys, F.explode(F.array(*structs)).alias("a")).select(*keys, "a.*")
 
 
-BACKGROUND_BLOCK = 128  # background rows that travel together as one array
+#: Background values that travel together as one array, points that meet them in one part, pairs to score in one task, most tasks.
+BACKGROUND_BLOCK, POINTS_PART, TASK_PAIRS, MOST_TASKS = 128, 16384, 500_000, 512
+_GROUPS = 8  # parts of the background that meet all sets
 
 
 def attribute(df: DataFrame, key, features: Sequence[str], scorer, background: DataFrame,
               permutations: int = 3, seed: int = 42) -> DataFrame:
     """EXP1/EXP8: sampled-permutation Shapley values of ``scorer`` for every row of ``df``.
 
-    Cost is rows × permutations × |background| × (features + 1) scorings;
-    pick the rows and the background (a sample) before calling. The
-    background is joined in blocks, so that it may have any size. Each scored
-    point counts for the feature it brings in and against the next one, which
-    sums up map-side without a window. Output long (key, feature_code, value,
-    shap_value).
+    The score of a coalition (the row's values in a set of features, the
+    background's in the others) is its mean over the whole background. It is
+    the same for all rows and permutations that share the set and the values in
+    it, so that each such point is scored once, with every distinct combination
+    that the background has in the other features, weighed by its count. These
+    are at most rows × permutations × |background| × (features + 1) scorings
+    (where all values differ). Both sides are dealt in parts, so that either may
+    have any size. Output long (key, feature_code, value, shap_value).
     """
     keys = _keys(key)
     feats = list(features)
     nf = len(feats)
-    nb = background.count()
-    blocks = max(1, -(-nb // BACKGROUND_BLOCK))
-    bg = (background.select(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats]).alias("b"),
-                            F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("__block"))
-          .groupBy("__block").agg(F.collect_list("b").alias("__bs")))
-    x = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in feats],
-                  F.array(*[F.col(c).cast("double") for c in feats]).alias("__attr_x"))
-    if blocks > 1:  # the work follows rows x background: few rows in one file are more than one task's work
-        x = x.repartition(min(blocks, 1000), *keys)
-    # permutation: features sorted by a seeded draw; pos_j = position of feature j
-    x = x.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    xs, at_t = [f"__x{j}" for j in range(nf)], F.col("t")
+    # permutation: features sorted by a seeded draw; at step t the first t of them are the row's
     order = F.array_sort(F.array(*[F.struct(uniform(seed, *keys, F.col("perm"), F.lit(j)).alias("u"),
                                             F.lit(j).alias("j")) for j in range(nf)]))
-    x = x.withColumn("__ord", F.transform(order, lambda s: s["j"]))
-    x = x.withColumns({f"pos_{j}": F.array_position(F.col("__ord"), j).cast("int") for j in range(nf)})
-    x = x.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    x = (x.join(bg, "__block").withColumn("b", F.explode("__bs")).drop("__bs", "__block")
-         .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nf)))))
-    # coalition point t: the first t features of the permutation from x, the rest from b
-    pts = x.select(*keys, "t", "__ord", "__attr_x",
-                   *[F.when(F.col(f"pos_{j}") <= F.col("t"), F.col(f"x_{c}")).otherwise(F.col(f"b.{c}")).alias(c)
-                     for j, c in enumerate(feats)])
+    rows = kept(df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__v{j}") for j, c in enumerate(feats)],
+                          F.array(*[F.col(c).cast("double") for c in feats]).alias("__attr_x"))
+                .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+                .withColumn("__ord", F.transform(order, lambda s: s["j"])))
+    own = [F.array_position("__ord", j) <= at_t for j in range(nf)]
+    steps = (rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nf))))
+             .select(*keys, "t", "__ord", "__attr_x", F.concat(*[o.cast("int").cast("string") for o in own]).alias("__set"),
+                     *[F.when(o, F.col(f"__v{j}")).otherwise(F.lit(0.0)).alias(c) for j, (o, c) in enumerate(zip(own, xs))]))
+    points = kept(steps.select("__set", *xs).distinct().withColumn("__point", F.monotonically_increasing_id()))
+    sets = points.groupBy("__set").agg(F.count(F.lit(1)).alias("__n_points"))
+
+    # what the background has in the features outside of each set
+    inside = [F.substring("__set", j + 1, 1) == "1" for j in range(nf)]
+    every = sets.select("__set", F.explode(F.sequence(F.lit(0), F.lit(_GROUPS - 1))).alias("__group"))
+    others = kept(background.select(F.pmod(F.monotonically_increasing_id(), F.lit(_GROUPS)).cast("int").alias("__group"),
+                                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x) for c, x in zip(feats, xs)])
+                  .join(every, "__group")
+                  .groupBy("__set", *[F.when(i, F.lit(0.0)).otherwise(F.col(x)).alias(x) for i, x in zip(inside, xs)])
+                  .agg(F.count(F.lit(1)).alias("__n")))
+    parts = kept(sets.join(others.groupBy("__set").agg(F.count(F.lit(1)).alias("__n_others"), F.sum("__n").alias("__nb")), "__set")
+                 .select("__set", "__nb", (F.col("__n_points").cast("double") * F.col("__n_others")).alias("__pairs"),
+                         F.ceil(F.col("__n_points") / POINTS_PART).cast("int").alias("__parts"),
+                         F.ceil(F.col("__n_others") / BACKGROUND_BLOCK).cast("int").alias("__blocks")))
+    pairs = parts.agg(F.sum("__pairs")).first()[0] or 0.0
+    tasks, tile = int(min(MOST_TASKS, max(1, pairs // TASK_PAIRS))), ["__set", "__part", "__block"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = (others.join(parts, "__set").withColumn("__block", F.pmod(F.xxhash64(*xs), F.col("__blocks")).cast("int"))
+            .groupBy("__set", "__block", "__parts").agg(F.collect_list(F.struct("__n", *xs)).alias("__bs"))
+            .withColumn("__part", upto("__parts")).select(*tile, "__bs").repartition(tasks, *tile))
+    met = (points.join(parts, "__set").withColumn("__part", F.pmod(F.xxhash64("__point"), F.col("__parts")).cast("int"))
+           .withColumn("__block", upto("__blocks")).select(*tile, "__point", "__nb", *xs).repartition(tasks, *tile)
+           .join(held.hint("shuffle_hash"), tile)
+           .select("__point", "__nb", *xs, *[i.alias(f"__i{j}") for j, i in enumerate(inside)], F.explode("__bs").alias("b")))
+    pts = met.select("__point", "__nb", F.col("b.__n").alias("__n"),
+                     *[F.when(F.col(f"__i{j}"), F.col(x)).otherwise(F.col(f"b.{x}")).alias(c) for j, (x, c) in enumerate(zip(xs, feats))])
     p = F.col(scorer.prob_col)
-    part = lambda at, sign: F.struct(F.element_at("__ord", at).alias("j"), (sign * p).alias("d"))
-    parts = F.array_compact(F.array(F.when(F.col("t") > 0, part(F.greatest(F.col("t"), F.lit(1)), F.lit(1.0))),
-                                    F.when(F.col("t") < nf, part(F.least(F.col("t") + 1, F.lit(nf)), F.lit(-1.0)))))
+    scored = (scorer.score(pts).groupBy("__point").agg((F.sum(p * F.col("__n")) / F.first("__nb")).alias("__p")))
+    valued = kept(points.join(scored, "__point").drop("__point"))
+
+    # a point counts for the feature it brings in and against the next one
+    part = lambda at, sign: F.struct(F.element_at("__ord", at).alias("j"), (sign * F.col("__p")).alias("d"))
+    sides = F.array_compact(F.array(F.when(at_t > 0, part(F.greatest(at_t, F.lit(1)), F.lit(1.0))),
+                                    F.when(at_t < nf, part(F.least(at_t + 1, F.lit(nf)), F.lit(-1.0)))))
     names = F.array(*[F.lit(c) for c in feats])
-    return (scorer.score(pts).select(*keys, "__attr_x", F.explode(parts).alias("e"))
+    return (steps.join(valued, ["__set", *xs]).select(*keys, "__attr_x", F.explode(sides).alias("e"))
             .select(*keys, F.col("e.j").alias("j"), F.col("e.d").alias("d"),
                     F.element_at("__attr_x", F.col("e.j") + 1).alias("v"))
-            .groupBy(*keys, "j").agg((F.sum("d") / F.lit(float(permutations * nb))).alias("shap_value"),
+            .groupBy(*keys, "j").agg((F.sum("d") / F.lit(float(permutations))).alias("shap_value"),
                                      F.first("v").alias("value"))
             .select(*keys, F.element_at(names, F.col("j") + 1).alias("feature_code"), "value", "shap_value"))
 

@@ -91,6 +91,44 @@ def test_sampled_shapley_sums_to_score_minus_base(spark):
         assert math.isclose(s, p[k] - base, abs_tol=1e-12)
 
 
+def test_sampled_shapley_scores_each_coalition_once(spark, monkeypatch):
+    """Rows, permutations and background rows that share a coalition's values share its score; parts of both sides meet."""
+    from surveylab.functions.expr import uniform
+    from surveylab.operators import attribution
+
+    class Product:
+        prob_col, seen = "p", []
+
+        def score(self, df):
+            self.seen.append(df)
+            return df.withColumn("p", F.col("a") * F.col("b") + F.col("c") * F.col("c"))
+
+    monkeypatch.setattr(attribution, "POINTS_PART", 7, raising=False)
+    monkeypatch.setattr(attribution, "BACKGROUND_BLOCK", 5)
+    monkeypatch.setattr(attribution, "TASK_PAIRS", 300, raising=False)
+    rnd, names = random.Random(6), ["a", "b", "c"]
+    data = [(i if i else None, float(i % 2), rnd.choice([None, 1.0, 2.0]), rnd.random()) for i in range(40)] + [(7, 1.0, 2.0, 0.5)]
+    df = spark.createDataFrame(data, "id long, a double, b double, c double").repartition(3)
+    scorer = Product()
+    got = attribute(df, "id", names, scorer, df, permutations=2, seed=3).collect()
+    orders = df.select("id", *names, *[uniform(3, "id", F.lit(p), F.lit(j)).alias(f"u{p}{j}") for p in range(2) for j in range(3)]).collect()
+    full = [tuple(x or 0.0 for x in r[1:]) for r in data]
+    want = {}
+    for r in orders:
+        x = [r[c] or 0.0 for c in names]
+        for p in range(2):
+            order, v = sorted(range(3), key=lambda j: r[f"u{p}{j}"]), []
+            for t in range(4):
+                pts = [[x[j] if j in order[:t] else b[j] for j in range(3)] for b in full]
+                v.append(sum(a * b + c * c for a, b, c in pts) / len(pts))
+            for t, j in enumerate(order):
+                want[r.id, names[j]] = want.get((r.id, names[j]), 0.0) + (v[t + 1] - v[t]) / 2
+    assert len(got) == len(want) == 3 * 40  # a repeated key counts together
+    for r in got:
+        assert math.isclose(r.shap_value, want[r.id, r.feature_code], abs_tol=1e-12)
+    assert scorer.seen[0].count() < 41 * 2 * 41 * 4 / 3
+
+
 def test_linear_attribution_sums_to_margin_minus_base(spark):
     df = _frame(spark)
     bg = df.filter("id < 5")
