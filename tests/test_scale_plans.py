@@ -100,3 +100,28 @@ def test_a_joins_tasks_get_parts_of_bounded_size(spark):
             assert plan_settings(spark).conf.get(part) == want
     finally:
         spark.conf.set(part, before)
+
+
+def _own_survey(spark, tmp_path, monkeypatch, columns):
+    """The survey's frame replaced by a table of our own, whose scans a plan names."""
+    from surveylab.plans import catalog_ml
+    from surveylab.plans.tables import CHILD_KEY
+    rnd = random.Random(12)
+    names = [*CHILD_KEY, *columns, "stunting_label"]
+    rows = [(i, 1, i, i, *[float(rnd.randrange(1, 40)) for _ in columns], int(rnd.random() < 0.4)) for i in range(300)]
+    schema = ", ".join(f"{c} {'long' if c in CHILD_KEY else 'int' if c == 'stunting_label' else 'double'}" for c in names)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "own_survey.parquet"))
+    monkeypatch.setattr(catalog_ml, "survey_frame", lambda s, sf: s.read.parquet(f"{sf}/own_survey.parquet"))
+    monkeypatch.setattr(catalog_ml, "derive", lambda df: df)
+    return catalog_ml
+
+
+def test_transformers_read_a_split_that_is_made_once(spark, tmp_path, monkeypatch):
+    columns = ["mother_age", "mother_bmi", "wealth_index", "mother_education", "child_age_months", "sanitation_score", "share_toilet",
+               "electricity"]
+    ml = _own_survey(spark, tmp_path, monkeypatch, columns)
+    out = ml.q_pca_km(spark, str(tmp_path))
+    assert "own_survey" not in _plan(out) and "Window" not in _plan(out)
+    rows = out.collect()
+    assert len(rows) == 300 and sum(r.split == "test" for r in rows) in (59, 60, 61)
+    assert all(r.kmeans_dist_0 >= 0 and r.pca_socio_wash_1 is not None for r in rows)
