@@ -125,3 +125,20 @@ def test_transformers_read_a_split_that_is_made_once(spark, tmp_path, monkeypatc
     rows = out.collect()
     assert len(rows) == 300 and sum(r.split == "test" for r in rows) in (59, 60, 61)
     assert all(r.kmeans_dist_0 >= 0 and r.pca_socio_wash_1 is not None for r in rows)
+
+
+def test_document_features_match_runs_of_characters_at_once(spark, tmp_path):
+    from surveylab.plans.catalog_ml import DOC_FEATURES, doc_model_frame
+    texts = ["", None, "abc", "A1b2 C3", "2024", " x\n\tY 7 ", "Ümlaut ÄÖ 9٣", "AB" * 50 + "\n" + "12 " * 40]
+    spark.createDataFrame([(i, t, len(t or ""), "en") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, lang string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 1) for i in range(len(texts))], "doc_id long, toxic int, quality int") \
+        .write.parquet(str(tmp_path / "labels.parquet"))
+    out = doc_model_frame(spark, str(tmp_path))
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t in enumerate(t or "" for t in texts):
+        assert got[i].f_digit_share == pytest.approx(sum(c in "0123456789" for c in t) / max(1, len(t)))
+        assert got[i].f_upper_share == pytest.approx(sum("A" <= c <= "Z" for c in t) / max(1, len(t)))
+    assert set(DOC_FEATURES) <= set(out.columns)
+    plan = _plan(out)
+    assert "[^0-9]+" in plan and "[^A-Z]+" in plan  # a match for each character took most of the time
